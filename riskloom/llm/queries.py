@@ -17,6 +17,13 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.multiset import fingerprint_documents, render
+
+    prints = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return prints.select("doc_id", "n_chars", "edited_sha256", render(F.col("lanes")).alias("fingerprint"), render(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.decontaminate import find_contamination
 
@@ -26,6 +33,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_multiset_hash": op4_multiset_hash,
     "op7_decontaminate": op7_decontaminate,
     "op9_simhash_golay": op9_simhash_golay,
 }
