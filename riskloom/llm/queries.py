@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import table
+from riskloom.llm.common import id_remainder, table
+
+
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.classlm import score_texts, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    model, counts = train(docs.filter(~held_out))
+    return score_texts(docs, model, counts, held_out)
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +44,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multiset_hash": op4_multiset_hash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_brown_lm": op8_brown_lm,
     "op9_simhash_golay": op9_simhash_golay,
 }
 
