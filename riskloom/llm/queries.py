@@ -26,6 +26,15 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.langid import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    net = fit(docs.filter(~held_out))
+    return identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.multiset import fingerprint_documents, render
 
@@ -42,6 +51,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_cnn": op1_byte_cnn,
     "op4_multiset_hash": op4_multiset_hash,
     "op7_decontaminate": op7_decontaminate,
     "op8_brown_lm": op8_brown_lm,

@@ -109,21 +109,28 @@ class Words:
             end = np.minimum(end, start + prefix)
         if suffix is not None:
             start = np.maximum(start, end - suffix)
-        out = np.empty(len(start), dtype=np.uint64)
-        i, n = 0, len(start)
+        return self.spans([(start, end)])[0]
+
+    def spans(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Hashes of byte spans inside the words, one array for each pair of starts and ends."""
+        out = [np.empty(len(self.start), dtype=np.uint64) for _ in pairs]
+        i, n = 0, len(self.start)
         while i < n:
-            lo = int(start[i])
-            j = int(np.searchsorted(end, lo + _CHUNK, side="right"))
+            lo = int(self.start[i])
+            j = int(np.searchsorted(self.end, lo + _CHUNK, side="right"))
             if j <= i:  # a single word longer than a chunk
-                out[i] = self._long(lo, int(end[i]))
+                for o, (s, e) in zip(out, pairs, strict=True):
+                    o[i] = self._long(int(s[i]), int(e[i]))
                 i += 1
                 continue
-            s, e = start[i:j] - lo, end[i:j] - lo
-            sums = np.zeros(int(e[-1]) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.data[lo : lo + int(e[-1])]] * _POW[: int(e[-1])], out=sums[1:])
-            out[i:j] = (sums[e] - sums[s]) * _INV[s]
+            size = int(self.end[j - 1]) - lo
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[self.data[lo : lo + size]] * _POW[:size], out=sums[1:])
+            for o, (start, end) in zip(out, pairs, strict=True):
+                s, e = start[i:j] - lo, end[i:j] - lo
+                o[i:j] = (sums[e] - sums[s]) * _INV[s]
             i = j
-        return mix(out + np.uint64(0x51ED270B) * (end - start).astype(np.uint64))
+        return [mix(o + np.uint64(0x51ED270B) * (e - s).astype(np.uint64)) for o, (s, e) in zip(out, pairs, strict=True)]
 
     def _long(self, lo: int, hi: int) -> np.uint64:
         total = 0
