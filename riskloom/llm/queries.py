@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import id_remainder, table
+from riskloom.llm.common import bounded_sample, id_remainder, table
 
 
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,9 @@ def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
+#: Most labelled rows that a classifier is fitted on.
+LABELS = 50_000
+
 
 def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.langid import fit, identify
@@ -50,12 +53,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_remainder(F.col("doc_id"), 5) == 0
+    labels = bounded_sample(table(spark, sf_dir, "labels").filter("toxic is not null").filter(~held_out).select("doc_id", "toxic"), F.col("doc_id"), LABELS)
+    model = fit(docs.join(F.broadcast(labels), "doc_id"))  # at most LABELS rows of two numbers
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_cnn": op1_byte_cnn,
     "op4_multiset_hash": op4_multiset_hash,
     "op7_decontaminate": op7_decontaminate,
     "op8_brown_lm": op8_brown_lm,
     "op9_simhash_golay": op9_simhash_golay,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
