@@ -45,6 +45,14 @@ def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", "edited_sha256", render(F.col("lanes")).alias("fingerprint"), render(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.quality import fit, resample, weigh
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weighed = weigh(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "log_weight", "accepted")
+    return resample(weighed, k=docs.count() // 4)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.decontaminate import find_contamination
 
@@ -66,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_cnn": op1_byte_cnn,
     "op4_multiset_hash": op4_multiset_hash,
+    "op6_importance": op6_importance,
     "op7_decontaminate": op7_decontaminate,
     "op8_brown_lm": op8_brown_lm,
     "op9_simhash_golay": op9_simhash_golay,
