@@ -84,7 +84,7 @@ def pooled(x: np.ndarray, pairs: list[list[np.ndarray]], batch: int = 128) -> np
     return outs
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, batch: int = 64, seed: int = 11) -> Network:
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, batch: int = 64, seed: int = 11) -> Network:
     """Fit the network on windows ``x`` and language numbers ``y`` by Adam on the cross-entropy.
 
     A third of the windows are cut to a short length each epoch, so that short texts are learned too.

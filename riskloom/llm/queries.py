@@ -38,6 +38,12 @@ def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
+
+
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.multiset import fingerprint_documents, render
 
@@ -73,6 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_cnn": op1_byte_cnn,
+    "op3_pfair_mix": op3_pfair_mix,
     "op4_multiset_hash": op4_multiset_hash,
     "op6_importance": op6_importance,
     "op7_decontaminate": op7_decontaminate,

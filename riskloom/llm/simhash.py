@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut
@@ -136,29 +136,33 @@ def golay_links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     return probes.join(stored, near).select(F.col("p.fp").alias("src"), F.col("s.fp").alias("dst")).distinct()
 
 
-def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, fp (signed bigint), component_id.
+def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, key: Column | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, fp (signed bigint), component_id, root (the component's least fp), key.
 
     Rows whose fingerprints are linked directly or over others share the smallest doc_id among them.
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows come back as
     often as they are given; a null doc_id never becomes a component_id unless all of a group are null.
-    An empty table gives an empty result. Columns other than the two named are not read.
+    An empty table gives an empty result. Columns other than the two named are not read. ``key`` is handed
+    through (null unless given).
     """
-    marked = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", width).select("doc_id", "fp"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.lit(None).cast("bigint") if key is None else key).alias("key"))
+    marked = cut(with_fingerprint(rows, "text", "fp", width).select("doc_id", "fp", "key"))
     least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(golay_links(least))
     by_root = roots.join(least, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = roots.join(by_root, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = least.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    grouped = roots.join(by_root, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    labels = least.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(labels, "fp").select("doc_id", "fp", "component_id", "root", "key")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their group: one row of each group, all columns kept.
+    """One row of each group of near duplicates, all columns kept: the one with the smallest doc_id.
 
-    Repeated rows (same doc_id) are one document: one of them stays.
+    Among equal ids the least hash of id and text decides; a null id comes last. Of rows with the same id
+    and text one stays.
     """
-    groups = simhash_groups(docs, width=width)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    return named.dropDuplicates(["doc_id"])
+    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    groups = simhash_groups(docs, width=width, key=row)
+    first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), F.col("key")))
+    keep = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("__row")).distinct()
+    return docs.withColumn("__row", row).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)

@@ -72,6 +72,8 @@ def test_groups_and_edge_cases(spark):
     kept = drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in got})
+    odd = spark.createDataFrame([(None, "some words"), (None, "some words"), (None, "quite other things"), (4, "z y x w v"), (4, "p q r s t u"), (2, "z y x w v")], "doc_id bigint, text string")
+    assert sorted((r.doc_id or -1, r.text) for r in drop_near_duplicates(odd).collect()) == [(-1, "quite other things"), (-1, "some words"), (2, "z y x w v"), (4, "p q r s t u")]
 
 
 def test_query_against_brute_force(spark, sf_dir):
