@@ -38,6 +38,42 @@ def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.toolcalls import TURN_PARAMETERS, link, parameters_table, turns_as_calls
+
+    calls, results = turns_as_calls(table(spark, sf_dir, "conversations"))
+    linked = link(calls, results, parameters_table(spark, TURN_PARAMETERS))
+    return linked.withColumn("violations", F.array_join("violations", "; "))
+
+
+#: Turns are calls and results as in ``turns_as_calls``; every dependency stands earlier, so ranks follow the turns.
+TOOL_CALLS_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'user' THEN 'ask' ELSE 'instruct' END AS name, text, length(text) AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS topo_order
+  FROM conversations WHERE role IN ('user', 'system')
+), results AS (
+  SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'assistant'
+), checked AS (
+  SELECT *, list_filter([
+    CASE WHEN chars < 1 THEN 'chars: below minimum' WHEN name = 'ask' AND chars > 400 THEN 'chars: above maximum' END,
+    CASE WHEN chars > CASE name WHEN 'ask' THEN 600 ELSE 200 END THEN 'text: too long' END,
+    CASE WHEN turn < 0 THEN 'turn: below minimum' WHEN name = 'instruct' AND turn > 0 THEN 'turn: above maximum' END
+  ], lambda x: x IS NOT NULL) AS found FROM calls
+), linked AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id, c.name,
+         CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+         coalesce(c.found, []) AS found, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, c.topo_order, c.text, c.chars, c.turn AS call_turn, r.result
+  FROM checked c FULL OUTER JOIN results r ON c.call_id = r.call_id
+)
+SELECT conv_id, turn, call_id, name, status, len(found) = 0 AS valid, array_to_string(found, '; ') AS violations, n_results, topo_order,
+  '{"arguments":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '{"chars":' || chars || ',"text":' || to_json(text)::VARCHAR || ',"turn":' || call_turn || '}' END
+  || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null')
+  || ',"status":' || to_json(status)::VARCHAR || ',"violations":' || to_json(found)::VARCHAR || '}' AS json
+FROM linked
+"""
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.mixing import mix
 
@@ -79,6 +115,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_cnn": op1_byte_cnn,
+    "op2_tool_calls": op2_tool_calls,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_multiset_hash": op4_multiset_hash,
     "op6_importance": op6_importance,
@@ -88,4 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_tool_calls": TOOL_CALLS_SQL,
+}
