@@ -87,6 +87,12 @@ def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.select("doc_id", "n_chars", "edited_sha256", render(F.col("lanes")).alias("fingerprint"), render(F.col("edited_lanes")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.tokencounts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.quality import fit, resample, weigh
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tool_calls": op2_tool_calls,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_multiset_hash": op4_multiset_hash,
+    "op5_token_counts": op5_token_counts,
     "op6_importance": op6_importance,
     "op7_decontaminate": op7_decontaminate,
     "op8_brown_lm": op8_brown_lm,
