@@ -31,7 +31,8 @@ def ratio32(a: Column, b: Column) -> Column:
 def clamp01(x: Column) -> Column:
     """x cut to 0..1 in ten-thousandths, halves rounded up; NaN is 0, null stays null."""
     inside = F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), F.nanvl(f32(x), F.lit(0.0).cast("float"))))
-    return F.floor(f32(inside * F.lit(float(SCALE)).cast("float")).cast("double") + 0.5).cast("int")
+    scaled = F.floor(f32(inside * F.lit(float(SCALE)).cast("float")).cast("double") + 0.5).cast("int")
+    return F.when(x.isNotNull(), scaled)  # greatest and least would skip a null
 
 
 def mcc_risk(mcc: Column) -> Column:

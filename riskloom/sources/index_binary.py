@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.features import DIMS, VECTOR
 from riskloom.operators.index_build import MAX_CLUSTERS, MAXS, MINS
 
+#: First bytes of an index file. Fixed value of the format.
 MAGIC = b"RNH5-IDX"
 
 
@@ -27,10 +28,10 @@ def _aligned(n: int) -> int:
 def decode(raw: bytes, path: str) -> dict[str, np.ndarray]:
     """The sections of one file; ValueError if it is none."""
     if len(raw) < 64 or raw[:8] != MAGIC:
-        raise ValueError(f"bad magic in {path}")
+        raise ValueError(f"{path} is no index file")
     k, n = (int(x) for x in np.frombuffer(raw, "<u4", 2, 8))
     if not 1 <= k <= MAX_CLUSTERS:
-        raise ValueError(f"n_clusters={k} out of range in {path}")
+        raise ValueError(f"{path} has {k} clusters, not 1 to {MAX_CLUSTERS}")
     at, out = 64, {}
     for name, kind, count in (("first", "<u4", k + 1), ("low", "<i2", k * 16), ("high", "<i2", k * 16), ("vectors", "<i2", (n + 1) * 16), ("labels", "u1", n)):
         size = np.dtype(kind).itemsize * count
