@@ -147,12 +147,19 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.lit(None).cast("bigint") if key is None else key).alias("key"))
     marked = cut(with_fingerprint(rows, "text", "fp", width).select("doc_id", "fp", "key"))
+    return marked.join(_labels(marked), "fp").select("doc_id", "fp", "component_id", "root", "key")
+
+
+def _labels(marked: DataFrame) -> DataFrame:
+    """(fp, component_id, root) of the distinct fingerprints of rows (doc_id, fp), stored.
+
+    Stored, so that a join with it shuffles both sides anew: only then can Spark split a hot fingerprint's rows.
+    """
     least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(golay_links(least))
     by_root = roots.join(least, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = roots.join(by_root, "root").select(F.col("node").alias("fp"), "component_id", "root")
-    labels = least.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id", "root", "key")
+    return cut(least.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -162,7 +169,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     and text one stays.
     """
     row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    groups = simhash_groups(docs, width=width, key=row)
-    first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), F.col("key")))
-    keep = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias("__row")).distinct()
+    marked = cut(with_fingerprint(docs.select("doc_id", "text", row.alias("key")), "text", "fp", width).select("doc_id", "fp", "key"))
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), F.col("key"))
+    by_fp = marked.groupBy("fp").agg(F.min(place).alias("first"))  # before the join: a hot fingerprint is one row
+    keep = by_fp.join(_labels(marked), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__row")).distinct()
     return docs.withColumn("__row", row).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
