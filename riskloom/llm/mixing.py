@@ -24,7 +24,7 @@ from riskloom.llm.common import cut
 BLOCK_ROWS = 64
 PERIOD = 1000
 MOST_SOURCES = 20_000
-BUCKET_ROWS = 2048
+BUCKET_ROWS = 512
 BUCKETS = 1 << 16
 
 
@@ -97,15 +97,21 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
     return phases
 
 
-def _ranked(docs: DataFrame, source: str, order: list[Column], total: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``__source``, ``__bucket``, ``__nr`` (rank in source and bucket), and the counts of the buckets.
+def row_hash(ident: Column) -> Column:
+    """60 bits of the MD5 of an id's text, as a bigint; a null id counts as empty text."""
+    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
-    A source's rows are spread over buckets of a hash of the row, so that a source of any size is ranked in
-    many tasks; the ranks of its earlier buckets are added from the counts.
+
+def _ranked(docs: DataFrame, source: str, ident: Column, total: int, bucket_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``__source``, ``__hash`` and ``__bucket``, and the counts of the buckets.
+
+    Buckets are equal ranges of the hash, so that a source of any size is ranked in many tasks: the ranks
+    in its earlier buckets are added from the counts.
     """
     n = max(1, min(BUCKETS, -(-total // bucket_rows)))
-    rows = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__hash", F.xxhash64(*order, F.lit(5)))
-    rows = rows.withColumn("__bucket", F.pmod(F.shiftright("__hash", 20), F.lit(n)).cast("int"))
+    rows = docs.withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("__hash", row_hash(ident))
+    rows = rows.withColumn("__bucket", F.shiftright(F.shiftright("__hash", 28) * n, 32).cast("int"))
     return rows, rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
 
 
@@ -113,14 +119,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     """All rows and columns of ``docs`` with mix_phase, mix_block (slot of the block) and mix_position (0, 1, ...).
 
     ``weights``: by source; a source that is missing is an error. Without them, a source of n rows weighs
-    n ** ``power``. Rows of a source are taken in the order of a hash of their id; equal ids follow one
+    n ** ``power``. Rows of a source are taken in the order of ``row_hash`` of their id; equal ids follow one
     another by the hash of all their columns. A null source is the source ''. No row is dropped or repeated:
     equal rows have a place each. Columns with the names of the results are replaced; an empty table gives
     no rows. The last block of a source may be short, so positions count the rows, not block_rows a slot.
     """
     docs = docs.drop("mix_phase", "mix_block", "mix_position")
     total = docs.count()
-    keyed, counts = _ranked(docs, source, [F.col(doc_id)], total, bucket_rows)
+    keyed, counts = _ranked(docs, source, F.col(doc_id), total, bucket_rows)
     counted = cut(counts)
     sizes = {r["__source"]: r.n for r in counted.groupBy("__source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(sizes) > MOST_SOURCES:
