@@ -132,6 +132,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+#: Earliest deadline first, slot by slot, over the block counts.
+PFAIR_SQL = """
+WITH RECURSIVE
+rows_ AS (SELECT doc_id, source, lang, n_chars, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) - 1 AS r FROM documents),
+sizes AS (SELECT s, count(*) AS n FROM rows_ GROUP BY s),
+exact AS (SELECT s, n, sqrt(n) / sum(sqrt(n)) OVER () * greatest(1000, count(*) OVER ()) AS x, greatest(1000, count(*) OVER ()) AS period FROM sizes),
+rounded AS (SELECT *, greatest(1, CAST(floor(x) AS BIGINT)) AS low, row_number() OVER (ORDER BY floor(x) - x, s) AS nr FROM exact),
+weights AS (SELECT s, (n + 63) // 64 AS blocks, low + CASE WHEN nr <= period - sum(low) OVER () THEN 1 ELSE 0 END AS m FROM rounded),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS begin_, 0 AS phase, 0 AS at_phase, CAST(NULL AS VARCHAR) AS pick,
+    (SELECT list(struct_pack(s := s, m := CAST(m AS BIGINT), togo := CAST(blocks AS BIGINT), done := CAST(0 AS BIGINT)) ORDER BY s) FROM weights) AS state
+  UNION ALL
+  SELECT t + 1, CASE WHEN over THEN t + 1 ELSE begin_ END, CASE WHEN over THEN phase + 1 ELSE phase END, phase, pick,
+    list_transform(state, lambda x: struct_pack(s := x.s, m := x.m, togo := x.togo - CASE WHEN x.s = pick THEN 1 ELSE 0 END, done := CASE WHEN over THEN 0 WHEN x.s = pick THEN x.done + 1 ELSE x.done END))
+  FROM (
+    SELECT t, begin_, phase, state, pick, list_filter(state, lambda x: x.s = pick)[1].togo = 1 AS over FROM (
+      SELECT t, begin_, phase, state, list_sort(list_transform(list_filter(state, lambda x: x.togo > 0 AND x.done * total // x.m <= t - begin_), lambda x: struct_pack(d := ((x.done + 1) * total + x.m - 1) // x.m, s := x.s)))[1].s AS pick FROM (
+        SELECT t, begin_, phase, state, CAST(list_sum(list_transform(state, lambda x: CASE WHEN x.togo > 0 THEN x.m ELSE 0 END)) AS BIGINT) AS total FROM steps) a WHERE total > 0) b) c
+),
+slots AS (SELECT t - 1 AS slot, at_phase, pick AS s, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block FROM steps WHERE pick IS NOT NULL)
+SELECT doc_id, source, lang, n_chars, at_phase AS mix_phase, slot AS mix_block, row_number() OVER (ORDER BY slot, r) - 1 AS mix_position FROM rows_ JOIN slots ON rows_.s = slots.s AND rows_.r // 64 = slots.block
+"""
+
+#: All windows of all texts, joined with the items' windows of the same length.
+CONTAMINATION_SQL = """
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
+found AS (SELECT g.doc_id, g.i, g.n, w.item_id FROM grams g JOIN windows w ON g.n = w.n AND g.gram = w.gram),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_tool_calls": TOOL_CALLS_SQL,
+    "op3_pfair_mix": PFAIR_SQL,
+    "op7_decontaminate": CONTAMINATION_SQL,
 }
