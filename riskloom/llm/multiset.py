@@ -17,7 +17,7 @@ arithmetic stays in bigint aggregates of generated code. Words are split at spac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ID_LANES = 4
@@ -123,36 +123,42 @@ def fingerprint_groups(rows: DataFrame, keys: list[str], texts: dict[str, Column
     return sums.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col("lanes"))).alias(name) for k, name in enumerate(texts)])
 
 
-CELLS = 4096
+MOST_CELLS = 1 << 16
+
+
+def _literal(values: list[int], kind: str) -> Column:
+    """An array constant; text keeps the plan small however long it is."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")
 
 
 def deal_by_id(docs: DataFrame, doc_id: str, rows_per_bucket: int) -> DataFrame:
     """Rows with ``bucket``, ascending in doc_id, and ``halo``: copies of each bucket's first rows in the bucket before.
 
-    A row's bucket comes from its cell among CELLS of equal width between the least and the largest id;
-    neighbouring cells are merged until they hold about ``rows_per_bucket`` rows. Only counts by cell, at
-    most CELLS of them, pass through one task. The last bucket holds copies of the first one's first rows.
+    A row's bucket comes from its cell among at most MOST_CELLS of equal width between the least and the largest
+    id; neighbouring cells are merged until they hold about ``rows_per_bucket`` rows. Only counts by cell
+    pass through one task. The last bucket holds copies of the first one's first rows.
     """
-    key = F.coalesce(F.col(doc_id), F.lit(-(2**63)).cast("bigint"))
-    ids = docs.select(key.alias("k"))
-    low, high = ids.agg(F.min("k"), F.max("k")).first()
-    if low is None:
+    low, high, total = docs.agg(F.min(doc_id), F.max(doc_id), F.count("*")).first()
+    if not total:
         return docs.withColumn("bucket", F.lit(0)).withColumn("halo", F.lit(False))
-    step = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.expr(f"cast((cast({{k}} as decimal(20,0)) - {low}BD) / {step}BD as int)".replace("{k}", f"coalesce(`{doc_id}`, -9223372036854775808L)")) if step > 1 << 40 else ((key - F.lit(low)) / F.lit(step)).cast("int")
-    if 1 < step <= 1 << 40:
-        cell = F.expr(f"cast((coalesce(`{doc_id}`, -9223372036854775808L) - ({low}L)) div {step}L as int)")
-    counts = docs.select(cell.alias("cell"), key.alias("k")).groupBy("cell").agg(F.count("*").alias("n"), F.min("k").alias("first")).orderBy("cell").collect()  # at most CELLS rows
-    buckets: list[list] = []
+    low, high = (0, 0) if low is None else (low, high)
+    key = F.coalesce(F.col(doc_id), F.lit(low).cast("bigint"))  # null ids stand before the least
+    shift = 0 if high - low < 1 << 62 else 16  # the difference of two ids must fit a bigint
+    cells = min(MOST_CELLS, max(64, 8 * (total // rows_per_bucket)))
+    step = ((high >> shift) - (low >> shift)) // cells + 1
+    id_text = f"shiftright(coalesce(`{doc_id}`, cast('{low}' as bigint)), {shift})"
+    cell = F.expr(f"cast(({id_text} - cast('{low >> shift}' as bigint)) div {step}L as int)")
+    counts = docs.select(cell.alias("cell"), key.alias("k")).groupBy("cell").agg(F.count("*").alias("n"), F.min("k").alias("first")).orderBy("cell").collect()  # at most MOST_CELLS rows
+    of_cell, firsts, held = [0] * (counts[-1]["cell"] + 1), [], 0
     for c in counts:
-        if not buckets or buckets[-1][1] + c.n > rows_per_bucket:
-            buckets.append([c.cell, 0, c["first"]])
-        buckets[-1][1] += c.n
-    starts = F.array(*[F.lit(b[0]) for b in buckets])
-    firsts = F.array(*[F.lit(b[2]).cast("bigint") for b in buckets])
-    n = len(buckets)
-    own = docs.withColumn("bucket", F.size(F.filter(starts, lambda s: s <= cell)) - 1)
-    is_first = F.get(firsts, F.col("bucket")) == key
+        if not firsts or held + c.n > rows_per_bucket:
+            firsts.append(c["first"])
+            held = 0
+        held += c.n
+        of_cell[c.cell] = len(firsts) - 1
+    n = len(firsts)
+    own = docs.withColumn("bucket", F.get(_literal(of_cell, "int"), cell))
+    is_first = F.get(_literal(firsts, "bigint"), F.col("bucket")) == key
     places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo")))
     before = F.array(F.struct(F.pmod(F.col("bucket") - 1, F.lit(n)).alias("bucket"), F.lit(True).alias("halo")))
     return own.withColumn("place", F.explode(F.when(is_first, F.concat(places, before)).otherwise(places))).select(*docs.columns, "place.bucket", "place.halo")
@@ -178,8 +184,6 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = deal_by_id(rows, "doc_id", rows_per_bucket)
     order = [F.col("halo"), F.col("doc_id").asc_nulls_first(), F.col("text")]
-    from pyspark.sql import Window
-
     ordered = dealt.withColumn("nr", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).withColumn("next_text", F.lead("text").over(Window.partitionBy("bucket").orderBy(*order)))
     pairs = ordered.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     keys = ["bucket", "nr", "halo", "doc_id", "n_chars", "edited_sha256"]

@@ -53,6 +53,8 @@ def test_edited_and_next(spark):
     small = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "zz yy xx ww vv uu tt ss")]
     got = {r.doc_id: r for r in check(spark.createDataFrame(small, "doc_id bigint, text string"), small, 2)}
     assert got[1].near_next == 1.0 and got[1].lanes == got[2].lanes and got[2].near_next < 0.5
+    far = [(-(2**63) + 1, "least id"), (2**63 - 1, "largest id"), (0, "middle"), (5, "near the middle")]
+    check(spark.createDataFrame(far, "doc_id bigint, text string"), far, 1)
     one = [(4, "alone in here")]
     assert check(spark.createDataFrame(one, "doc_id bigint, text string"), one, 10)[0].near_next == 1.0
     assert ms.fingerprint_documents(df.limit(0)).count() == 0
