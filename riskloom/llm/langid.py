@@ -8,7 +8,6 @@ text. Since its input is one-hot, a filter is a sum of table entries; pairs of b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,6 @@ SPAN = WINDOW + max(WIDTHS) - 1
 TRAIN_DOCUMENTS = 3000
 _LETTER = np.zeros(256, dtype=np.bool_)
 _LETTER[97:123] = True
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +152,7 @@ def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     sums = np.r_[0, np.cumsum(_LETTER[data])]
     out = sums[off[1:]] > sums[off[:-1]]
     for i in np.flatnonzero(~out & (np.diff(off) > 0)).tolist():
-        out[i] = _ANY_LETTER.search(data[off[i] : off[i + 1]].tobytes().decode()) is not None
+        out[i] = any(c.isalpha() for c in data[off[i] : off[i + 1]].tobytes().decode())
     return out
 
 

@@ -30,7 +30,7 @@ def test_edge_cases(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     net = langid.fit(df)
     assert net.langs == ["en", "fr"]
-    odd = [(1, None, 0.5), (2, "", 0.5), (3, "123 !!", 0.5), (4, "É", 0.5), (5, en, 0.5), (5, en, 0.5), (6, fr * 3000, 0.5), (None, fr, 0.5)]
+    odd = [(1, None, 0.5), (2, "", 0.5), (3, "123 !! ½ ٣", 0.5), (4, "É", 0.5), (5, en, 0.5), (5, en, 0.5), (6, fr * 3000, 0.5), (None, fr, 0.5)]
     got = langid.identify(spark.createDataFrame(odd, "doc_id bigint, text string, score double"), net)
     assert got.columns == ["doc_id", "text", "lang_pred", "score"]
     by = [(r.doc_id, r.lang_pred) for r in got.collect()]
