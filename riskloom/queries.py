@@ -14,11 +14,12 @@ from riskloom.operators import evaluate as E
 from riskloom.operators import knn
 from riskloom.operators.decide import decide
 from riskloom.operators.features import VECTOR, vectorize
-from riskloom.operators.index_build import MAXS, MINS, cluster_table, grid_cluster, storage_order
+from riskloom.operators.index_build import MAXS, MINS, build_index, cluster_table, grid_cluster, read_index, storage_order, write_index
 from riskloom.plans.score import event_index, event_vectors, ready, score_vectors, split_events
 from riskloom.session import shared_dir
+from riskloom.sources.dispatch import dispatch
 from riskloom.sources.events import as_requests, transactions
-from riskloom.sources.requests import parse_requests
+from riskloom.sources.requests import parse_requests, write_json
 from riskloom.streaming.score_stream import read_request_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +185,23 @@ def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(_table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7).cast("int").alias("votes")))
 
 
+@query(f"WITH votes AS (SELECT event_id, CAST(event_id % 7 AS INTEGER) AS votes FROM events) SELECT event_id, {_ANSWER} FROM votes")
+def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers written as JSON lines and read back."""
+    path = _scratch(spark, "answers")
+    write_json(response_json(spark, sf_dir).select("event_id", "fraud_score", "approved", "response"), path)
+    return spark.read.schema("event_id bigint, fraud_score double, approved boolean, response string").json(path)
+
+
+@query("SELECT 8 AS workers, count(*) AS n, true AS even FROM events")
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests dealt in turn to eight workers, none of which gets a tenth more or less than its share (or 64 rows)."""
+    sizes = dispatch(_table(spark, sf_dir, "events").select("event_id"), 8).groupBy("worker").agg(F.count("*").alias("n"))
+    fair = F.max(F.abs(F.col("n") - F.col("share")))
+    whole = sizes.agg((F.sum("n") / 8).alias("share"))
+    return sizes.join(F.broadcast(whole)).agg(F.count("*").cast("int").alias("workers"), F.sum("n").alias("n"), (fair <= F.greatest(F.lit(64.0), F.max("share") / 10)).alias("even"))  # eight rows and one
+
+
 @query("SELECT true AS ready")
 def ready_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, index = event_index(spark, sf_dir)
@@ -217,6 +235,21 @@ def index_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir).select("tag", "cid", "vi", "label", *VECTOR)
 
 
+def _scratch(spark: SparkSession, what: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {INDEX_SQL} SELECT cid, vi, label, {_V} FROM refs WHERE tag = 3")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tag of the index after it was stored and opened again; the filter prunes the other tags' files."""
+    known = split_events(event_vectors(spark, sf_dir))[1]
+    path = _scratch(spark, "index")
+    write_index(*build_index(known), path)
+    refs, _ = read_index(spark, path, ())
+    return refs.filter("tag = 3").select("cid", "vi", "label", *VECTOR)
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, (_, clusters) = event_index(spark, sf_dir)
     return knn.rank_clusters(knn.with_effective_tag(queries, clusters), clusters)
@@ -401,7 +434,7 @@ def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query events as a stream of JSON requests, scored in micro-batches from a folder."""
     _, index = event_index(spark, sf_dir)
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = _scratch(spark, "stream")
     asks = as_requests(_txns(spark, sf_dir)).filter("event_id % 10 = 0").withColumnRenamed("event_id", "qid")
     asks.repartition(4).write.json(f"{root}/in")
     stream = score_stream(read_request_stream(spark, f"{root}/in", files_per_batch=2), index, f"{root}/out", f"{root}/state")
