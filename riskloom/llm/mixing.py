@@ -142,23 +142,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     table = []
     for s in sizes:
         own = [(k, p) for k, p in enumerate(phases) if s in p.slots]
-        table.append((s, sizes[s], blocks[s], m[s], [p.used[s] for _, p in own], [k for k, _ in own], [p.begin for _, p in own], [p.period for _, p in own], [p.slots[s] for _, p in own]))
+        table.append((s, m[s], [p.used[s] for _, p in own], [k for k, _ in own], [p.begin for _, p in own], [p.period for _, p in own], [p.slots[s] for _, p in own]))
     spark = docs.sparkSession
-    schema = "s string, n_rows bigint, n_blocks bigint, m bigint, used array<bigint>, phase array<int>, begin array<bigint>, period array<bigint>, slots array<array<bigint>>"
+    schema = "__s string, __m bigint, __used array<bigint>, __phase array<int>, __begin array<bigint>, __period array<bigint>, __slots array<array<bigint>>"
     sources = spark.createDataFrame(table, schema)
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counted.withColumn("offset", F.coalesce(before, F.lit(0))).select(F.col("__source").alias("s"), F.col("__bucket").alias("b"), "offset")
-    known = offsets.join(sources, "s")
+    offsets = counted.withColumn("__offset", F.coalesce(before, F.lit(0))).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__offset")
+    known = offsets.join(sources, "__s")
 
     own = Window.partitionBy("__source", "__bucket").orderBy("__hash", F.xxhash64(*[F.col(c) for c in docs.columns]))
     ranked = keyed.withColumn("__nr", F.row_number().over(own) - 1)
-    placed = ranked.join(known, (F.col("__source") == known["s"]) & (F.col("__bucket") == known["b"]))
-    rank = F.col("__nr") + F.col("offset")
+    placed = ranked.join(known, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
+    rank = F.col("__nr") + F.col("__offset")
     placed = placed.withColumn("__rank", rank).withColumn("__block", F.floor(rank / block_rows).cast("bigint"))
-    placed = placed.withColumn("__k", F.size(F.filter("used", lambda u: u <= F.col("__block"))) - 1)
-    at = F.col("__block") - F.get("used", F.col("__k"))
-    slot = F.get("begin", F.col("__k")) + F.floor(at / F.col("m")).cast("bigint") * F.get("period", F.col("__k")) + F.get(F.get("slots", F.col("__k")), (at % F.col("m")).cast("int"))
-    placed = placed.select(*docs.columns, F.get("phase", F.col("__k")).alias("mix_phase"), slot.alias("mix_block"), (F.col("__rank") - F.col("__block") * block_rows).alias("__in"))
+    placed = placed.withColumn("__k", F.size(F.filter("__used", lambda u: u <= F.col("__block"))) - 1)
+    at = F.col("__block") - F.get("__used", F.col("__k"))
+    slot = F.get("__begin", F.col("__k")) + F.floor(at / F.col("__m")).cast("bigint") * F.get("__period", F.col("__k")) + F.get(F.get("__slots", F.col("__k")), (at % F.col("__m")).cast("int"))
+    placed = placed.select(*docs.columns, F.get("__phase", F.col("__k")).alias("mix_phase"), slot.alias("mix_block"), (F.col("__rank") - F.col("__block") * block_rows).alias("__in"))
     # slots are full but for the last block of each source: subtract what those lack before a slot
     short = []
     for s in sizes:

@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.llm import mixing
 from riskloom.llm.queries import op3_pfair_mix
@@ -69,6 +70,8 @@ def test_rows_against_brute_force(spark, bucket_rows):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), "t") for i in range(200)] + [(5, "a", "t"), (5, "a", "t"), (None, "d", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, mix_block string")
+    for clash in ("n", "s", "m", "used", "offset", "begin", "slots"):
+        df = df.withColumn(clash, F.lit("x"))
     weights = {"a": 5.0, "b": 3.0, "c": 1.0, "": 2.0, "d": 0.5}
     got = mixing.mixed_in_order(df, weights=weights, block_rows=4, period=23, bucket_rows=bucket_rows).collect()
     assert [r.mix_position for r in got] == list(range(len(rows)))
