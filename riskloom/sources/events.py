@@ -1,16 +1,17 @@
 """Transactions derived from a table of events, for trying the engine on data that holds no transactions.
 
 Averages are sums of decimals, so they are the same in any order and on any engine; they are aggregates that
-are joined back, not windows, so no user or merchant is gathered in one task for them. Only what looks at a
-user's own history is a window over the user.
+are joined back, not windows, and a user's history is taken by user and day, so no user or merchant is ever
+gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalar as S
+from riskloom.operators.history import with_history
 
 #: Category code by event type. Fixed values.
 EVENT_MCC = {"click": 5411, "view": 5812, "signup": 5944, "purchase": 7995, "error": 9999}
@@ -25,16 +26,8 @@ def transactions(events: DataFrame) -> DataFrame:
     mean = lambda name: (F.sum(exact).cast("double") / F.count("*")).cast("float").alias(name)
     users = base.groupBy("user_id").agg(mean("customer_avg_amount"))
     merchants = base.groupBy("m").agg(mean("merchant_avg_amount"))
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    day = Window.partitionBy("user_id").orderBy("us").rangeBetween(-86400 * 1000 * 1000, 0)
     code = F.create_map(*[F.lit(x) for pair in EVENT_MCC.items() for x in pair])
-    rows = (
-        base.withColumn("last_ts", F.lag("ts").over(own))
-        .withColumn("known_merchants", F.collect_list("merchant_id").over(own.rowsBetween(-5, -1)))
-        .withColumn("tx_count_24h", F.least(F.lit(255), F.count("*").over(day)).cast("int"))
-        .join(users, "user_id")
-        .join(merchants, "m")
-    )
+    rows = with_history(base).withColumn("tx_count_24h", F.least(F.lit(255), F.col("day_count")).cast("int")).join(users, "user_id").join(merchants, "m")
     has_last = F.col("last_ts").isNotNull()
     return rows.select(
         "event_id",
