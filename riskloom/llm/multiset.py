@@ -6,8 +6,8 @@ and paragraphs are inserted or deleted by adding or subtracting their vectors (`
 
 * ``ID_LANES`` identity lanes hold 64-bit hashes of the whole paragraph, summed modulo 2**64: equal
   multisets agree in all, others differ in them but for chance.
-* ``LANES`` likeness lanes hold, for each run of three words of the paragraph, the bits of its 64-bit
-  hash, one bit a lane, summed modulo 2**32, and one more lane the number of runs. With n runs and s set
+* ``LANES`` likeness lanes hold, for each run of three words of the paragraph, the bits of two 64-bit
+  hashes, one bit a lane, summed modulo 2**32, and one more lane the number of runs. With n runs and s set
   bits, 2 s - n is a sum of random signs, so the cosine of two such vectors estimates the cosine of the
   two multisets of runs, whatever their size. Likeness is that estimate, cut to 0..1.
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ID_LANES = 4
-LANES = 64
+LANES = 128
 RUN = 3
 _MASK = (1 << 32) - 1
 _PAIR = 0x0000000100000001
@@ -49,13 +49,16 @@ def runs_of(words: Column) -> Column:
     return F.when(F.size(words) >= RUN, F.transform(F.sequence(F.lit(0), F.size(words) - RUN), lambda i: at(words, i, 17))).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def lane_sums(paragraph: Column, run: Column, head: Column) -> list[Column]:
-    """Aggregates over exploded runs: identity lanes are added once a paragraph, where ``head`` is true."""
+def lane_sums(paragraph: Column, run: Column, again: Column, head: Column) -> list[Column]:
+    """Aggregates over exploded runs: identity lanes are added once a paragraph, where ``head`` is true.
+
+    ``again`` is a second hash of ``run``, null with it.
+    """
     out = []
     for i in range(ID_LANES):
         h = F.xxhash64(paragraph, F.lit(1009 + i))
         out += [F.sum(F.when(head, F.shiftrightunsigned(h, 32))).alias(f"id{i}h"), F.sum(F.when(head, h.bitwiseAND(F.lit(_MASK)))).alias(f"id{i}l")]
-    out += [F.sum(F.shiftrightunsigned(run, i).bitwiseAND(F.lit(_PAIR))).alias(f"like{i}") for i in range(LANES // 2)]
+    out += [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_PAIR))).alias(f"like{32 * k + i}") for k, h in enumerate((run, again)) for i in range(32)]
     return [*out, F.count(run).alias("runs")]
 
 
@@ -118,8 +121,9 @@ def fingerprint_groups(rows: DataFrame, keys: list[str], texts: dict[str, Column
     # a generator between them keeps the optimizer from splitting the line again for each run
     words = lines.select(*keys, "kind", "line", F.explode(F.array(words_of(F.col("line")))).alias("words"))
     runs = words.select(*keys, "kind", "line", F.posexplode_outer(runs_of(F.col("words"))).alias("at", "run"))
+    runs = runs.withColumn("again", F.when(F.col("run").isNotNull(), F.xxhash64("run", F.lit(23))))
     head = F.coalesce(F.col("at"), F.lit(0)) == 0
-    sums = runs.groupBy(*keys, "kind").agg(*lane_sums(F.col("line"), F.col("run"), head)).select(*keys, "kind", packed().alias("lanes"))
+    sums = runs.groupBy(*keys, "kind").agg(*lane_sums(F.col("line"), F.col("run"), F.col("again"), head)).select(*keys, "kind", packed().alias("lanes"))
     return sums.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col("lanes"))).alias(name) for k, name in enumerate(texts)])
 
 
@@ -170,7 +174,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_bucket: int = 4096) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_bucket: int = 1024) -> DataFrame:
     """One row for each row of ``docs``: its fingerprint, that of its edited text, and their likeness.
 
     Returns doc_id, n_chars, edited (text), lanes, edited_lanes, near_edited, near_next. The next document
