@@ -84,6 +84,7 @@ feat AS (SELECT event_id, label, CAST(card_present AS INTEGER) * 8 + CAST(is_onl
  CASE mcc {_MCC} ELSE {S.MCC_DEFAULT} END AS v12, {_q('merchant_avg_amount / 10000::FLOAT')} AS v13 FROM txn)"""
 
 _V = ", ".join(VECTOR)
+_SHORT = ", ".join(f"CAST({v} AS SMALLINT) AS {v}" for v in VECTOR)
 _DIST = " + ".join(f"(CAST(q.{v} AS BIGINT) - r.{v}) * (CAST(q.{v} AS BIGINT) - r.{v})" for v in VECTOR)
 _LB = " + ".join(f"greatest(c.min{i} - q.v{i}, q.v{i} - c.max{i}, 0::BIGINT) * greatest(c.min{i} - q.v{i}, q.v{i} - c.max{i}, 0::BIGINT)" for i in range(len(VECTOR)))
 
@@ -116,7 +117,7 @@ def fraud_score_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_vectors(queries, index, "exact")
 
 
-@query(f"WITH {FEAT_SQL} SELECT event_id, label, tag, {_V} FROM feat")
+@query(f"WITH {FEAT_SQL} SELECT event_id, label, tag, {_SHORT} FROM feat")
 def txn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_vectors(spark, sf_dir)
 
@@ -126,7 +127,7 @@ def txn_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_vectors(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"), F.sum("label").alias("fraud"))
 
 
-@query(f"WITH {TXN_SQL} SELECT mcc, CASE mcc {_MCC} ELSE {S.MCC_DEFAULT} END AS risk, count(*) AS n FROM txn GROUP BY mcc")
+@query(f"WITH {TXN_SQL} SELECT CAST(mcc AS BIGINT) AS mcc, CASE mcc {_MCC} ELSE {S.MCC_DEFAULT} END AS risk, count(*) AS n FROM txn GROUP BY mcc")
 def mcc_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _txns(spark, sf_dir).groupBy("mcc").agg(F.count("*").alias("n")).select("mcc", S.mcc_risk(F.col("mcc")).alias("risk"), "n")
 
@@ -170,7 +171,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_requests(_txns(spark, sf_dir)).select("event_id", "label", spoilt.alias("body"))
 
 
-@query(f"WITH {FEAT_SQL} SELECT event_id, label, tag, {_V} FROM feat WHERE event_id % 20 NOT BETWEEN 1 AND 5")
+@query(f"WITH {FEAT_SQL} SELECT event_id, label, tag, {_SHORT} FROM feat WHERE event_id % 20 NOT BETWEEN 1 AND 5")
 def json_parse_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorize(parse_requests(_bodies(spark, sf_dir)).filter("valid"), "event_id", "label")
 
@@ -230,7 +231,7 @@ def cluster_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_table(_refs(spark, sf_dir)).select("tag", "cid", "first", "n")
 
 
-@query(f"WITH {INDEX_SQL} SELECT tag, cid, vi, label, {_V} FROM refs")
+@query(f"WITH {INDEX_SQL} SELECT tag, cid, vi, label, {_SHORT} FROM refs")
 def index_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir).select("tag", "cid", "vi", "label", *VECTOR)
 
@@ -240,7 +241,7 @@ def _scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {INDEX_SQL} SELECT cid, vi, label, {_V} FROM refs WHERE tag = 3")
+@query(f"WITH {INDEX_SQL} SELECT cid, vi, label, {_SHORT} FROM refs WHERE tag = 3")
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tag of the index after it was stored and opened again; the filter prunes the other tags' files."""
     known = split_events(event_vectors(spark, sf_dir))[1]

@@ -30,6 +30,8 @@ def test_query(name, spark, con):
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
+    names = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: names[t] for c, t in got.dtypes} == dict(zip(want.columns, map(str, want.types), strict=True))
     cols = sorted(got.columns)
     left = sorted(repr([plain(dict(zip(want.columns, r, strict=True))[c]) for c in cols]) for r in want.fetchall())
     right = sorted(repr([plain(r[c]) for c in cols]) for r in got.collect())
