@@ -28,6 +28,7 @@ PROBES = 12
 MIXED = (1, 4)  # votes from .. to that are searched again
 BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 1 << 17
+LEAST_QUERY_ROWS = 1 << 11
 
 
 # ---- declarative forms -------------------------------------------------------------------------------------------
@@ -84,23 +85,50 @@ def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.stack([batch.column(first + i).to_numpy(zero_copy_only=False) for i in range(DIMS)], axis=1).astype(np.float64)
 
 
+_GROUP = 64
+
+
 def _topk(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, reference row, distance) of the k nearest, ties to the earlier reference; all exact in doubles."""
-    k = min(k, len(r))
-    rr, rows, refs, dists = (r * r).sum(axis=1), [], [], []
-    shift = float(1 << int(len(r)).bit_length())  # distance * shift + row stays below 2**53: 2**31 x 2**16
-    step = max(1, (1 << 21) // max(1, len(r)))
+    """(query row, reference row, distance) of the k nearest, ties to the earlier reference; all exact in doubles.
+
+    A key is the distance (but for what depends on the query alone) and the row in one number. The k nearest lie in the k
+    groups of references with the smallest least keys, so only those groups are looked through.
+    """
+    n, k = len(r), min(k, len(r))
+    groups = -(-n // _GROUP)
+    shift = float(1 << n.bit_length())  # keys stay below 2**53: 14 x 2e8 x 2**17
+    padded = np.zeros((groups * _GROUP, r.shape[1]))
+    padded[:n] = r
+    base = (padded * padded).sum(axis=1) * shift + np.arange(len(padded))
+    base[n:] = np.inf
+    across, own = np.ascontiguousarray(padded.T), (q * q).sum(axis=1)
+    rows, refs, dists = [], [], []
+    step = max(1, (1 << 20) // len(padded))
     for a in range(0, len(q), step):
         part = q[a : a + step]
-        d = (part * part).sum(axis=1)[:, None] + rr[None, :] - 2.0 * (part @ r.T)
-        key = d * shift + np.arange(len(r))
-        best = np.argpartition(key, k - 1, axis=1)[:, :k] if k < len(r) else np.broadcast_to(np.arange(len(r)), (len(part), len(r)))
+        key = (part * (-2.0 * shift)) @ across
+        key += base
+        key = key.reshape(len(part), groups, _GROUP)
+        if groups > k:
+            near = np.argpartition(key.min(axis=2), k - 1, axis=1)[:, :k]
+            key = np.take_along_axis(key, near[:, :, None], axis=1)
+        flat = key.reshape(len(part), -1)
+        best = np.sort(np.partition(flat, k - 1, axis=1)[:, :k], axis=1)
+        at = np.mod(best, shift)
         rows.append(np.repeat(np.arange(a, a + len(part)), k))
-        refs.append(best.ravel())
-        dists.append(np.take_along_axis(d, best, axis=1).ravel())
+        refs.append(at.astype(np.int64).ravel())
+        dists.append(((best - at) / shift + own[a : a + step, None]).ravel())
     return np.concatenate(rows), np.concatenate(refs), np.concatenate(dists)
 
 
+def _tasks(df: DataFrame) -> int:
+    """Partitions for the block scan. A number is given because few bytes make much work here: left alone,
+    Spark would merge small partitions into one task.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 CANDIDATES = "qid bigint, vi bigint, dist bigint, label int"
 
 
@@ -132,7 +160,7 @@ def block_topk(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
                 row, ref, dist = _topk(v[a:b], ready[0], k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row]), pa.array(ready[1][ref]), pa.array(np.rint(dist).astype(np.int64)), pa.array(ready[2][ref].astype(np.int32))], ["qid", "vi", "dist", "label"])
 
-    return both.repartition("block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, CANDIDATES)
+    return both.repartition(_tasks(queries), "block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, CANDIDATES)
 
 
 def merge_topk(candidates: DataFrame, k: int = K) -> DataFrame:
@@ -152,12 +180,17 @@ def _code(*parts: tuple[Column, int]) -> Column:
 def _dealt(queries: DataFrame, refs: DataFrame, keys: list[tuple[str, int]]) -> tuple[DataFrame, DataFrame]:
     """Queries and references of equal keys dealt into blocks, as block_topk takes them.
 
-    A key's references make ceil(rows / BLOCK_ROWS) blocks, its queries ceil(rows / QUERY_ROWS) parts; every
-    query part meets every block. Sizes are counted first; there are at most MAX_CLUSTERS keys a tag.
+    A key's references make blocks of BLOCK_ROWS at most, its queries parts that keep all cores busy, of
+    LEAST_QUERY_ROWS to QUERY_ROWS rows; every query part meets every block. Sizes are counted first; there
+    are at most MAX_CLUSTERS keys a tag.
     """
     names = [n for n, _ in keys]
-    parts = lambda df, rows, out: df.groupBy(*names).agg(F.ceil(F.count("*") / rows).cast("int").alias(out))
-    sizes = parts(refs, BLOCK_ROWS // 2, "nb").join(parts(queries, QUERY_ROWS, "nq"), names)  # half full on average
+    tasks = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    asked = queries.groupBy(*names).agg(F.count("*").alias("n"))
+    part = F.greatest(F.lit(LEAST_QUERY_ROWS), F.least(F.lit(QUERY_ROWS), F.ceil(F.sum("n").over(Window.partitionBy()) / tasks)))
+    asked = asked.select(*names, F.ceil(F.col("n") / part).cast("int").alias("nq"))
+    held = refs.groupBy(*names).agg(F.ceil(F.count("*") / (BLOCK_ROWS // 2)).cast("int").alias("nb"))  # half full on average
+    sizes = held.join(asked, names)
     code = lambda b, q: _code(*[(F.col(n), bits) for n, bits in keys], (b, 24), (q, 16))
     q = queries.join(sizes, names).withColumn("__q", F.pmod(F.hash("qid"), F.col("nq"))).withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     r = refs.join(sizes, names).withColumn("__b", F.pmod(F.hash("vi"), F.col("nb"))).withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
@@ -304,6 +337,6 @@ def embedding_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, block_
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["qid", "dist", "rid", "label"])
 
-    found = r.unionByName(q).repartition("block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, "qid bigint, dist double, rid bigint, label int")
+    found = r.unionByName(q).repartition(_tasks(refs), "block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, "qid bigint, dist double, rid bigint, label int")
     best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "rid", "label"))), 1, k)
     return found.groupBy("qid").agg(best.alias("near")).select("qid", F.explode("near").alias("n")).select("qid", "n.rid", "n.label")
