@@ -48,8 +48,14 @@ def mcc_number(text: Column) -> Column:
 
 
 def iso_timestamp(text: Column) -> Column:
-    """Local date and time of the first 19 characters of an ISO-8601 text; null if there is no such time."""
-    return F.try_to_timestamp(F.translate(F.substring(text, 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    """Date, hour and minute of the first 19 characters of an ISO-8601 text; null if there is no such time.
+
+    Seconds, zone and separators are not looked at. The time has no zone, whatever the session's is.
+    """
+    digits = F.regexp_extract(text, r"^([0-9]{4}.[0-9]{2}.[0-9]{2}.[0-9]{2}.[0-9]{2}.{3})", 1)
+    part = lambda at, n: F.substring(digits, at, n)
+    minute = F.concat(part(1, 4), F.lit("-"), part(6, 2), F.lit("-"), part(9, 2), F.lit(" "), part(12, 2), F.lit(":"), part(15, 2), F.lit(":00"))
+    return F.when(digits != "", minute.try_cast("timestamp_ntz"))
 
 
 def micros(ts: Column) -> Column:

@@ -125,3 +125,17 @@ def test_files(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     (tmp_path / "lines.txt").write_text(json.dumps(LEGIT) + "\nnope\n")
     assert sorted(r.status for r in read_requests(spark, str(tmp_path / "lines.txt")).collect()) == [200, 400]
+
+
+def test_times_have_no_zone(spark):
+    """An hour that a session's zone skips is a time like any other."""
+    texts = ["2026-03-29T02:30:59Z", "2026-03-29 02:30:99", "2026/03/29x02-30-00+05:00", "2026-03-29T02:30", "2026-02-30T00:00:00Z", "2026-03-29T24:00:00Z", "", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        ts = S.iso_timestamp(F.col("t"))
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.hour(ts).alias("h"), S.weekday(ts).alias("w"), S.micros(ts).alias("us")).orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [(r.h, r.w) for r in got] == [(2, 6)] * 3 + [(None, None)] * 5
+    assert len({r.us for r in got[:3]}) == 1
