@@ -133,7 +133,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
     none, the classifier is its intercept: 1 if all labels are 1, 0 if all are 0 or there are none.
     """
     rows = labelled.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
-    sample = cut(bounded_sample(rows.filter("y = 1"), F.col("k"), limit).unionByName(bounded_sample(rows.filter("y = 0"), F.col("k"), limit)))
+    both = bounded_sample(rows.filter("y = 1"), F.col("k"), limit).unionByName(bounded_sample(rows.filter("y = 0"), F.col("k"), limit))
+    sample = cut(both.repartition(2 * both.sparkSession.sparkContext.defaultParallelism))  # a limit leaves one partition
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
