@@ -4,11 +4,15 @@ The rows of each source are dealt into blocks. With an integer weight m of a tot
 source may not be placed before slot floor(i L / m) and not after slot ceil((i + 1) L / m) - 1; one block
 goes to each slot, and among the released blocks the one with the earliest deadline. All weights sum to
 one, so every deadline is met, and after any number of slots each source has less than one block more or
-less than its share. Since every lag is zero after L slots, one period of L slots is the whole schedule.
+less than its share. Since every lag is zero after L slots, one period of L slots repeats.
 
 When a source has no block left, the others go on with their weights among themselves, in a new phase with
 a period of its own; phases number at most the sources. So a row's place follows from its source, its rank
-in it and a table of the phases that depends on weights and block counts alone, not on the rows.
+in it and a table of the blocks' slots that depends on weights and block counts alone, not on the rows.
+
+Integer weights are rounded, so the period L is raised until the rounding moves no source by more than
+``ROUNDING`` blocks over the whole run: against the weights as given, a source is always less than
+1 + ``ROUNDING`` blocks off. Of a long period only the slots that are used are worked out.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +29,7 @@ from riskloom.llm.common import cut
 
 BLOCK_ROWS = 64
 PERIOD = 1000
+ROUNDING = 0.25
 MOST_SOURCES = 20_000
 BUCKET_ROWS = 512
 BUCKETS = 1 << 16
@@ -44,8 +51,11 @@ def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str
     return out
 
 
-def edf_period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period of sum(weights) slots, by earliest deadline first."""
+def edf_period(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """For each source the slots of its blocks in one period of sum(weights) slots, by earliest deadline first.
+
+    With ``left``, blocks by source, it ends early with the slot in which a source places its last one.
+    """
     period = sum(weights.values())
     slots: dict[str, list[int]] = {s: [] for s in weights}
     waiting: list[tuple[int, int, str]] = []  # (release, deadline, source)
@@ -60,6 +70,8 @@ def edf_period(weights: dict[str, int]) -> dict[str, list[int]]:
         deadline, s = heapq.heappop(ready)
         assert t < deadline
         slots[s].append(t)
+        if left is not None and len(slots[s]) == left[s]:
+            break
         if len(slots[s]) < weights[s]:
             heapq.heappush(waiting, (*window(s, len(slots[s])), s))
     return slots
@@ -81,9 +93,10 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
     used = dict.fromkeys(left, 0)
     begin, phases = 0, []
     while left:
-        slots = edf_period({s: weights[s] for s in left})
         period = sum(weights[s] for s in left)
-        last = {s: (n - 1) // weights[s] * period + slots[s][(n - 1) % weights[s]] for s, n in left.items()}
+        slots = edf_period({s: weights[s] for s in left}, left if period > PERIOD else None)
+        # a source whose slots were not worked out that far is not the first to end
+        last = {s: (n - 1) // weights[s] * period + slots[s][(n - 1) % weights[s]] for s, n in left.items() if (n - 1) % weights[s] < len(slots[s])}
         length = min(last.values()) + 1
         phases.append(Phase(begin, period, slots, {s: used[s] for s in left}))
         for s in list(left):
@@ -97,6 +110,47 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
     return phases
 
 
+def rounding(phases: list[Phase], blocks: dict[str, int], weights: dict[str, float], rounded: dict[str, int]) -> float:
+    """The most blocks by which the rounding of the weights moves a source, summed over all phases."""
+    off = dict.fromkeys(blocks, 0.0)
+    ends = [p.begin for p in phases[1:]] + [sum(blocks.values())]
+    for p, end in zip(phases, ends, strict=True):
+        total = sum(weights[s] for s in p.slots)
+        for s in p.slots:
+            off[s] += (end - p.begin) * abs(rounded[s] / p.period - weights[s] / total)
+    return max(off.values(), default=0.0)
+
+
+def plan_exact(blocks: dict[str, int], weights: dict[str, float], least: int = PERIOD) -> tuple[list[Phase], dict[str, int]]:
+    """The phases and integer weights of the first period, from ``least`` on, whose rounding stays within ROUNDING."""
+    period = max(least, len(weights))
+    while True:
+        rounded = integer_weights(weights, period)
+        phases = plan(blocks, rounded)
+        off = rounding(phases, blocks, weights, rounded)
+        if off <= ROUNDING:
+            return phases, rounded
+        period *= max(2, int(off / ROUNDING))
+
+
+def block_slots(phases: list[Phase], blocks: dict[str, int], weights: dict[str, int]) -> pa.Table:
+    """One row a block: its source, its number there, its slot and its phase."""
+    own: dict[str, list[tuple[int, Phase]]] = {s: [] for s in blocks}
+    for k, p in enumerate(phases):
+        for s in p.slots:
+            own[s].append((k, p))
+    names, parts = [], []
+    for s, at in own.items():
+        ends = [p.used[s] for _, p in at[1:]] + [blocks[s]]
+        for (k, p), end in zip(at, ends, strict=True):
+            i, slots = np.arange(end - p.used[s]), np.array(p.slots[s], dtype=np.int64)
+            # a list shorter than the weight was worked out as far as the phase goes
+            slot = slots[: len(i)] if len(i) <= len(slots) else i // weights[s] * p.period + slots[i % weights[s]]
+            parts.append((p.used[s] + i, p.begin + slot, np.full(len(i), k, dtype=np.int32)))
+            names += [s] * len(i)
+    return pa.table({"__s": pa.array(names, pa.string()), "__i": np.concatenate([x[0] for x in parts]), "__slot": np.concatenate([x[1] for x in parts]), "__phase": np.concatenate([x[2] for x in parts])})
+
+
 def row_hash(ident: Column) -> Column:
     """60 bits of the MD5 of an id's text, as a bigint; a null id counts as empty text."""
     digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
@@ -115,11 +169,11 @@ def _ranked(docs: DataFrame, source: str, ident: Column, total: int, bucket_rows
     return rows, rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, power: float = 0.5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, power: float = 0.5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All rows and columns of ``docs`` with mix_phase, mix_block (slot of the block) and mix_position (0, 1, ...).
 
     ``weights``: by source; a source that is missing is an error. Without them, a source of n rows weighs
-    n ** ``power``. Rows of a source are taken in the order of ``row_hash`` of their id; equal ids follow one
+    n ** ``power``. ``period``: of the rounded weights; without it, ``plan_exact`` finds one. Rows of a source are taken in the order of ``row_hash`` of their id; equal ids follow one
     another by the hash of all their columns. A null source is the source ''. No row is dropped or repeated:
     equal rows have a place each. Columns with the names of the results are replaced; an empty table gives
     no rows. The last block of a source may be short, so positions count the rows, not block_rows a slot.
@@ -134,39 +188,32 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     if not sizes:
         return docs.select("*", F.lit(0).alias("mix_phase"), F.lit(0).cast("bigint").alias("mix_block"), F.lit(0).cast("bigint").alias("mix_position"))
     wanted = {s: float(n) ** power for s, n in sizes.items()} if weights is None else {s: weights[s] for s in sizes}
-    m = integer_weights(wanted, max(period, len(sizes)))
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    phases = plan(blocks, m)
-
-    # one row a source: where its phases begin, in its own blocks, and the slots of one period of each
-    table = []
-    for s in sizes:
-        own = [(k, p) for k, p in enumerate(phases) if s in p.slots]
-        table.append((s, m[s], [p.used[s] for _, p in own], [k for k, _ in own], [p.begin for _, p in own], [p.period for _, p in own], [p.slots[s] for _, p in own]))
-    spark = docs.sparkSession
-    schema = "__s string, __m bigint, __used array<bigint>, __phase array<int>, __begin array<bigint>, __period array<bigint>, __slots array<array<bigint>>"
-    sources = spark.createDataFrame(table, schema)
+    if period is None:
+        phases, m = plan_exact(blocks, wanted)
+    else:
+        m = integer_weights(wanted, max(period, len(sizes)))
+        phases = plan(blocks, m)
+
+    # to each bucket the slots of the blocks that its rows are in
+    table = block_slots(phases, blocks, m)
+    slots = docs.sparkSession.createDataFrame(table)
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counted.withColumn("__offset", F.coalesce(before, F.lit(0))).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__offset")
-    known = offsets.join(sources, "__s")
+    offsets = counted.withColumn("__offset", F.coalesce(before, F.lit(0))).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__offset", "n")
+    first, last = F.floor(F.col("__offset") / block_rows), F.floor((F.col("__offset") + F.col("n") - 1) / block_rows)
+    needed = offsets.select("__s", "__b", "__offset", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("__i"))
+    known = needed.join(slots, ["__s", "__i"]).groupBy("__s", "__b").agg(F.min("__offset").alias("__offset"), F.min("__i").alias("__first"), F.array_sort(F.collect_list(F.struct("__i", "__slot", "__phase"))).alias("__slots"))
 
     own = Window.partitionBy("__source", "__bucket").orderBy("__hash", F.xxhash64(*[F.col(c) for c in docs.columns]))
     ranked = keyed.withColumn("__nr", F.row_number().over(own) - 1)
     placed = ranked.join(known, (F.col("__source") == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     rank = F.col("__nr") + F.col("__offset")
     placed = placed.withColumn("__rank", rank).withColumn("__block", F.floor(rank / block_rows).cast("bigint"))
-    placed = placed.withColumn("__k", F.size(F.filter("__used", lambda u: u <= F.col("__block"))) - 1)
-    at = F.col("__block") - F.get("__used", F.col("__k"))
-    slot = F.get("__begin", F.col("__k")) + F.floor(at / F.col("__m")).cast("bigint") * F.get("__period", F.col("__k")) + F.get(F.get("__slots", F.col("__k")), (at % F.col("__m")).cast("int"))
-    placed = placed.select(*docs.columns, F.get("__phase", F.col("__k")).alias("mix_phase"), slot.alias("mix_block"), (F.col("__rank") - F.col("__block") * block_rows).alias("__in"))
+    at = F.get("__slots", (F.col("__block") - F.col("__first")).cast("int"))
+    placed = placed.select(*docs.columns, at["__phase"].alias("mix_phase"), at["__slot"].alias("mix_block"), (F.col("__rank") - F.col("__block") * block_rows).alias("__in"))
     # slots are full but for the last block of each source: subtract what those lack before a slot
-    short = []
-    for s in sizes:
-        lack = blocks[s] * block_rows - sizes[s]
-        if lack:
-            p = max((p for p in phases if s in p.slots), key=lambda p: p.begin)
-            i = blocks[s] - 1 - p.used[s]
-            short.append((p.begin + i // m[s] * p.period + p.slots[s][i % m[s]], lack))
+    last_slot = dict(zip(table["__s"].to_pylist(), table["__slot"].to_pylist(), strict=True))  # each source's blocks stand in order
+    short = [(last_slot[s], blocks[s] * block_rows - n) for s, n in sizes.items() if blocks[s] * block_rows > n]
     short.sort()
     ends, lacks, run = [], [0], 0
     for at_slot, lack in short:

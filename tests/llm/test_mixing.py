@@ -91,3 +91,31 @@ def test_query(spark, sf_dir):
         sizes[r.source] = sizes.get(r.source, 0) + 1
     weights = mixing.integer_weights({s: n**0.5 for s, n in sizes.items()})
     assert [r.source for r in got] == brute([r.source for r in docs], weights, mixing.BLOCK_ROWS)
+
+
+def test_targets_are_the_weights_as_given(spark):
+    sizes, weights = {"a": 20000, "b": 3, "c": 6, "d": 9000}, {"a": 0.7334567, "b": 0.0001, "c": 0.0002, "d": 0.2662433}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    got = mixing.mixed_in_order(spark.createDataFrame(rows, "doc_id bigint, source string"), weights=weights, block_rows=1).select("source", "mix_phase", "mix_block").collect()
+    assert [r.mix_block for r in got] == list(range(len(rows))) and {s: sum(r.source == s for r in got) for s in sizes} == sizes
+    left, share, done = dict(sizes), dict.fromkeys(sizes, 0.0), dict.fromkeys(sizes, 0)
+    for r in got:
+        alive = [s for s in left if left[s]]
+        total = sum(weights[s] for s in alive)
+        done[r.source] += 1
+        left[r.source] -= 1
+        for s in alive:
+            share[s] += weights[s] / total
+        # a phase begins with all lags at zero
+        assert all(abs(done[s] - share[s]) < 1.25 for s in alive)
+        if not left[r.source]:
+            share = {s: float(done[s]) for s in sizes}
+
+
+def test_long_runs_stay_on_target():
+    blocks = {"hot": 36459} | {f"s{i}": 3646 for i in range(20)}  # 7 million rows in blocks of 64
+    weights = {s: (64 * n) ** 0.5 for s, n in blocks.items()}
+    phases, rounded = mixing.plan_exact(blocks, weights)
+    assert mixing.rounding(phases, blocks, weights, rounded) <= mixing.ROUNDING
+    table = mixing.block_slots(phases, blocks, rounded)
+    assert sorted(table["__slot"].to_pylist()) == list(range(sum(blocks.values())))
