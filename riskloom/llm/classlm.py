@@ -6,17 +6,22 @@ texts:
 
 * word counts, by a shuffle of counts pre-aggregated in each task;
 * bigrams of *symbols*: the ``words`` most frequent words each are one, every other word falls to one of
-  ``groups`` groups by a hash of its last three bytes, so an unseen word has a symbol too. The table has at
-  most (words + groups + 1)**2 cells however large the corpus is, and is gathered on the driver, where
-  exchange clustering moves each symbol to the class that most raises the likelihood, until none moves.
+  ``groups`` groups by a hash of its last three bytes. The table has at most (words + groups + 1)**2 cells
+  however large the corpus is, and is gathered on the driver, where exchange clustering moves each symbol to
+  the class that most raises the likelihood, until none moves;
+* contexts of every other word seen, however rare: how often each class of the symbols stands before and
+  after it. In passes over all these words, each goes to the class under which its contexts are likeliest,
+  and the classes' contexts are summed anew, until no move raises the likelihood. The contexts' own classes
+  stay those of the symbols, so each pass can only raise it. Words with the same contexts are one row there;
+* bigrams of the final classes, over all texts. Only an unseen word takes the class of its group.
 
 Smoothing: transitions are discounted and interpolated with class frequencies. In a class of N tokens and
 V words, a word seen c times has (c - d) / N and the unknown word has what is left, d V / N; d is
 n1 / (n1 + 2 n2) from the numbers of words seen once and twice. Vocabulary and unknown sum to one.
 
-Scoring looks words up in a broadcast table of at most ``table_words`` words, the most frequent ones. The
-rare rest of each text is joined with the full counts by a shuffle, whatever the vocabulary's size: a rare
-word has few rows, so no key is hot.
+The ``class_words`` most frequent words have their classes, and the ``table_words`` most frequent their
+counts, in a broadcast table. The rare rest of each text is joined with the full counts by a shuffle,
+whatever the vocabulary's size: a rare word has few rows, so no key is hot.
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ CLASSES = 64
 SYMBOL_WORDS = 1535
 SUFFIX_GROUPS = 512
 TABLE_WORDS = 1 << 18
+CLASS_WORDS = 1 << 18
 DISCOUNT = 0.75
 _HELD = 2_000_000  # distinct keys a task holds before it hands them on
 
@@ -127,11 +133,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """A class for each symbol by the exchange algorithm; symbol 0 alone is class 0.
 
     Starts with the most frequent symbols in classes of their own and the others dealt in turn, and moves
-    one symbol at a time to the class with the highest bigram likelihood. Ties keep the lower class.
+    one symbol at a time to the class with the highest bigram likelihood, until none moves. Ties keep the lower class.
     """
     n = len(bigrams)
     total = bigrams.sum(axis=0)
@@ -143,7 +149,9 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     before, after = bigrams.T @ member, bigrams @ member  # by symbol: counts of the classes before and after it
     table = member.T @ after
     size = np.bincount(cls, weights=total, minlength=classes)
-    for _ in range(rounds):
+    least = 1e-9 + 1e-12 * float(_xlogx(total.sum()))  # less is rounding
+    moved = 1
+    while moved:
         moved = 0
         for w in order.tolist():
             if not total[w]:
@@ -162,7 +170,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
             gain -= 2 * (_xlogx(size + total[w]) - _xlogx(size))
             gain[0] = -np.inf
             b = int(np.argmax(gain))
-            b = a if gain[b] <= gain[a] + 1e-9 else b
+            b = a if gain[b] <= gain[a] + least else b
             table[b, :] += right
             table[:, b] += left
             table[b, b] += self_
@@ -173,11 +181,105 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
                 before[:, b] += bigrams[w]
                 after[:, a] -= bigrams[:, w]
                 after[:, b] += bigrams[:, w]
-        if not moved:
-            break
     return cls
 
 
+def count_contexts(texts: DataFrame, symbols: Symbols, cls: np.ndarray, classes: int) -> DataFrame:
+    """(h, contexts) of every word that is not a symbol of its own: sorted n * 2 classes + code.
+
+    The code is the class before, or ``classes`` + the class after; n how often it stands there.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((symbols, cls))
+
+    def merged(held: list) -> pa.RecordBatch:
+        h, code = (np.concatenate([x[i] for x in held]) for i in range(2))
+        order = np.lexsort((code, h))
+        h, code = h[order], code[order]
+        head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
+        held[:] = []
+        return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(code[head]), pa.array(np.diff(np.r_[head, len(h)]))], ["h", "code", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        sym, of = sent.value
+        for batch in batches:
+            for _, _, data, off in blocks(batch.column(0)):
+                w, h, g = _words(data, off, sym.groups)
+                s, at = sym.of(h, g), np.arange(len(w)) + w.doc
+                line = np.zeros(len(w) + w.n_docs, dtype=np.int32)
+                line[at] = of[s]
+                other = s > len(sym.hashes)
+                before, after = np.r_[0, line[:-1]][at[other]], line[at[other] + 1]
+                if other.any():
+                    held.append((np.tile(h[other], 2), np.concatenate([before, classes + after]).astype(np.int32)))
+                if sum(len(x[0]) for x in held) > _HELD:
+                    yield merged(held)
+        if held:
+            yield merged(held)
+
+    cells = texts.select("text").mapInArrow(run, "h bigint, code int, n bigint").groupBy("h", "code").agg(F.sum("n").alias("n"))
+    return cells.groupBy("h").agg(F.array_sort(F.collect_list(F.col("n") * (2 * classes) + F.col("code"))).alias("contexts"))
+
+
+def _dense(column: pa.Array, classes: int) -> np.ndarray:
+    """Contexts as a row of 2 classes counts each."""
+    off, v = np.asarray(column.offsets), np.asarray(column.values)
+    out = np.zeros((len(column), 2 * classes))
+    out[np.repeat(np.arange(len(column)), np.diff(off)), v[off[0] : off[-1]] % (2 * classes)] = v[off[0] : off[-1]] // (2 * classes)
+    return out
+
+
+def _best(contexts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The likeliest class of each row of contexts under the classes' contexts ``table``, never class 0."""
+    size = table.sum(axis=1, keepdims=True) / 2
+    score = contexts @ (np.log(np.maximum(table, 1e-300)) - np.log(np.maximum(size, 1e-300))).T
+    return 1 + np.argmax(np.where(size[1:, 0] > 0, score[:, 1:], -np.inf), axis=1)
+
+
+def assign(contexts: DataFrame, own: np.ndarray, start: np.ndarray, classes: int) -> tuple[DataFrame, int]:
+    """(h, k): the class of every word of ``contexts``, and the number of passes.
+
+    ``own`` are the contexts of the symbols that keep their classes, ``start`` those of the classes at first.
+    """
+    contexts = cut(contexts)
+    alike = cut(contexts.groupBy("contexts").agg(F.count("*").alias("w")))
+    sc = contexts.sparkSession.sparkContext
+    likelihood = lambda x: float(_xlogx(x).sum() - 2 * _xlogx(x.sum(axis=1) / 2).sum())
+
+    def summed(table: np.ndarray) -> np.ndarray:
+        sent = sc.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((classes, 2 * classes))
+            for batch in batches:
+                x = _dense(batch.column(0), classes)
+                k = _best(x, sent.value)
+                out += (np.arange(classes)[:, None] == k).astype(np.float64) @ (x * batch.column(1).to_numpy()[:, None])
+            i = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(out.ravel()[i].astype(np.int64))], ["i", "n"])
+
+        got = alike.mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        sent.destroy()
+        out = own.copy()
+        out.ravel()[got.column("i").to_numpy()] += got.column("n").to_numpy()
+        return out
+
+    table, after, passes = start, summed(start), 1
+    while True:
+        later, passes = summed(after), passes + 1
+        if likelihood(later) <= likelihood(after) + 1e-12 * abs(likelihood(after)):
+            break
+        table, after = after, later
+    sent = sc.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = _best(_dense(batch.column(1), classes), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k.astype(np.int32))], ["h", "k"])
+
+    return contexts.select("h", "contexts").mapInArrow(run, "h bigint, k int"), passes
+
+
 @dataclass
 class Model:
     """What the scorer needs; ``words`` are sorted hashes of the broadcast table."""
@@ -193,6 +295,7 @@ class Model:
     tokens: int
     vocabulary: int
     ends: int
+    passes: int  # over the words that are not symbols of their own
 
     def emission(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
         """log10 P(word | class) of words seen c times in class k."""
@@ -205,79 +308,152 @@ class Model:
         return np.log10((c + 1.0) / (self.tokens + self.vocabulary + 1))
 
 
-def train(texts: DataFrame, classes: int = CLASSES, words: int = SYMBOL_WORDS, groups: int = SUFFIX_GROUPS, table_words: int = TABLE_WORDS) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``texts`` (column ``text``) and the counts (h, g, c) of all their words."""
-    texts = texts.select("text")
-    counts = cut(count_words(texts, groups))
-    ends = texts.count()
+def _frequent(counts: DataFrame, most: int) -> int:
+    """The least count of the at most ``most`` most frequent words."""
     shift = F.greatest(F.lit(0), F.floor(F.log2("c")).cast("int") - 7)
     level = F.expr("shiftleft(shiftright(c, s), s)")
-    levels = counts.select(shift.alias("s"), "c").select(level.alias("q"), "c").groupBy("q").agg(F.count("*").alias("n"), F.sum("c").alias("tokens")).collect()  # some hundreds of rows
-    levels.sort(key=lambda r: -r.q)
-    least, room = 1 << 62, table_words
-    for r in levels:
-        if r.n > room:
+    levels = counts.select(shift.alias("s"), "c").select(level.alias("q")).groupBy("q").agg(F.count("*").alias("n")).collect()  # some hundreds of rows
+    least = 1 << 62
+    for r in sorted(levels, key=lambda r: -r.q):
+        if r.n > most:
             break
-        least, room = r.q, room - r.n
-    frequent = counts.filter(F.col("c") >= least).toArrow()
-    h, g, c = (frequent.column(x).to_numpy() for x in ("h", "g", "c"))
+        least, most = r.q, most - r.n
+    return least
+
+
+def _in(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``h`` is in the sorted ``table``, and whether it is."""
+    if not len(table):
+        return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h
+
+
+def _patched(line: bytes, found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of a text's words; the counts and classes of its found ones, and the classes those had before."""
+    k = np.frombuffer(line, dtype=np.int16).astype(np.int64)
+    at, c, new = found["at"], found["c"], found["k"].astype(np.int64)
+    old = k[at]
+    k[at] = new
+    return k, c, new, old
+
+
+def _lines(texts: DataFrame, symbols: Symbols, cls: np.ndarray, known: np.ndarray, counts: DataFrame, model: Model | None = None) -> DataFrame:
+    """``texts`` (any columns, then the text) with, instead of the text, ``line`` and ``found``.
+
+    ``line`` has the class of each word, or that of its group if ``symbols`` don't have it. ``found`` has (at, c, k):
+    place, count and class of each word in ``counts``, which has the words counted that are not in ``known``.
+    With a ``model``, known_n is the number of its words in ``known``, known_base and known_score are its sums with
+    the words that are not in ``known`` as if they were unseen.
+    """
+    keep = texts.columns[:-1]
+    sent = texts.sparkSession.sparkContext.broadcast((symbols, cls.astype(np.int16), known, model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sym, of, have, lm = sent.value
+        for batch in batches:
+            for lo, hi, data, off in blocks(batch.column(len(keep))):
+                w, h, g = _words(data, off, sym.groups)
+                k = np.ascontiguousarray(of[sym.of(h, g)])
+                where, seen = _in(have, h)
+                rare = np.flatnonzero(~seen)
+                bounds = pa.array(np.searchsorted(w.doc[rare], np.arange(w.n_docs + 1)).astype(np.int32))
+                places = (rare - w.first[w.doc[rare]]).astype(np.int32)
+                columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
+                columns.append(pa.Array.from_buffers(pa.binary(), w.n_docs, [None, pa.py_buffer((2 * w.first).astype(np.int32)), pa.py_buffer(k)]))
+                columns += [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (h[rare], places)]
+                if lm is not None:
+                    c = np.zeros(len(w), dtype=np.int64)
+                    c[seen] = lm.counts[where[seen]]
+                    columns.append(pa.array(np.bincount(w.doc[seen], minlength=w.n_docs).astype(np.int64)))
+                    columns.append(pa.array(np.bincount(w.doc, lm.base(c), w.n_docs).astype(np.float64)))
+                    columns.append(pa.array(np.bincount(w.doc, lm.emission(c, k.astype(np.int64)), w.n_docs).astype(np.float64)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    more = [("line", "binary"), ("rare_h", "array<bigint>"), ("rare_at", "array<int>")]
+    more += [("known_n", "bigint"), ("known_base", "double"), ("known_score", "double")] if model is not None else []
+    names = [*keep, *[n for n, _ in more]]
+    schema = ", ".join(f"{n} {d}" for n, d in [*[(c, texts.schema[c].dataType.simpleString()) for c in keep], *more])
+    local = cut(texts.mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
+    rare = local.select("row", F.explode(F.arrays_zip("rare_h", "rare_at")).alias("r")).select("row", F.col("r.rare_h").alias("h"), F.col("r.rare_at").alias("at"))
+    found = rare.join(counts.select("h", "c", "k"), "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "k")).alias("found"))
+    return local.drop("rare_h", "rare_at").join(found, "row", "left").drop("row")
+
+
+def count_classes(lines: DataFrame, classes: int) -> np.ndarray:
+    """The classes x classes matrix of how often a class follows another, texts framed by the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(classes * classes, dtype=np.int64)
+        for batch in batches:
+            for line, found in zip(batch.column(0).to_pylist(), _found(batch.column(1)), strict=True):
+                k = _patched(line, found)[0]
+                out += np.bincount(np.r_[0, k] * classes + np.r_[k, 0], minlength=classes * classes)
+        i = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(out[i])], ["i", "n"])
+
+    got = lines.select("line", "found").mapInArrow(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(classes * classes)
+    table[got.column("i").to_numpy()] = got.column("n").to_numpy()
+    return table.reshape(classes, classes)
+
+
+def train(texts: DataFrame, classes: int = CLASSES, words: int = SYMBOL_WORDS, groups: int = SUFFIX_GROUPS, table_words: int = TABLE_WORDS, class_words: int = CLASS_WORDS) -> tuple[Model, DataFrame]:
+    """The model of all rows of ``texts`` (column ``text``) and (h, g, c, k) of all their words, k the class."""
+    texts = texts.select("text")
+    spark = texts.sparkSession
+    counts = cut(count_words(texts, groups))
+    ends = texts.count()
+    frequent = counts.filter(F.col("c") >= _frequent(counts, max(table_words, words))).toArrow()
+    h, c = (frequent.column(x).to_numpy() for x in ("h", "c"))
     top = np.lexsort((h, -c))[:words]
     symbols = Symbols(np.sort(h[top]), groups)
     bigrams = count_bigrams(texts, symbols)
     cls = exchange(bigrams, classes)
-    by_group = counts.groupBy("g").agg(F.count("*").alias("n"), F.sum("c").alias("tokens"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()
-    once, twice = sum(r.once for r in by_group), sum(r.twice for r in by_group)
-    kinds, n_tokens = np.zeros(symbols.n), np.zeros(symbols.n)
-    for r in by_group:
-        kinds[1 + len(symbols.hashes) + r.g], n_tokens[1 + len(symbols.hashes) + r.g] = r.n, r.tokens
-    for i in top.tolist():
-        s = 1 + int(np.searchsorted(symbols.hashes, h[i]))
-        kinds[s], n_tokens[s] = 1, c[i]
-        kinds[1 + len(symbols.hashes) + g[i]] -= 1
-        n_tokens[1 + len(symbols.hashes) + g[i]] -= c[i]
-    kinds[0], n_tokens[0] = ends > 0, ends
-    tokens, vocabulary = int(n_tokens.sum()), int(kinds.sum())
-    class_tokens, class_words = np.bincount(cls, n_tokens, classes), np.bincount(cls, kinds, classes)
     member = np.zeros((symbols.n, classes))
     member[np.arange(symbols.n), cls] = 1
-    table = member.T @ bigrams @ member
-    share = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
+    contexts = np.concatenate([bigrams.T @ member, bigrams @ member], axis=1)
+    own, fallback = 1 + len(symbols.hashes), cls[1 + len(symbols.hashes) :]
+    member[0] = 0  # the end has its class to itself
+    others, passes = assign(count_contexts(texts, symbols, cls, classes), member[:own].T @ contexts[:own], member.T @ contexts, classes)
+    tops = spark.createDataFrame(pa.table({"h": symbols.hashes.astype(np.int64), "k": cls[1:own].astype(np.int32)}))
+    counts = cut(counts.join(others.unionByName(tops), "h").select("h", "g", "c", "k"))
+
+    stats = counts.groupBy("k").agg(F.count("*").alias("n"), F.sum("c").alias("tokens"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()  # one row a class
+    once, twice = sum(r.once for r in stats), sum(r.twice for r in stats)
+    kinds, n_tokens = np.zeros(classes), np.zeros(classes)
+    for r in stats:
+        kinds[r.k], n_tokens[r.k] = r.n, r.tokens
+    kinds[0], n_tokens[0] = ends > 0, ends
+    tokens, vocabulary = int(n_tokens.sum()), int(kinds.sum())
+
+    least, with_class = _frequent(counts, table_words), _frequent(counts, max(table_words, class_words))
+    frequent = counts.filter(F.col("c") >= with_class).select("h", "c", "k").toArrow()
+    h, c, k = (frequent.column(x).to_numpy() for x in ("h", "c", "k"))
+    order = np.argsort(h)
+    h, c, k = h[order], c[order], k[order]
+    symbols = Symbols(h, groups)
+    cls = np.concatenate([[0], k, fallback]).astype(np.int64)
+    table = count_classes(_lines(texts, symbols, cls, h, counts.filter(F.col("c") < with_class)), classes)
+    share = (n_tokens + 1.0) / (n_tokens + 1.0).sum()
     context = table.sum(axis=1, keepdims=True)
     spare = np.where(context > 0, DISCOUNT * (table > 0).sum(axis=1, keepdims=True) / np.maximum(context, 1), 1.0)
     transition = np.log10(np.maximum(table - DISCOUNT, 0) / np.maximum(context, 1) + spare * share)
-    order = np.argsort(h)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    model = Model(symbols, cls, transition, class_tokens, class_words, discount, h[order], c[order], tokens, vocabulary, ends)
+    model = Model(symbols, cls, transition, n_tokens, kinds, discount, h[c >= least], c[c >= least], tokens, vocabulary, ends, passes)
     return model, counts
 
 
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare_h array<bigint>, rare_k array<int>, rare_n array<int>"
-
-
-def _score(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    w, h, g = _words(data, off, model.symbols.groups)
-    n = w.n_docs
-    if len(model.words):
-        at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
-        known = model.words[at] == h
-        c = np.where(known, model.counts[at], 0)
-    else:
-        known, c = np.zeros(len(w), dtype=bool), np.zeros(len(w), dtype=np.int64)
-    k = model.cls[model.symbols.of(h, g)]
-    line, doc = np.zeros(len(w) + n, dtype=np.int64), np.repeat(np.arange(n), w.count + 1)
-    line[np.arange(len(w)) + w.doc] = k
-    score = np.bincount(doc, model.transition[np.r_[0, line[:-1]], line], n)
-    score += np.bincount(w.doc[known], model.emission(c[known], k[known]), n)
-    base = np.bincount(w.doc[known], model.base(c[known]), n) + model.base(model.ends)
-    n_known = np.bincount(w.doc[known], minlength=n) + (model.ends > 0)
-    rare = ~known
-    rd, rh, rk = w.doc[rare], h[rare], k[rare]
-    order = np.lexsort((rh, rd))
-    rd, rh, rk = rd[order], rh[order], rk[order]
-    head = np.flatnonzero(np.r_[True, (rd[1:] != rd[:-1]) | (rh[1:] != rh[:-1])]) if len(rd) else np.zeros(0, dtype=np.int64)
-    tf = np.diff(np.r_[head, len(rd)])
-    bounds = np.searchsorted(rd[head], np.arange(n + 1))
-    return w.count + 1, n_known, base, score, rh[head], rk[head], tf, bounds
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _found(column: pa.Array) -> list:
+    """Each row's (at, c, k) as arrays; a null row has none."""
+    values = column.flatten()
+    at, c, k = (np.asarray(x) for x in values.flatten())
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    ends = np.cumsum(sizes)
+    return [{"at": at[e - n : e], "c": c[e - n : e], "k": k[e - n : e]} for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,28 +463,22 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, held_out: Colu
     scored each; a null doc_id stays null; other columns are not read; an empty table gives no rows. A
     model of no training text gives every token probability 1 in the base and a uniform class.
     """
+    least = int(model.counts.min()) if len(model.counts) else 1 << 62
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+    lines = _lines(rows, model.symbols, model.cls, model.words, counts.filter(F.col("c") < least), model)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm = sent.value
         for batch in batches:
-            for lo, hi, data, off in blocks(batch.column(2)):
-                n, known, base, score, h, k, tf, bounds = _score(sent.value, data, off)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(v)) for v in (h, k.astype(np.int32), tf.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), *lists], [x.split()[0] for x in SCORED.split(", ")])
-
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    local = cut(rows.mapInArrow(run, SCORED)).withColumn("row", F.monotonically_increasing_id())
-    rare = local.filter(F.size("rare_h") > 0).select("row", F.explode(F.arrays_zip("rare_h", "rare_k", "rare_n")).alias("r")).select("row", F.col("r.rare_h").alias("h"), F.col("r.rare_k").alias("k"), F.col("r.rare_n").alias("n"))
-    least = int(model.counts.min()) if len(model.counts) else 1 << 62
-    found = rare.join(counts.filter(F.col("c") < least).select("h", "c"), "h", "left").select("row", "k", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    floor = 1.0 / (model.tokens + model.vocabulary + 1)
-    size = F.get(F.array(*[F.lit(float(max(x, 1.0))) for x in model.class_tokens]), F.col("k"))
-    unknown = F.get(F.array(*[F.lit(float(x * model.discount)) for x in model.class_words]), F.col("k"))
-    word = F.greatest(F.lit(floor), F.when(F.col("c") > 0, F.col("c") - F.lit(float(model.discount))).otherwise(unknown) / size)
-    sums = found.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10((F.col("c") + 1.0) * floor)).alias("more_base"),
-        F.sum(F.col("n") * F.log10(word)).alias("more_score"),
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return local.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+            n, known, base, score = (np.zeros(len(batch), dtype=d) for d in (np.int64, np.int64, np.float64, np.float64))
+            for i, (line, found) in enumerate(zip(batch.column(2).to_pylist(), _found(batch.column(6)), strict=True)):
+                k, c, new, old = _patched(line, found)
+                n[i], known[i], base[i] = len(k) + 1, len(c), (lm.base(c) - lm.base(0)).sum()
+                score[i] = lm.transition[np.r_[0, k], np.r_[k, 0]].sum() + (lm.emission(c, new) - lm.emission(np.zeros_like(c), old)).sum()
+            known += batch.column(3).to_numpy() + (lm.ends > 0)
+            base += batch.column(4).to_numpy() + lm.base(lm.ends)
+            score += batch.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(np.full(len(batch), lm.tokens)), pa.array(base), pa.array(score)], [x.split()[0] for x in SCORED.split(", ")])
+
+    return lines.select("doc_id", "held_out", "line", "known_n", "known_base", "known_score", "found").mapInArrow(run, SCORED)

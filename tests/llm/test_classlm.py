@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import classlm as lm
 from riskloom.llm.queries import op8_brown_lm
+from riskloom.llm.words import hash_tokens
 
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
 
@@ -97,3 +98,42 @@ def test_query(spark, sf_dir):
     assert all(r.held_out == (not train_row(r.doc_id)) for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_every_word_seen_has_a_class_of_its_choice(spark):
+    rng = random.Random(5)
+    # words of two kinds with the same last three bytes, and only two of each among the symbols
+    kinds = [[f"{k}{i}-end" for i in range(40)] for k in "pq"]
+    lines = [" ".join(kinds[j % 2][min(rng.randrange(40), rng.randrange(40))] for j in range(20)) for _ in range(150)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(900, "p1-end unseen-end q1-end"), (901, None)], "doc_id bigint, text string")
+    seen = df.filter("doc_id < 150")
+    model, counts = lm.train(seen, classes=4, words=4, groups=4)
+    h = {w: int(x) for w, x in zip(sum(kinds, []), hash_tokens([w.encode() for w in sum(kinds, [])]).view(np.int64), strict=True)}
+    k = {r.h: r.k for r in counts.collect()}
+    of = [{k[h[w]] for w in kind if h[w] in k} for kind in kinds]
+    assert not of[0] & of[1]
+    # with next to no word in the broadcast tables, and all the rest joined, the scores are the same
+    small, full = lm.train(seen, classes=4, words=4, groups=4, table_words=4, class_words=4)
+    assert len(small.words) < len(model.words) and np.allclose(small.transition, model.transition)
+    scores = [{r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_texts(df, m, c, F.lit(False)).collect()} for m, c in ((model, counts), (small, full))]
+    assert scores[0] == scores[1] and len(scores[0]) == 152
+
+
+def test_exchange_goes_on_until_none_moves():
+    rng = np.random.default_rng(3)
+    bigrams = rng.poisson(rng.gamma(0.1, 3.0, (300, 300))).astype(float)
+    bigrams[0, 0] = 0
+    cls = lm.exchange(bigrams, 12)
+
+    def likelihood(cls):
+        m = np.eye(12)[cls]
+        table = m.T @ bigrams @ m
+        size = m.T @ bigrams.sum(axis=0)
+        return lm._xlogx(table).sum() - 2 * lm._xlogx(size).sum()
+
+    best = likelihood(cls)
+    for s in range(1, 300):
+        for b in range(1, 12):
+            other = cls.copy()
+            other[s] = b
+            assert likelihood(other) <= best + 1e-4
