@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The session's ``spark.checkpoint.dir`` decides where; only a session without one (tests) gets a
-    folder of its own.
+    The session's ``spark.checkpoint.dir`` decides where; only a local session without one (tests) gets a
+    folder of its own, a cluster without one is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -31,14 +34,15 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
-    """About ``limit`` rows and never more, chosen by a hash of ``key``: the same rows on every run.
+    """About ``limit`` rows, chosen by a hash of ``key``: the same rows on every run.
 
-    One count over the key decides a hash threshold, so no task sorts or holds more than its share;
-    a table of at most ``limit`` rows is returned whole.
+    One count decides a hash threshold that 0.95 * ``limit`` rows are expected to pass, so no task sorts, holds
+    or hands on more than its share. Rows with an equal key stay or go together: take all that tells rows apart
+    into it. A table of at most ``limit`` rows is returned whole.
     """
     total = df.count()
     if total <= limit:
         return df
     share = 0.95 * limit / total
-    unit = F.pmod(F.xxhash64(key, F.lit(7919)), F.lit(1 << 30))
-    return df.filter(unit < F.lit(int(share * (1 << 30)))).limit(limit)
+    unit = F.pmod(F.xxhash64(key, F.lit(7919)), F.lit(1 << 40))
+    return df.filter(unit < F.lit(int(share * (1 << 40))))

@@ -1,15 +1,22 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
-Every text is a bag of hashed features, two for each word: the word's bucket, and the bucket of the pair
-(kind of the word before, kind of the word). A word's kind is its letter case, its punctuation, and how
-lately the same word stood before it, so shouting, symbol noise, tables and repetition are n-grams like
-any other. Two multinomials are counted: the target model on labelled good texts, the raw model on all
-texts. The log importance weight of a text is the sum over its features of log p(target) - log p(raw).
-
-Two decisions follow. ``accepted`` compares the weight per word with a threshold that best parts good from
-bad among the labelled rows. ``sampled`` draws without replacement in proportion to the weights: each
-accepted text gets its log weight plus Gumbel noise drawn from a hash of its id, and the k largest keys
-win, found by narrowing histograms, so neither the keys nor the winners pass through one task.
+A text is a bag of hashed n-grams: its words and its pairs of neighbouring words, where a word is a run of
+letters and digits or a run of marks, case kept. Two multinomials of each are counted: the target model on
+labelled good texts, the raw model on all texts. The log importance weight of a text is the sum over its
+n-grams of log p(target) - log p(raw). A third family is an extra beside the words: pairs of neighbouring
+word *shapes* (letter case, marks, how lately the same word stood before). Hashed words alone tell shouting
+or repetition by the words in it, which drown among their buckets' neighbours as the raw text grows; shapes
+tell them at any size. ``Importance.shapes`` = False leaves them out.
+
+``sampled``: k rows drawn from all rows without replacement, in proportion to exp(``strength`` x mean log
+weight a word). Gumbel noise from a hash of the row is added to that log weight and the k largest keys win
+(which is that law exactly), found by narrowing histograms, so neither the keys nor the winners pass through
+one task. Whole log weights would make this a sort by length: they differ by hundreds between good texts,
+the noise by a few. So every text weighs as ``strength`` words of its mean do.
+
+``accepted``, for the filter of the pipeline alone, compares the mean with a threshold that best parts good
+from bad among labelled rows that the target model has not seen. Means are taken as if each text had
+``NEUTRAL`` more words of weight zero, so that few words decide little.
 """
 
 from __future__ import annotations
@@ -23,13 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import bounded_sample, cut
-from riskloom.llm.words import SPACED, Words, blocks
+from riskloom.llm.words import LETTERS_OR_MARKS, SPACED, Words, blocks, mix
 
-WORD_BUCKETS = 1 << 13
+WORD_BUCKETS = 1 << 16
+PAIR_BUCKETS = 1 << 18
 KINDS = 5 * 4 * 4
-PAIR_BUCKETS = KINDS * (KINDS + 1)
-BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
-TARGET_DOCUMENTS = 20_000
+SHAPE_PAIRS = KINDS * (KINDS + 1)
+FAMILIES = (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, WORD_BUCKETS + PAIR_BUCKETS), slice(WORD_BUCKETS + PAIR_BUCKETS, WORD_BUCKETS + PAIR_BUCKETS + SHAPE_PAIRS))
+BUCKETS = FAMILIES[-1].stop
+TARGET_DOCUMENTS = 20_000  # labelled rows of each class, at most
+STRENGTH = 8.0
+NEUTRAL = 20.0
 ADD = 1.0
 
 _UPPER = np.zeros(256, dtype=np.int64)
@@ -44,8 +55,18 @@ _LOUD = np.zeros(256, dtype=np.int64)
 _LOUD[ord("!")] = 1
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word bucket, pair bucket) of every word of a block of texts."""
+def word_pairs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket of the word, bucket of it and the word before) of every word of a block of texts."""
+    words = Words(data, off, LETTERS_OR_MARKS, lower=False)
+    h = words.hashes()
+    before = np.r_[np.uint64(0), h[:-1]] if len(h) else h
+    before[words.first[:-1][words.count > 0]] = 0
+    pair = mix(before * np.uint64(3) + h)
+    return words.doc, (h % np.uint64(WORD_BUCKETS)).astype(np.int64), WORD_BUCKETS + (pair % np.uint64(PAIR_BUCKETS)).astype(np.int64)
+
+
+def shape_pairs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket of the shapes of a word and of the one before) of every word, here a run without white space."""
     words = Words(data, off, SPACED)
     start, end, doc = words.start, words.end, words.doc
 
@@ -68,99 +89,121 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     kind = (case * 4 + mark) * 4 + recent
     before = np.r_[KINDS, kind[:-1]] if len(kind) else kind
     before[words.first[:-1][words.count > 0]] = KINDS
-    return doc, (h % np.uint64(WORD_BUCKETS)).astype(np.int64), WORD_BUCKETS + before * KINDS + kind
+    return doc, FAMILIES[2].start + before * KINDS + kind
 
 
-def count_features(texts: DataFrame) -> np.ndarray:
+def count_ngrams(texts: DataFrame) -> np.ndarray:
     """How often each bucket occurs in the column ``text`` of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for _, _, data, off in blocks(batch.column(0)):
-                _, word, pair = features(data, off)
-                total += np.bincount(word, minlength=BUCKETS) + np.bincount(pair, minlength=BUCKETS)
+                for bucket in (*word_pairs(data, off)[1:], shape_pairs(data, off)[1]):
+                    np.add.at(total, bucket, 1)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["b", "n"])
 
+    got = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS rows
     out = np.zeros(BUCKETS)
-    for r in texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        out[r.b] = r.n
+    out[got.column("b").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
 @dataclass
 class Importance:
-    """Log ratios by bucket, and the least log weight per word that is accepted."""
+    """Log ratios by bucket, and the least mean weight that is accepted."""
 
     ratio: np.ndarray
     threshold: float
+    shapes: bool = True
 
     def weigh(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(words, log importance weight) of each text of a block."""
-        doc, word, pair = features(data, off)
         n = len(off) - 1
-        return np.bincount(doc, minlength=n), np.bincount(doc, self.ratio[word] + self.ratio[pair], n)
+        doc, word, pair = word_pairs(data, off)
+        weight = np.bincount(doc, self.ratio[word] + self.ratio[pair], n)
+        if self.shapes:
+            doc_, shape = shape_pairs(data, off)
+            weight += np.bincount(doc_, self.ratio[shape], n)
+        return np.bincount(doc, minlength=n), weight
+
 
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log p(target) - log p(raw) by bucket, each family a distribution of its own.
 
-def _log_model(counts: np.ndarray) -> np.ndarray:
-    out = np.empty(BUCKETS)
-    for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, BUCKETS)):
-        c = counts[part] + ADD
-        out[part] = np.log(c / c.sum())
+    The raw counts, brought to the target's total and to ADD a bucket on average, are added to both: a bucket
+    that the target has never met is as unlikely as its raw counts say, not as the sizes of the samples do.
+    """
+    out = np.zeros(BUCKETS)
+    for f in FAMILIES:
+        r, t, n = raw[f] + ADD, target[f], f.stop - f.start
+        prior = r / r.sum() * (ADD * n)
+        out[f] = np.log((t + prior) / (t.sum() + ADD * n)) - np.log(r / r.sum())
     return out
 
 
-def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut that most raises (share of good kept) - (share of bad kept); -inf without bad ones.
+def best_threshold(good: dict[float, int], bad: dict[float, int]) -> float:
+    """The cut that most raises (share of good kept) - (share of bad kept), of values with counts; -inf without bad ones.
 
     It lies between the highest value that goes and the lowest that stays, nearer the former, so that good
     texts like those seen are kept.
     """
-    if not len(bad) or not len(good):
+    if not bad or not good:
         return -np.inf
-    values = np.unique(np.concatenate([good, bad]))
-    kept_good = 1 - np.searchsorted(np.sort(good), values, side="left") / len(good)
-    kept_bad = 1 - np.searchsorted(np.sort(bad), values, side="left") / len(bad)
-    i = int(np.argmax(kept_good - kept_bad))
+    values = np.array(sorted({*good, *bad}))
+    least = lambda c: 1 - np.r_[0, np.cumsum([c.get(v, 0) for v in values])][:-1] / sum(c.values())
+    i = int(np.argmax(least(good) - least(bad)))
     below = values[i - 1] if i else values[0] - 1.0
     return float(below + 0.25 * (values[i] - below))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", limit: int = TARGET_DOCUMENTS) -> Importance:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", limit: int = TARGET_DOCUMENTS, shapes: bool = True) -> Importance:
     """The model: raw counts of all ``docs``, target counts of labelled good rows, the threshold from labelled rows.
 
-    At most ``limit`` labelled rows of each class are read for the target and the threshold; rows with a null
-    label or id are not. Without labelled good rows the target equals the raw model and all is accepted.
+    About ``limit`` labelled rows of each class are read, half of them (by a hash of the id) for the target
+    and half for the threshold; rows with a null label or id are not. If a half lacks a class, both halves
+    serve. Without labelled good rows the target equals the raw model and all is accepted.
     """
     named = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and k is not null")
     few = bounded_sample(named.filter("y = 1"), F.col("k"), limit).unionByName(bounded_sample(named.filter("y = 0"), F.col("k"), limit))
-    sample = cut(docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few), "k"))  # at most 2 * limit ids
-    raw = count_features(docs.select(F.col(text).alias("text")))
-    target = count_features(sample.filter("y = 1"))
-    ratio = _log_model(target) - _log_model(raw) if target.any() else np.zeros(BUCKETS)
-    model = Importance(ratio, -np.inf)
-    weighed = weigh(sample.select("y", "text"), model).filter("n_words > 0").select("y", (F.col("log_weight") / F.col("n_words")).alias("m")).collect()  # numbers of at most 2 * limit rows
-    return Importance(ratio, best_threshold(np.array([r.m for r in weighed if r.y == 1]), np.array([r.m for r in weighed if r.y == 0])))
+    half = F.pmod(F.xxhash64("k", F.lit(31)), F.lit(2)).alias("half")
+    sample = cut(docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(few.distinct()), "k").select("y", half, "text"))  # at most 2 * limit ids
+    have = {(r.y, r.half) for r in sample.select("y", "half").distinct().collect()}
+    raw = count_ngrams(docs.select(F.col(text).alias("text")))
+    if not any(y == 1 for y, _ in have):
+        return Importance(np.zeros(BUCKETS, dtype=np.float32), -np.inf, shapes)
+    apart = {(1, 0), (1, 1), (0, 1)} <= have
+    target = count_ngrams(sample.filter("y = 1 and half = 0" if apart else "y = 1"))
+    model = Importance(log_ratio(target, raw).astype(np.float32), -np.inf, shapes)
+    seen = weigh(sample.filter("half = 1") if apart else sample, model).filter("n_words > 0")
+    # thousandths: few values, however many rows have an id
+    counts = seen.groupBy("y", F.round(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), "mean_weight")), 3).alias("m")).agg(F.count("*").alias("n")).collect()
+    model.threshold = best_threshold(*({r.m: r.n for r in counts if r.y == y} for y in (1, 0)))
+    return model
+
+
+ADDED = ("n_words", "log_weight", "mean_weight", "accepted")
 
 
 def weigh(docs: DataFrame, model: Importance, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and n_words, log_weight, accepted, from whole texts.
+    """All columns of ``docs`` and n_words, log_weight, mean_weight (a word), accepted, from whole texts.
 
     A null text, or one without words, has weight 0 and is not accepted. Repeated rows are weighed each;
-    columns of the three names are replaced; an empty table gives no rows.
+    columns of the four names are replaced; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("n_words", "log_weight", "accepted")]
-    schema = docs.select(kept).schema.add("n_words", "long").add("log_weight", "double").add("accepted", "boolean")
+    kept = [c for c in docs.columns if c not in ADDED]
+    schema = docs.select(kept).schema.add("n_words", "long").add("log_weight", "double").add("mean_weight", "double").add("accepted", "boolean")
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, off in blocks(batch.column(at)):
                 n, w = sent.value.weigh(data, off)
-                ok = (n > 0) & (w >= sent.value.threshold * n)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(n.astype(np.int64)), pa.array(w), pa.array(ok)], [f.name for f in schema])
+                mean = w / (n + NEUTRAL)
+                ok = (n > 0) & (mean >= sent.value.threshold)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(n.astype(np.int64)), pa.array(w), pa.array(mean), pa.array(ok)], [f.name for f in schema])
 
     return docs.select(kept).mapInArrow(run, schema)
 
@@ -195,12 +238,15 @@ def kth_largest(values: DataFrame, k: int, bins: int = 2048, small: int = 20_000
         lo, hi, inside = c.lo, c.hi, c.n
 
 
-def resample(weighed: DataFrame, k: int, doc_id: str = "doc_id", seed: int = 20) -> DataFrame:
-    """Add ``gumbel_key`` and ``sampled``: the k accepted rows with the largest keys, ties at the last all in.
+def resample(weighed: DataFrame, k: int, key: Column | None = None, strength: float = STRENGTH, seed: int = 20) -> DataFrame:
+    """Add ``gumbel_key`` and ``sampled``: the k rows of all with the largest keys, ties at the last all in.
 
-    With fewer than k accepted rows all of them are sampled. Rows not accepted have a null key.
+    ``key`` tells rows apart for the noise (doc_id unless given): rows with an equal key, null counting as
+    one, have the same noise. With fewer than k rows all of them are sampled; an empty table gives no rows.
     """
-    keyed = cut(weighed.withColumn("gumbel_key", F.when(F.col("accepted"), F.col("log_weight") + gumbel(F.coalesce(F.col(doc_id), F.lit(-(2**63))), seed))))
-    least = kth_largest(keyed.filter("gumbel_key is not null").select(F.col("gumbel_key").alias("v")), k)
+    key = F.col("doc_id") if key is None else key
+    noise = gumbel(F.coalesce(key, F.lit(-(2**63))), seed)
+    keyed = cut(weighed.withColumn("gumbel_key", F.col("mean_weight") * strength + noise))
+    least = kth_largest(keyed.select(F.col("gumbel_key").alias("v")), k)
     chosen = F.col("gumbel_key") >= F.lit(float("-inf") if least is None else least)
-    return keyed.withColumn("sampled", F.coalesce(chosen, F.lit(False)) if k > 0 else F.lit(False))
+    return keyed.withColumn("sampled", chosen if k > 0 else F.lit(False))

@@ -96,9 +96,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.quality import fit, resample, weigh
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weighed = weigh(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "log_weight", "accepted")
-    return resample(weighed, k=docs.count() // 4)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    weighed = weigh(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return resample(weighed, k=docs.count() // 4, key=F.col("row")).drop("row")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

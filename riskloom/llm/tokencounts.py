@@ -8,11 +8,17 @@ a stated rule, so the sections' counts always sum to the text's tokens:
 * ``first``: the section of the token's first byte (the default);
 * ``last``: the section of its last byte;
 * ``most``: the section that holds most of its bytes, the earlier of equals.
+
+The split pattern's regular expression engine runs out of stack on a run of about a million blanks. The
+pattern takes all of a run of white space but its last character (or all of it at the end of the text) as
+one piece, so runs of ``LONG_BLANKS`` or more are cut out here, encoded as that piece, and the texts around
+them encoded on their own: the tokens are those of the whole text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,9 @@ from riskloom.llm.words import buffers
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RULES = ("first", "last", "most")
+LONG_BLANKS = 4096
+#: Unicode white space, as \s in the pattern has it. Fixed values.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,6 +43,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def token_ids(encoder, text: str, long_blanks: int = LONG_BLANKS) -> list[int]:
+    """The encoder's tokens of a text of any kind and length."""
+    out, at = [], 0
+    for run in re.finditer(f"[{BLANKS}]{{{long_blanks},}}", text):
+        stop = run.end() - (run.end() < len(text))  # the last blank goes with what follows
+        out += encoder.encode_ordinary(text[at : run.start()])
+        out += encoder._encode_single_piece(text[run.start() : stop])
+        at = stop
+    return out + encoder.encode_ordinary(text[at:])
+
+
 def line_bounds(data: np.ndarray) -> np.ndarray:
     """Byte offsets at which lines begin, and the end; a line break belongs to the line it ends."""
     at = np.flatnonzero(data == 10) + 1
@@ -97,7 +117,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", se
             owners = []
             for i, value in enumerate(batch.column(1)):
                 raw = data[off[i] : off[i + 1]]
-                ids = np.array(encoder.encode_ordinary(value.as_py() or ""), dtype=np.int64)
+                ids = np.array(token_ids(encoder, value.as_py() or ""), dtype=np.int64)
                 ends = np.cumsum(length[ids])
                 starts = ends - length[ids]
                 if by_lines:

@@ -1,8 +1,9 @@
 """Vectorised words over Arrow string buffers.
 
-A batch of texts is one byte buffer with offsets. Words are found with a 256-entry class table and
-hashed from prefix sums of a polynomial modulo 2**64, all in numpy, so no Python object is made for
-a word. Memory is a small multiple of one block (``BLOCK_BYTES``, or the longest single text).
+A batch of texts is one byte buffer with offsets. Words are found with a 256-entry class table and hashed
+eight bytes at a time, all in numpy, so no Python object is made for a word (but for words over
+``LONG_WORD`` bytes, which go to XXH64 whole). Words of at most eight bytes never share a hash with another
+of their length. Memory is a small multiple of one block (``BLOCK_BYTES``, or the longest single text).
 """
 
 from __future__ import annotations
@@ -11,13 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
-_CHUNK = 1 << 18
-
-_rng = np.random.default_rng(20240229)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+LONG_WORD = 512
 
 #: A-Z to a-z; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,15 +33,13 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 LETTERS = np.zeros(256, dtype=np.bool_)
 LETTERS[97:123] = LETTERS[128:] = True
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+#: Two classes of words: 1 is letters of either case, digits and every byte over 0x7F; 2 is all else but white space.
+LETTERS_OR_MARKS = np.where(SPACED, 2, 0).astype(np.int8)
+LETTERS_OR_MARKS[48:58] = LETTERS_OR_MARKS[65:91] = LETTERS_OR_MARKS[97:123] = LETTERS_OR_MARKS[128:] = 1
 
 
-_POW = _powers(_BASE, _CHUNK + 1)
-_INV = _powers(pow(_BASE, -1, 2**64), _CHUNK + 1)
+#: By number of bytes, what of eight bytes read is theirs.
+_OWN = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -82,19 +78,23 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 
 class Words:
-    """The words of a block: byte ``start`` and ``end``, the ``doc`` (row in the block) of each."""
+    """The words of a block: byte ``start`` and ``end``, the ``doc`` (row in the block) of each.
+
+    ``kind`` tells the bytes of words (true), or the numbers of several classes of them: then a word ends where
+    the class changes.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower: bool = True):
         self.data = LOWER[data] if lower else data
         self.n_docs = len(offsets) - 1
         inside = kind[self.data]
-        before, after = np.zeros(len(data), dtype=np.bool_), np.zeros(len(data), dtype=np.bool_)
+        before, after = np.zeros(len(data), dtype=kind.dtype), np.zeros(len(data), dtype=kind.dtype)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = offsets[(offsets > 0) & (offsets < len(data))]
-        before[cuts] = False
-        after[cuts - 1] = False
-        self.start = np.flatnonzero(inside & ~before)
-        self.end = np.flatnonzero(inside & ~after) + 1
+        before[cuts] = 0
+        after[cuts - 1] = 0
+        self.start = np.flatnonzero((inside != 0) & (inside != before))
+        self.end = np.flatnonzero((inside != 0) & (inside != after)) + 1
         self.first = np.searchsorted(self.start, offsets)  # first word of each row, and the total at the end
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n_docs), self.count)
@@ -113,31 +113,25 @@ class Words:
 
     def spans(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
         """Hashes of byte spans inside the words, one array for each pair of starts and ends."""
-        out = [np.empty(len(self.start), dtype=np.uint64) for _ in pairs]
-        i, n = 0, len(self.start)
-        while i < n:
-            lo = int(self.start[i])
-            j = int(np.searchsorted(self.end, lo + _CHUNK, side="right"))
-            if j <= i:  # a single word longer than a chunk
-                for o, (s, e) in zip(out, pairs, strict=True):
-                    o[i] = self._long(int(s[i]), int(e[i]))
-                i += 1
-                continue
-            size = int(self.end[j - 1]) - lo
-            sums = np.zeros(size + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.data[lo : lo + size]] * _POW[:size], out=sums[1:])
-            for o, (start, end) in zip(out, pairs, strict=True):
-                s, e = start[i:j] - lo, end[i:j] - lo
-                o[i:j] = (sums[e] - sums[s]) * _INV[s]
-            i = j
-        return [mix(o + np.uint64(0x51ED270B) * (e - s).astype(np.uint64)) for o, (s, e) in zip(out, pairs, strict=True)]
-
-    def _long(self, lo: int, hi: int) -> np.uint64:
-        total = 0
-        for at in range(lo, hi, _CHUNK):
-            piece = self.data[at : min(hi, at + _CHUNK)]
-            total += int((_BYTE[piece] * _POW[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, at - lo, 2**64)
-        return np.uint64(total % 2**64)
+        padded = np.r_[self.data, np.zeros(8, dtype=np.uint8)]
+        eight = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+        return [self._span(eight, start, end) for start, end in pairs]
+
+    def _span(self, eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        left = np.where(size > LONG_WORD, 0, size)
+        on = np.flatnonzero(left > 0)
+        at = start[on]
+        while len(on):
+            n = left[on]
+            h[on] = mix(h[on] ^ (eight[at] & _OWN[np.minimum(n, 8)]))
+            more = n > 8
+            left[on] = n - 8
+            on, at = on[more], at[more] + 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.data[start[i] : end[i]].tobytes(), 20240229)
+        return mix(h + np.uint64(0x51ED270B))
 
 
 def hash_tokens(tokens: list[bytes]) -> np.ndarray:

@@ -73,6 +73,31 @@ def test_lines_and_edge_cases(spark):
         tk.count_tokens(df, rule="half")
 
 
+def test_long_white_space(spark):
+    """Around cut-out runs the tokens are the whole text's; runs that the encoder can't do at once are done."""
+    rng = random.Random(1)
+    blanks = [" ", "\n", "\t", "\r", "\u3000", "\xa0", "\x85"]
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randrange(1, 6)):
+            text += rng.choice(["", "a", "it's", "12", "^^", "é", "\x1c", "\u200b"])
+            text += "".join(rng.choice(blanks[: rng.randrange(1, 8)]) for _ in range(rng.randrange(12)))
+        assert tk.token_ids(ENC, text, 3) == ENC.encode_ordinary(text)
+    for run in (" " * 20000, "\n" * 9000, " \n\t" * 5000):
+        for text in (run, run + "a", "a" + run, f"a{run}b{run}12"):
+            assert tk.token_ids(ENC, text) == ENC.encode_ordinary(text)
+    million = 3_000_000
+    rows = [(0, " " * million + "a"), (1, "x" + "\n" * 50000 + "y" + "\t" * million), (2, " \t\r\x0b" * (million // 4) + "b"), (3, "^" * million)]
+    got = {}
+    for r in tk.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        n, chars = got.get(r.doc_id, (0, 0))
+        got[r.doc_id] = (n + r.n_tokens, chars + r.end - r.start)
+        assert r.doc_tokens
+    for i, text in rows:
+        assert got[i] == (len(tk.token_ids(ENC, text)), len(text))
+    assert b"".join(map(ENC.decode_single_token_bytes, tk.token_ids(ENC, rows[2][1]))).decode() == rows[2][1]
+
+
 def test_query(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     sums = {}

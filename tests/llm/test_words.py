@@ -29,16 +29,20 @@ def test_words_and_blocks(rows, most):
     assert seen == len(rows)
 
 
-def test_hashes_do_not_hang_on_chunks(monkeypatch):
-    rng = np.random.default_rng(0)
-    raw = rng.choice(np.frombuffer(b"abc  ", dtype=np.uint8), 5000).astype(np.uint8)
-    raw[1000:2000] = ord("x")
-    off = np.array([0, len(raw)])
-    whole = W.Words(raw, off, W.SPACED).hashes()
-    monkeypatch.setattr(W, "_CHUNK", 64)
-    assert (W.Words(raw, off, W.SPACED).hashes() == whole).all()
-    tokens = [str(i).encode() for i in range(200000)]
+def test_hashes_tell_words_apart():
+    tokens = [str(i).encode() for i in range(200000)] + [b"x" * n for n in range(1, 2000)]
     assert len(set(W.hash_tokens(tokens).tolist())) == len(tokens)
+    # pairs that collide under any polynomial modulo a power of two
+    for bits in range(3, 14):
+        parity = [bin(i).count("1") % 2 for i in range(1 << bits)]
+        pair = [bytes(97 + b for b in parity), bytes(98 - b for b in parity)]
+        assert len(set(W.hash_tokens(pair).tolist())) == 2
+
+
+def test_words_of_several_classes():
+    raw = np.frombuffer(b"Ab,cd ...x!", dtype=np.uint8)
+    w = W.Words(raw, np.array([0, 4, len(raw)]), W.LETTERS_OR_MARKS, lower=False)
+    assert [(int(d), bytes(raw[a:b])) for d, a, b in zip(w.doc, w.start, w.end, strict=True)] == [(0, b"Ab"), (0, b","), (0, b"c"), (1, b"d"), (1, b"..."), (1, b"x"), (1, b"!")]
 
 
 def test_sliced_and_large_columns():
