@@ -1,24 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of each source are dealt into blocks. With an integer weight m of a total L, block i (from 0) of a
-source may not be placed before slot floor(i L / m) and not after slot ceil((i + 1) L / m) - 1; one block
-goes to each slot, and among the released blocks the one with the earliest deadline. All weights sum to
-one, so every deadline is met, and after any number of slots each source has less than one block more or
-less than its share. Since every lag is zero after L slots, one period of L slots repeats.
-
-When a source has no block left, the others go on with their weights among themselves, in a new phase with
-a period of its own; phases number at most the sources. So a row's place follows from its source, its rank
-in it and a table of the blocks' slots that depends on weights and block counts alone, not on the rows.
-
-Integer weights are rounded, so the period L is raised until the rounding moves no source by more than
-``ROUNDING`` blocks over the whole run: against the weights as given, a source is always less than
-1 + ``ROUNDING`` blocks off. Of a long period only the slots that are used are worked out.
+The rows of each source are dealt into blocks. With a weight m of a total L, block i (from 0) of a source
+may not be placed before slot floor(i L / m) and not after slot ceil((i + 1) L / m) - 1; one block goes to
+each slot, and among the released blocks the one with the earliest deadline. The shares m / L sum to one, so
+every deadline is met, and after any number of slots each source has less than one block more or less than
+its share. Weights are taken as the exact rational numbers that they are: whole numbers after multiplying by
+their common denominator, so nothing is rounded and the bound holds over any number of slots.
+
+When a source has no block left, the others go on with their weights among themselves, in a new phase that
+begins with all lags at zero. The schedule depends on weights and block counts alone, not on the rows: the
+driver works it out in one pass over the slots, O(log sources) each, and a row's place follows from its
+source and its rank in it. Blocks have ``block_rows`` rows, or as many more as keep them to ``MOST_BLOCKS``
+in all, so the driver's work is bounded; the bound of one block then is one ``MOST_BLOCKS``-th of the corpus.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Callable
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pyarrow as pa
@@ -27,128 +28,79 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import cut
 
-BLOCK_ROWS = 64
-PERIOD = 1000
-ROUNDING = 0.25
+BLOCK_ROWS = 8
+MOST_BLOCKS = 1 << 20
 MOST_SOURCES = 20_000
 BUCKET_ROWS = 512
 BUCKETS = 1 << 16
 
 
-def integer_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as integers of at least 1 with the sum ``period`` (or one each, if there are more sources).
-
-    Largest remainders are rounded up; ties go to the name first in order. Weights must be positive.
-    """
-    if not weights or any(not w > 0 for w in weights.values()):
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Weights (whole, Fraction or float, each an exact rational) as whole numbers in the same proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if not exact or any(w <= 0 for w in exact.values()):
         raise ValueError("weights must be positive")
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    rest = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))
-    for s in rest[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    return out
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
 
 
-def edf_period(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period of sum(weights) slots, by earliest deadline first.
+def schedule(blocks: dict[str, int], weights: dict[str, int]) -> tuple[list[str], list[int]]:
+    """The source in each slot, and the phase of each slot; a source without weight is an error.
 
-    With ``left``, blocks by source, it ends early with the slot in which a source places its last one.
+    At the begin of a phase every source has a released block; by falling weight their deadlines rise, so
+    they are looked at only as far as their deadlines matter.
     """
-    period = sum(weights.values())
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    waiting: list[tuple[int, int, str]] = []  # (release, deadline, source)
-    ready: list[tuple[int, str]] = []
-    window = lambda s, i: (i * period // weights[s], -(-(i + 1) * period // weights[s]))
-    for s in weights:
-        heapq.heappush(waiting, (*window(s, 0), s))
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, deadline, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s))
-        deadline, s = heapq.heappop(ready)
-        assert t < deadline
-        slots[s].append(t)
-        if left is not None and len(slots[s]) == left[s]:
-            break
-        if len(slots[s]) < weights[s]:
-            heapq.heappush(waiting, (*window(s, len(slots[s])), s))
-    return slots
-
-
-@dataclass
-class Phase:
-    """From slot ``begin``: the sources still there, the period, their slots in it, and their blocks used before."""
-
-    begin: int
-    period: int
-    slots: dict[str, list[int]]
-    used: dict[str, int]
-
-
-def plan(blocks: dict[str, int], weights: dict[str, int]) -> list[Phase]:
-    """The phases in which all ``blocks`` of every source are placed; a source without weight is an error."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    used = dict.fromkeys(left, 0)
-    begin, phases = 0, []
-    while left:
-        period = sum(weights[s] for s in left)
-        slots = edf_period({s: weights[s] for s in left}, left if period > PERIOD else None)
-        # a source whose slots were not worked out that far is not the first to end
-        last = {s: (n - 1) // weights[s] * period + slots[s][(n - 1) % weights[s]] for s, n in left.items() if (n - 1) % weights[s] < len(slots[s])}
-        length = min(last.values()) + 1
-        phases.append(Phase(begin, period, slots, {s: used[s] for s in left}))
-        for s in list(left):
-            whole, part = divmod(length, period)
-            n = whole * weights[s] + sum(x < part for x in slots[s])
-            used[s] += n
-            left[s] -= n
+    order = sorted(left, key=lambda s: (-weights[s], s))
+    total = sum(weights[s] for s in order)
+    picks: list[str] = []
+    phases: list[int] = []
+    phase = 0
+    while order:
+        begin, fresh = len(picks), 0
+        done: dict[str, int] = {}
+        waiting: list[tuple[int, int, str]] = []  # (release, deadline, source)
+        ready: list[tuple[int, str]] = []
+        over = None
+        while over is None:
+            t = len(picks) - begin
+            while waiting and waiting[0][0] <= t:
+                _, deadline, s = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline, s))
+            while fresh < len(order):
+                deadline = -(-total // weights[order[fresh]])
+                if ready and deadline > ready[0][0]:
+                    break
+                heapq.heappush(ready, (deadline, order[fresh]))
+                fresh += 1
+            deadline, s = heapq.heappop(ready)
+            assert t < deadline
+            picks.append(s)
+            phases.append(phase)
+            left[s] -= 1
             if not left[s]:
-                del left[s]
-        begin += length
-    return phases
-
-
-def rounding(phases: list[Phase], blocks: dict[str, int], weights: dict[str, float], rounded: dict[str, int]) -> float:
-    """The most blocks by which the rounding of the weights moves a source, summed over all phases."""
-    off = dict.fromkeys(blocks, 0.0)
-    ends = [p.begin for p in phases[1:]] + [sum(blocks.values())]
-    for p, end in zip(phases, ends, strict=True):
-        total = sum(weights[s] for s in p.slots)
-        for s in p.slots:
-            off[s] += (end - p.begin) * abs(rounded[s] / p.period - weights[s] / total)
-    return max(off.values(), default=0.0)
-
-
-def plan_exact(blocks: dict[str, int], weights: dict[str, float], least: int = PERIOD) -> tuple[list[Phase], dict[str, int]]:
-    """The phases and integer weights of the first period, from ``least`` on, whose rounding stays within ROUNDING."""
-    period = max(least, len(weights))
-    while True:
-        rounded = integer_weights(weights, period)
-        phases = plan(blocks, rounded)
-        off = rounding(phases, blocks, weights, rounded)
-        if off <= ROUNDING:
-            return phases, rounded
-        period *= max(2, int(off / ROUNDING))
-
-
-def block_slots(phases: list[Phase], blocks: dict[str, int], weights: dict[str, int]) -> pa.Table:
-    """One row a block: its source, its number there, its slot and its phase."""
-    own: dict[str, list[tuple[int, Phase]]] = {s: [] for s in blocks}
-    for k, p in enumerate(phases):
-        for s in p.slots:
-            own[s].append((k, p))
-    names, parts = [], []
-    for s, at in own.items():
-        ends = [p.used[s] for _, p in at[1:]] + [blocks[s]]
-        for (k, p), end in zip(at, ends, strict=True):
-            i, slots = np.arange(end - p.used[s]), np.array(p.slots[s], dtype=np.int64)
-            # a list shorter than the weight was worked out as far as the phase goes
-            slot = slots[: len(i)] if len(i) <= len(slots) else i // weights[s] * p.period + slots[i % weights[s]]
-            parts.append((p.used[s] + i, p.begin + slot, np.full(len(i), k, dtype=np.int32)))
-            names += [s] * len(i)
-    return pa.table({"__s": pa.array(names, pa.string()), "__i": np.concatenate([x[0] for x in parts]), "__slot": np.concatenate([x[1] for x in parts]), "__phase": np.concatenate([x[2] for x in parts])})
+                over = s
+                continue
+            i = done[s] = done.get(s, 0) + 1
+            m = weights[s]
+            heapq.heappush(waiting, (i * total // m, -(-(i + 1) * total // m), s))
+        order.remove(over)
+        total -= weights[over]
+        phase += 1
+    return picks, phases
+
+
+def block_slots(sizes: dict[str, int], weights: dict[str, int], block_rows: int) -> pa.Table:
+    """One row a block: its source, its number there, its slot, its phase and the rows before it."""
+    picks, phases = schedule({s: -(-n // block_rows) for s, n in sizes.items()}, weights)
+    left, number, blocks, rows = dict(sizes), dict.fromkeys(sizes, 0), [], []
+    for s in picks:
+        blocks.append(number[s])
+        rows.append(min(block_rows, left[s]))
+        number[s] += 1
+        left[s] -= rows[-1]
+    before = np.cumsum([0, *rows], dtype=np.int64)[:-1]
+    return pa.table({"__s": pa.array(picks, pa.string()), "__i": pa.array(blocks, pa.int64()), "__slot": np.arange(len(picks)), "__phase": pa.array(phases, pa.int32()), "__start": before})
 
 
 def row_hash(ident: Column) -> Column:
@@ -169,14 +121,15 @@ def _ranked(docs: DataFrame, source: str, ident: Column, total: int, bucket_rows
     return rows, rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, power: float = 0.5, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | Callable[[str], float] | None = None, source: str = "source", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS, power: float = 0.5, bucket_rows: int = BUCKET_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """All rows and columns of ``docs`` with mix_phase, mix_block (slot of the block) and mix_position (0, 1, ...).
 
-    ``weights``: by source; a source that is missing is an error. Without them, a source of n rows weighs
-    n ** ``power``. ``period``: of the rounded weights; without it, ``plan_exact`` finds one. Rows of a source are taken in the order of ``row_hash`` of their id; equal ids follow one
-    another by the hash of all their columns. A null source is the source ''. No row is dropped or repeated:
-    equal rows have a place each. Columns with the names of the results are replaced; an empty table gives
-    no rows. The last block of a source may be short, so positions count the rows, not block_rows a slot.
+    ``weights``: by source, as a table or a function; a source that a table lacks is an error. Without them,
+    a source of n rows weighs n ** ``power``. Rows of a source are taken in the order of ``row_hash`` of their
+    id; equal ids follow one another by the hash of all their columns. A null source is the source ''. No row
+    is dropped or repeated: equal rows have a place each. Columns with the names of the results are replaced;
+    an empty table gives no rows. The last block of a source may be short, so positions count the rows, not
+    block_rows a slot. Blocks are larger than ``block_rows`` if there would be more than ``most_blocks``.
     """
     docs = docs.drop("mix_phase", "mix_block", "mix_position")
     total = docs.count()
@@ -187,22 +140,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
         raise ValueError(f"more than {MOST_SOURCES} sources: merge small ones first")
     if not sizes:
         return docs.select("*", F.lit(0).alias("mix_phase"), F.lit(0).cast("bigint").alias("mix_block"), F.lit(0).cast("bigint").alias("mix_position"))
-    wanted = {s: float(n) ** power for s, n in sizes.items()} if weights is None else {s: weights[s] for s in sizes}
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    if period is None:
-        phases, m = plan_exact(blocks, wanted)
+    if weights is None:
+        wanted = {s: float(n) ** power for s, n in sizes.items()}
     else:
-        m = integer_weights(wanted, max(period, len(sizes)))
-        phases = plan(blocks, m)
+        wanted = {s: weights(s) if callable(weights) else weights[s] for s in sizes}
+    block_rows = max(block_rows, -(-total // most_blocks))
 
     # to each bucket the slots of the blocks that its rows are in
-    table = block_slots(phases, blocks, m)
-    slots = docs.sparkSession.createDataFrame(table)
+    slots = docs.sparkSession.createDataFrame(block_slots(sizes, whole_weights(wanted), block_rows))
     before = F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counted.withColumn("__offset", F.coalesce(before, F.lit(0))).select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), "__offset", "n")
     first, last = F.floor(F.col("__offset") / block_rows), F.floor((F.col("__offset") + F.col("n") - 1) / block_rows)
     needed = offsets.select("__s", "__b", "__offset", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("__i"))
-    known = needed.join(slots, ["__s", "__i"]).groupBy("__s", "__b").agg(F.min("__offset").alias("__offset"), F.min("__i").alias("__first"), F.array_sort(F.collect_list(F.struct("__i", "__slot", "__phase"))).alias("__slots"))
+    known = needed.join(slots, ["__s", "__i"]).groupBy("__s", "__b").agg(F.min("__offset").alias("__offset"), F.min("__i").alias("__first"), F.array_sort(F.collect_list(F.struct("__i", "__slot", "__phase", "__start"))).alias("__slots"))
 
     own = Window.partitionBy("__source", "__bucket").orderBy("__hash", F.xxhash64(*[F.col(c) for c in docs.columns]))
     ranked = keyed.withColumn("__nr", F.row_number().over(own) - 1)
@@ -210,18 +160,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     rank = F.col("__nr") + F.col("__offset")
     placed = placed.withColumn("__rank", rank).withColumn("__block", F.floor(rank / block_rows).cast("bigint"))
     at = F.get("__slots", (F.col("__block") - F.col("__first")).cast("int"))
-    placed = placed.select(*docs.columns, at["__phase"].alias("mix_phase"), at["__slot"].alias("mix_block"), (F.col("__rank") - F.col("__block") * block_rows).alias("__in"))
-    # slots are full but for the last block of each source: subtract what those lack before a slot
-    last_slot = dict(zip(table["__s"].to_pylist(), table["__slot"].to_pylist(), strict=True))  # each source's blocks stand in order
-    short = [(last_slot[s], blocks[s] * block_rows - n) for s, n in sizes.items() if blocks[s] * block_rows > n]
-    short.sort()
-    ends, lacks, run = [], [0], 0
-    for at_slot, lack in short:
-        run += lack
-        ends.append(at_slot)
-        lacks.append(run)
-    less = F.get(F.lit(lacks), F.size(F.filter(F.lit(ends), lambda e: e < F.col("mix_block")))) if ends else F.lit(0)
-    return placed.select(*docs.columns, "mix_phase", "mix_block", (F.col("mix_block") * block_rows + F.col("__in") - less).cast("bigint").alias("mix_position"))
+    position = at["__start"] + F.col("__rank") - F.col("__block") * block_rows
+    return placed.select(*docs.columns, at["__phase"].alias("mix_phase"), at["__slot"].alias("mix_block"), position.cast("bigint").alias("mix_position"))
 
 
 def mixed_in_order(docs: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,15 @@ FROM linked
 """
 
 
+def mix_target(source: str) -> int:
+    """The target weight of a source in the query: 1 to 9, from the MD5 of its name."""
+    return 1 + int(hashlib.md5(source.encode()).hexdigest()[:6], 16) % 9
+
+
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"))
+    return mix(table(spark, sf_dir, "documents"), weights=mix_target)
 
 
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +141,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Earliest deadline first, slot by slot, over the block counts.
 PFAIR_SQL = """
 WITH RECURSIVE
-rows_ AS (SELECT doc_id, source, lang, n_chars, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) - 1 AS r FROM documents),
-sizes AS (SELECT s, count(*) AS n FROM rows_ GROUP BY s),
-exact AS (SELECT s, n, sqrt(n) / sum(sqrt(n)) OVER () * greatest(1000, count(*) OVER ()) AS x, greatest(1000, count(*) OVER ()) AS period FROM sizes),
-rounded AS (SELECT *, greatest(1, CAST(floor(x) AS BIGINT)) AS low, row_number() OVER (ORDER BY floor(x) - x, s) AS nr FROM exact),
-weights AS (SELECT s, (n + 63) // 64 AS blocks, low + CASE WHEN nr <= period - sum(low) OVER () THEN 1 ELSE 0 END AS m FROM rounded),
+rows_ AS (SELECT *, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)) - 1 AS r FROM documents),
+weights AS (SELECT s, (count(*) + 7) // 8 AS blocks, 1 + CAST('0x' || substr(md5(s), 1, 6) AS BIGINT) % 9 AS m FROM rows_ GROUP BY s),
 steps AS (
   SELECT CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS begin_, 0 AS phase, 0 AS at_phase, CAST(NULL AS VARCHAR) AS pick,
     (SELECT list(struct_pack(s := s, m := CAST(m AS BIGINT), togo := CAST(blocks AS BIGINT), done := CAST(0 AS BIGINT)) ORDER BY s) FROM weights) AS state
@@ -152,7 +155,7 @@ steps AS (
         SELECT t, begin_, phase, state, CAST(list_sum(list_transform(state, lambda x: CASE WHEN x.togo > 0 THEN x.m ELSE 0 END)) AS BIGINT) AS total FROM steps) a WHERE total > 0) b) c
 ),
 slots AS (SELECT t - 1 AS slot, at_phase, pick AS s, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block FROM steps WHERE pick IS NOT NULL)
-SELECT doc_id, source, lang, n_chars, at_phase AS mix_phase, slot AS mix_block, row_number() OVER (ORDER BY slot, r) - 1 AS mix_position FROM rows_ JOIN slots ON rows_.s = slots.s AND rows_.r // 64 = slots.block
+SELECT doc_id, text, lang, source, n_chars, at_phase AS mix_phase, slot AS mix_block, row_number() OVER (ORDER BY slot, r) - 1 AS mix_position FROM rows_ JOIN slots ON rows_.s = slots.s AND rows_.r // 8 = slots.block
 """
 
 #: All windows of all texts, joined with the items' windows of the same length.
