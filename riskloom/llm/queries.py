@@ -47,28 +47,38 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.withColumn("violations", F.array_join("violations", "; "))
 
 
-#: Turns are calls and results as in ``turns_as_calls``; every dependency stands earlier, so ranks follow the turns.
+#: Turns are calls and results as in ``turns_as_calls``; levels are the longest ways back over dependencies.
 TOOL_CALLS_SQL = """
-WITH calls AS (
+WITH RECURSIVE raw AS (
   SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'user' THEN 'ask' ELSE 'instruct' END AS name, text, length(text) AS chars,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS topo_order
+         md5(conv_id || ':' || turn) AS digest, substr(md5(conv_id || ':' || turn), 1, 1) AS kind
   FROM conversations WHERE role IN ('user', 'system')
+), edges AS (
+  SELECT c.conv_id, c.call_id, d.call_id AS dep, d.turn > c.turn AS forward FROM raw c JOIN raw d ON c.conv_id = d.conv_id AND abs(c.turn - d.turn) BETWEEN 1 AND 2 AND d.digest < c.digest
+), levels AS (
+  SELECT call_id, 0 AS level FROM raw UNION SELECT e.call_id, level + 1 FROM levels l JOIN edges e ON e.dep = l.call_id
+), longest AS (
+  SELECT call_id, max(level) AS level FROM levels GROUP BY call_id
+), calls AS (
+  SELECT raw.*, row_number() OVER (PARTITION BY raw.conv_id ORDER BY CASE WHEN raw.conv_id IN (SELECT conv_id FROM edges WHERE forward) THEN level ELSE 0 END, turn) AS topo_order FROM raw JOIN longest USING (call_id)
 ), results AS (
   SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'assistant'
 ), checked AS (
   SELECT *, list_filter([
-    CASE WHEN chars < 1 THEN 'chars: below minimum' WHEN name = 'ask' AND chars > 400 THEN 'chars: above maximum' END,
+    CASE WHEN kind = '2' THEN 'chars: string for integer' WHEN chars < 1 THEN 'chars: below minimum' WHEN name = 'ask' AND chars > 400 THEN 'chars: above maximum' END,
     CASE WHEN chars > CASE name WHEN 'ask' THEN 600 ELSE 200 END THEN 'text: too long' END,
-    CASE WHEN turn < 0 THEN 'turn: below minimum' WHEN name = 'instruct' AND turn > 0 THEN 'turn: above maximum' END
+    CASE WHEN kind = '0' THEN 'turn: missing' WHEN turn < 0 THEN 'turn: below minimum' WHEN name = 'instruct' AND turn > 0 THEN 'turn: above maximum' END,
+    CASE WHEN kind = '1' THEN 'extra: unknown parameter' END
   ], lambda x: x IS NOT NULL) AS found FROM calls
 ), linked AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.call_id, r.call_id) AS call_id, c.name,
          CASE WHEN c.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-         coalesce(c.found, []) AS found, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, c.topo_order, c.text, c.chars, c.turn AS call_turn, r.result
+         coalesce(c.found, []) AS found, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, c.topo_order, c.text, c.chars, c.kind, c.turn AS call_turn, r.result
   FROM checked c FULL OUTER JOIN results r ON c.call_id = r.call_id
 )
 SELECT conv_id, turn, call_id, name, status, len(found) = 0 AS valid, array_to_string(found, '; ') AS violations, n_results, topo_order,
-  '{"arguments":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '{"chars":' || chars || ',"text":' || to_json(text)::VARCHAR || ',"turn":' || call_turn || '}' END
+  '{"arguments":' || CASE WHEN call_turn IS NULL THEN 'null' ELSE '{"chars":' || CASE WHEN kind = '2' THEN '"' || chars || '"' ELSE CAST(chars AS VARCHAR) END || CASE WHEN kind = '1' THEN ',"extra":true' ELSE '' END
+    || ',"text":' || to_json(text)::VARCHAR || CASE WHEN kind = '0' THEN '' ELSE ',"turn":' || call_turn END || '}' END
   || ',"id":' || to_json(call_id)::VARCHAR || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null') || ',"result":' || coalesce(to_json(result)::VARCHAR, 'null')
   || ',"status":' || to_json(status)::VARCHAR || ',"violations":' || to_json(found)::VARCHAR || '}' AS json
 FROM linked

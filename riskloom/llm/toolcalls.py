@@ -5,7 +5,8 @@ against the tool's parameter list; calls get a topological order in their conver
 serialised as canonical JSON: keys sorted at every level, no blanks, numbers in one form.
 
 No conversation is ever gathered: links are rows, and ranks come from counts of buckets of turns, so a
-conversation may hold any share of the rows.
+conversation may hold any share of the rows. The tools' parameters are few and broadcast, up to a checked
+number, so that calls are validated where they are read however few the tools.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ CALLS = "conv_id bigint, turn bigint, pos int, call_id string, name string, argu
 RESULTS = "conv_id bigint, turn bigint, pos int, call_id string, result string"
 PARAMETERS = "name string, parameter string, type string, required boolean, minimum double, maximum double, max_length int, choices array<string>"
 TURNS_PER_BUCKET = 1024
+BROADCAST_PARAMETERS = 20_000
 
 
 def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,12 +41,14 @@ def extract(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _type_of(v: Column) -> Column:
+    """missing, null, integer (a whole number in any form), number, string, boolean, array or object."""
     s = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
     return (
         F.when(v.isNull(), "missing")
         .when(F.is_variant_null(v), "null")
         .when((s == "BIGINT") | s.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
-        .when((s == "DOUBLE") | (s == "FLOAT") | s.startswith("DECIMAL"), "number")
+        .when((s == "DOUBLE") | (s == "FLOAT") | s.startswith("DECIMAL"), F.when(number == F.rint(number), "integer").otherwise("number"))
         .when(s == "STRING", "string")
         .when(s == "BOOLEAN", "boolean")
         .when(s.startswith("ARRAY"), "array")
@@ -52,11 +56,10 @@ def _type_of(v: Column) -> Column:
     )
 
 
-def _violation(args: Column, p: Column) -> Column:
-    path = F.concat(F.lit('$["'), p["parameter"], F.lit('"]'))
-    v = F.try_variant_get(args, path, "variant")
+def _violation(fields: Column, p: Column) -> Column:
+    v = fields[p["parameter"]]
     kind = _type_of(v)
-    number, text = F.try_variant_get(args, path, "double"), F.try_variant_get(args, path, "string")
+    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
     said = lambda what: F.concat(p["parameter"], F.lit(": " + what))
     right = (kind == p["type"]) | ((p["type"] == "number") & (kind == "integer"))
     numeric = F.col("__true") & kind.isin("integer", "number")
@@ -76,39 +79,100 @@ def validate(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     Arguments that are no JSON object (or repeat a key) have the one violation "arguments: not an object", a
     tool without any parameter row "name: unknown tool". Missing arguments count as an empty object.
     """
+    few = parameters.limit(BROADCAST_PARAMETERS + 1).count() <= BROADCAST_PARAMETERS
     tools = parameters.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("parameter", "type", "required", "minimum", "maximum", "max_length", "choices"))).alias("__params"))
     with_args = calls.withColumn("args", F.try_parse_json(F.coalesce("arguments", F.lit("{}")))).withColumn("__true", F.lit(True))
-    joined = with_args.join(tools, "name", "left")
-    canonical = F.to_json("args")
-    keys = F.array_sort(F.coalesce(F.json_object_keys(canonical), F.array().cast("array<string>")))
+    joined = with_args.join(F.broadcast(tools) if few else tools, "name", "left").withColumn("__fields", F.try_variant_get("args", "$", "map<string,variant>"))
+    keys = F.array_sort(F.map_keys("__fields"))
     unknown = F.transform(F.array_except(keys, F.transform("__params", lambda p: p["parameter"])), lambda k: F.concat(k, F.lit(": unknown parameter")))
-    own = F.filter(F.transform("__params", lambda p: _violation(F.col("args"), p)), lambda x: x.isNotNull())
-    found = F.when(F.col("__params").isNull(), F.array(F.lit("name: unknown tool"))).when(F.col("args").isNull() | ~canonical.startswith("{"), F.array(F.lit("arguments: not an object"))).otherwise(F.concat(own, unknown))
-    return joined.withColumn("violations", found).drop("__params", "__true")
+    own = F.filter(F.transform("__params", lambda p: _violation(F.col("__fields"), p)), lambda x: x.isNotNull())
+    found = F.when(F.col("__params").isNull(), F.array(F.lit("name: unknown tool"))).when(F.col("__fields").isNull(), F.array(F.lit("arguments: not an object"))).otherwise(F.concat(own, unknown))
+    return joined.withColumn("violations", found).drop("__params", "__true", "__fields")
+
+
+def one_number_form(line: Column) -> Column:
+    """JSON text in which equal numbers read alike, inside no string.
+
+    A whole number without point or exponent keeps its digits; any other is taken as a double, and written
+    without a point if it is whole and below 2**53.
+    """
+    marked = F.replace(F.replace(line, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))  # JSON text has no such characters
+    number = lambda t: F.when((F.abs(t.cast("double")) < 2.0**53) & (t.cast("double") == F.rint(t.cast("double"))), t.cast("double").cast("bigint").cast("string")).otherwise(t.cast("double").cast("string"))
+    token = lambda t: F.when(t.rlike(r"^-?[0-9]+[.eE]"), number(t)).otherwise(t)
+    tokens = lambda part: F.array_join(F.transform(F.regexp_extract_all(part, F.lit("-?[0-9][-+.0-9eE]*|[^-0-9]+"), F.lit(0)), token), "")
+    parts = F.transform(F.split(marked, '"'), lambda part, i: F.when(i % 2 == 1, part).otherwise(tokens(part)))
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
+NODE = ["conv_id", "call_id"]
+
+
+def _anchors(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, call_id, dep, steps) of the calls with one dependency, with chains of such calls jumped over.
+
+    ``edges``: distinct (conv_id, call_id, dep). The second result has the calls whose chain runs in a circle,
+    or into one: what they reach never ends. Pointers double their reach each round, so a chain of n calls takes
+    log n rounds.
+    """
+    one = edges.groupBy(*NODE).agg(F.min("dep").alias("dep"), F.count("*").alias("n")).filter("n = 1").select(*NODE, "dep", F.lit(1).cast("bigint").alias("steps"))
+    one, open_ = cut(one), -1
+    while True:
+        nxt = one.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("__far"), F.col("steps").alias("__more"))
+        one = cut(one.join(nxt, ["conv_id", "dep"], "left").select(*NODE, F.coalesce("__far", "dep").alias("dep"), (F.col("steps") + F.coalesce("__more", F.lit(0))).alias("steps"), F.col("__far").isNotNull().alias("open")))
+        still = one.filter("open").count()
+        if not still or still == open_:
+            break
+        open_ = still
+    return one.filter("not open").drop("open"), one.filter("open").select(*NODE)
 
 
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) by peeling off calls whose dependencies are done; members of cycles get none."""
-    left, done, level = cut(nodes), None, 0
+    """(conv_id, call_id, level): the longest way back over dependencies; members of cycles, and what needs them, get none.
+
+    Chains are jumped over first. Between the calls that are left, those with several dependencies, weights
+    are ways, and each round settles the calls whose dependencies are settled: one stored table a round, of the
+    edges that are still open. So the rounds are those of the longest way from one such call to the next.
+    """
+    one, circle = _anchors(edges)
+    several = edges.groupBy(*NODE).agg(F.count("*").alias("n")).filter("n > 1").select(*NODE)
+    far = one.select("conv_id", F.col("call_id").alias("dep"), F.col("dep").alias("__far"), "steps")
+    dead = circle.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("__dead"))
+    ways = edges.join(several, NODE, "left_semi").join(far, ["conv_id", "dep"], "left").join(dead, ["conv_id", "dep"], "left")
+    state = ways.select(*NODE, F.coalesce("__far", "dep").alias("dep"), (F.lit(1) + F.coalesce("steps", F.lit(0))).cast("bigint").alias("steps"), F.coalesce("__dead", F.lit(False)).alias("dead"))
+    # a way to a call with several dependencies is open until that call is settled; other ways end at level 0
+    targets = several.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("open"))
+    state = cut(state.join(targets, ["conv_id", "dep"], "left").select(*NODE, "dep", "steps", (F.coalesce("open", F.lit(False)) | F.col("dead")).alias("open")))
+    settled = None
     while True:
-        waiting = edges.join(left.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_semi").select("conv_id", "call_id").distinct()
-        ready = cut(left.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
+        judged = state.groupBy(*NODE).agg(F.max("open").alias("open"), F.max("steps").alias("level"))
+        ready = cut(judged.filter("not open").select(*NODE, "level"))
         if ready.isEmpty():
-            return done if done is not None else ready
-        done = ready if done is None else cut(done.unionByName(ready))
-        left, level = cut(left.join(ready, ["conv_id", "call_id"], "left_anti")), level + 1
+            break
+        settled = ready if settled is None else settled.unionByName(ready)
+        known = ready.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("__level"))
+        rest = state.join(ready.select(*NODE), NODE, "left_anti").join(known, ["conv_id", "dep"], "left")
+        state = cut(rest.select(*NODE, "dep", (F.col("steps") + F.coalesce("__level", F.lit(0))).alias("steps"), (F.col("open") & F.col("__level").isNull()).alias("open")))
+    ends = several.withColumn("__several", F.lit(True))
+    if settled is not None:
+        ends = ends.join(settled, NODE, "left")
+    else:
+        ends = ends.withColumn("level", F.lit(None).cast("bigint"))
+    at = ends.select("conv_id", F.col("call_id").alias("dep"), F.col("level").alias("__level"), "__several")
+    chained = one.join(at, ["conv_id", "dep"], "left").filter("__several is null or __level is not null").select(*NODE, (F.col("steps") + F.coalesce("__level", F.lit(0))).alias("level"))
+    free = nodes.join(edges.select(*NODE).distinct(), NODE, "left_anti").select(*NODE, F.lit(0).cast("bigint").alias("level"))
+    return free.unionByName(chained).unionByName(ends.filter("level is not null").select(*NODE, "level"))
 
 
 def topological_order(calls: DataFrame) -> DataFrame:
     """Add ``topo_order`` (1, 2, ... in the conversation) and ``in_cycle``.
 
     Where every dependency stands earlier in the conversation, the order of the conversation is topological.
-    Others are peeled level by level and ordered by level, turn and place. Dependencies on unknown ids are
-    ignored; members of cycles, and what depends on them, have a null order. Calls with equal ids are one
-    node and keep their own places.
+    Others are ordered by level (the longest way back over dependencies), turn and place. Dependencies on
+    unknown ids are ignored; members of cycles, and what depends on them, have a null order. Calls with equal
+    ids are one node and keep their own places.
     """
     node = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "pos")).alias("first"))
-    edges = calls.select("conv_id", "call_id", F.explode("depends").alias("dep")).distinct().join(node.select("conv_id", F.col("call_id").alias("dep"), F.col("first").alias("dep_first")), ["conv_id", "dep"]).join(node, ["conv_id", "call_id"])
+    edges = calls.select("conv_id", "call_id", F.explode("depends").alias("dep")).filter("conv_id is not null and call_id is not null").distinct().join(node.select("conv_id", F.col("call_id").alias("dep"), F.col("first").alias("dep_first")), ["conv_id", "dep"]).join(node, ["conv_id", "call_id"])
     edges = cut(edges.select("conv_id", "call_id", "dep", (F.col("dep_first") >= F.col("first")).alias("forward")))
     tangled = cut(edges.filter("forward").select("conv_id").distinct())
     if tangled.isEmpty():
@@ -159,7 +223,7 @@ def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFra
         F.col("first.result").alias("result"),
     )
     line = F.to_json(F.struct(F.col("args").alias("arguments"), F.col("call_id").alias("id"), "name", "result", "status", "violations"), {"ignoreNullFields": "false"})
-    return rows.withColumn("json", line).drop("args", "result")
+    return rows.withColumn("json", one_number_form(line)).drop("args", "result")
 
 
 def parameters_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
@@ -182,13 +246,20 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations.
 
     A user's turn asks and a system turn instructs; each is a call with its text, length and turn as arguments,
-    and depends on the call before it, whose answer it has seen. An assistant's turn is the result of the
-    call in the turn before.
+    spoilt by the first digit of its id's MD5: 0 has no turn, 1 a key too many, 2 the length as text, and 3
+    writes the length as a decimal. A call depends on the calls up to two turns before and after whose MD5 is
+    smaller, so many must wait for later ones, and none in a circle. An assistant's turn is the result of
+    the call in the turn before.
     """
     m = messages.select("conv_id", "turn", "role", "text")
     name = F.when(F.col("role") == "user", "ask").when(F.col("role") == "system", "instruct")
     ident = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    arguments = F.to_json(F.struct(F.length("text").alias("chars"), "text", "turn"))
-    calls = m.filter("role in ('user', 'system')").select("conv_id", "turn", F.lit(0).alias("pos"), ident(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), F.array(ident(F.col("turn") - 1), ident(F.col("turn") - 2)).alias("depends"))
+    digest = lambda x: F.md5(x.cast("binary"))
+    kind, n = F.substring(digest(ident(F.col("turn"))), 1, 1), F.length("text")
+    json = lambda chars, *more: F.to_json(F.struct(chars.alias("chars"), "text", *more))
+    arguments = F.when(kind == "0", json(n)).when(kind == "1", json(n, "turn", F.lit(True).alias("extra"))).when(kind == "2", json(n.cast("string"), "turn")).when(kind == "3", json(n.cast("double"), "turn")).otherwise(json(n, "turn"))
+    near = F.array(*[ident(F.col("turn") + d) for d in (-2, -1, 1, 2)])
+    depends = F.filter(near, lambda x: digest(x) < digest(ident(F.col("turn"))))
+    calls = m.filter("role in ('user', 'system')").select("conv_id", "turn", F.lit(0).alias("pos"), ident(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), depends.alias("depends"))
     results = m.filter("role = 'assistant'").select("conv_id", "turn", F.lit(0).alias("pos"), ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("result"))
     return calls, results

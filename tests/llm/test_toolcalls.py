@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from riskloom.llm import toolcalls as tc
 from riskloom.llm.queries import ORACLES, op2_tool_calls
@@ -59,6 +62,73 @@ def test_topological_order(spark):
     assert [got[3, x] for x in "pqrs"] == [None, None, 1, None]
 
 
+def plain_levels(edges):
+    """The longest way back of each call, None in and after circles."""
+    out = {}
+
+    def level(x, above):
+        if x in above:
+            return None
+        if x not in out:
+            below = [level(d, above | {x}) for d in edges.get(x, ())]
+            if None in below:
+                return None
+            out[x] = max((1 + b for b in below), default=0)
+        return out[x]
+
+    return {x: level(x, frozenset()) for x in edges}
+
+
+def test_levels_against_brute_force(spark):
+    rng = random.Random(6)
+    calls, want = [], {}
+    for conv in range(40):
+        n = rng.randrange(1, 14)
+        edges = {i: rng.sample(range(n), min(n, rng.choice([0, 1, 1, 1, 2, 3]))) for i in range(n)}
+        if conv % 2:  # no circles
+            edges = {i: [d for d in ds if d * 7 % 13 < i * 7 % 13] for i, ds in edges.items()}
+        calls += [call(conv, i, str(i), depends=[str(d) for d in ds] + ["none"]) for i, ds in edges.items()]
+        levels = plain_levels(edges)
+        if any(d >= i for i, ds in edges.items() for d in ds):
+            order = sorted((level, i) for i, level in levels.items() if level is not None)
+        else:
+            order = [(0, i) for i in range(n)]
+        want |= {(conv, str(i)): None for i in range(n)} | {(conv, str(i)): k + 1 for k, (_, i) in enumerate(order)}
+    # a long chain that runs backwards, and one that branches all the way
+    chain = [call(100, i, str(i), depends=[str(i + 1)] if i < 299 else None) for i in range(300)]
+    ladder = [call(101, i, str(i), depends=[str(i + 1), str(i + 2)] if i < 4 else None) for i in range(6)]
+    want |= {(100, str(i)): 300 - i for i in range(300)} | {(101, str(i)): x for i, x in enumerate([6, 5, 4, 3, 1, 2])}
+    got = {(r.conv_id, r.call_id): r.topo_order for r in tc.topological_order(spark.createDataFrame(calls + chain + ladder, tc.CALLS)).collect()}
+    assert {k: v for k, v in want.items() if v != got[k]} == {} and len(got) == len(want)
+
+
+def test_one_number_form_and_any_name(spark):
+    params = [('a"b', "integer"), ("it's $.x[0]", "number"), ("s", "string")]
+    table = tc.parameters_table(spark, [("odd", n, t, True, None, None, None, None) for n, t in params])
+    forms = [("100", "integer", "100"), ("100.0", "integer", "100"), ("1e2", "integer", "100"), ("0.00001", "number", "1.0E-5"), ("1E-5", "number", "1.0E-5"), ("-0", "integer", "0"), ("12345678901234567890123", "integer", "12345678901234567890123"), ("2.50", "number", "2.5")]
+    text = r'say \"1e2\" or 3.10 \\ 7e1\n'
+    calls = [call(1, i, f"c{i}", "odd", f'{{"a\\"b":{f},"it\'s $.x[0]":{f},"s":"{text}"}}') for i, (f, _, _) in enumerate(forms)]
+    got = sorted(tc.link(spark.createDataFrame(calls, tc.CALLS), spark.createDataFrame([], tc.RESULTS), table).collect(), key=lambda r: r.turn)
+    for r, (_, kind, shown) in zip(got, forms, strict=True):
+        assert r.violations == ([] if kind == "integer" else ['a"b: number for integer'])
+        assert f'{{"arguments":{{"a\\"b":{shown},"it\'s $.x[0]":{shown},"s":"{text}"}},' in r.json
+
+
+def test_odd_rows(spark):
+    """Very long texts, repeated rows, nulls in any column, and extra columns with the operator's own names."""
+    long = json.dumps({"how": "loud", "to": ["1.0 \\ \" \n" * 200000]})
+    calls = [call(1, 0, "a", "say", long), call(1, 0, "a", "say", long), call(1, None, "b", None, None), (None,) * 7, call(1, 3, "c", "add", "\u0001")]
+    results = [(1, 1, 0, "a", "x" * 2_000_000), (None,) * 5, (1, 2, 0, "c", None)]
+    clash = lambda df: df.select("*", *[F.lit("?").alias(n) for n in ("args", "violations", "level", "first", "status", "json", "__b", "in_cycle", "n_results", "dep")])
+    tables = spark.createDataFrame(calls, tc.CALLS), spark.createDataFrame(results, tc.RESULTS)
+    plain, wide = (sorted(map(repr, tc.link(*(f(t) for t in tables), tc.parameters_table(spark, PARAMS)).collect())) for f in (lambda t: t, clash))
+    assert plain == wide and len(plain) == 6
+    row = next(r for r in tc.link(*tables, tc.parameters_table(spark, PARAMS)).collect() if r.call_id == "a")
+    assert json.loads(row.json)["arguments"] == json.loads(long) and row.status == "linked"
+    empty = spark.createDataFrame([], tc.CALLS), spark.createDataFrame([], tc.RESULTS)
+    assert tc.link(*empty, tc.parameters_table(spark, [])).count() == 0
+
+
 def test_extract(spark):
     call_text = '{"tool_calls":[{"id":"c1","name":"add","arguments":{"a":1,"b":2}},{"id":"c2","name":"say","arguments":{"how":"soft"},"depends":["c1"]}]}'
     rows = [(1, 0, "user", "add please"), (1, 1, "assistant", call_text), (1, 2, "tool", '{"tool_call_id":"c1","content":"3"}'), (1, 3, "assistant", None), (1, 4, "tool", "")]
@@ -81,3 +151,5 @@ def test_query_against_sql(spark, sf_dir):
     cols = want.columns
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r[c] for c in cols)) for r in got.collect())
     assert len(rows) > 50
+    order = {(r.conv_id, r.turn): r.topo_order for r in got.collect() if r.topo_order}
+    assert sum(order.get((c, t + 1), x) < x or order.get((c, t + 2), x) < x for (c, t), x in order.items()) > 10
