@@ -33,6 +33,11 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits that tell rows apart by ``columns``, as a struct of two hashes with unlike seeds."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(0x5EED), *columns).alias("b"))
+
+
 def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
     """About ``limit`` rows, chosen by a hash of ``key``: the same rows on every run.
 

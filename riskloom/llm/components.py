@@ -13,16 +13,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates two star contractions until the edge set stops changing: each node hangs its larger
     neighbours, then its smaller ones, on the smallest of them. The number of rounds grows with the
-    logarithm of the component size. Minima are aggregated before they are shuffled, and each round is cut
-    by a checkpoint in the shared folder, so a star of any size never sits in one task.
+    logarithm of the component size. Minima are aggregated before they are shuffled, and stored before they are
+    joined: a join with a stored table shuffles both sides anew (or broadcasts the small one), so Spark can
+    split the rows of a hub, and a star of any size never sits in one task.
     """
     state = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct())
     seen = None
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        small_low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(small_low, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))

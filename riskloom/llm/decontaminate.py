@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut
+from riskloom.llm.common import cut, row_key
 from riskloom.llm.words import ALNUM, Words, blocks, hash_tokens
 
 WINDOW = 13
@@ -45,17 +45,17 @@ def _unpack(blob: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), dtype=kind) if n else np.zeros(0, dtype=kind)
 
 
-def build_index(docs: DataFrame, text: str = "text", key: Column | None = None) -> DataFrame:
-    """Shards of a positional index over whole texts; ``key`` (a bigint, doc_id unless given) names a row.
+def build_index(docs: DataFrame, text: str = "text", key: Column | None = None, key2: Column | None = None) -> DataFrame:
+    """Shards of a positional index over whole texts; ``key`` (a bigint, doc_id unless given) names a row, with ``key2`` if given.
 
-    A null text has no words and is kept with none. Keys may repeat; a null key is stored as the least bigint.
+    A null text has no words and is kept with none. Keys may repeat, and may be null.
     """
-    key = F.col("doc_id") if key is None else key
-    rows = docs.select(F.coalesce(key, F.lit(-(2**63))).cast("bigint").alias("key"), F.col(text).alias("text"))
+    key = (F.col("doc_id") if key is None else key).cast("bigint")
+    rows = docs.select(F.coalesce(key, F.lit(0)).alias("key"), F.col(text).alias("text"), (F.lit(0) if key2 is None else key2).cast("bigint").alias("key2"), key.isNull().cast("bigint").alias("void"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3)])
             for lo, hi, data, off in blocks(batch.column(1), SHARD_BYTES):
                 words = Words(data, off, ALNUM)
                 hashes = words.hashes()
@@ -65,7 +65,7 @@ def build_index(docs: DataFrame, text: str = "text", key: Column | None = None)
                 gaps = np.diff(order, prepend=0)
                 gaps[head] = order[head]
                 blob = [
-                    _pack(keys[lo:hi].astype(np.int64)),
+                    _pack(keys[:, lo:hi].astype(np.int64)),
                     _pack(words.count.astype(np.int64)),
                     _pack(np.diff(ranked[head], prepend=np.uint64(0))),
                     _pack(np.diff(np.r_[head, len(ranked)]).astype(np.uint32)),
@@ -81,7 +81,8 @@ class Shard:
 
     def __init__(self, keys: bytes, counts: bytes, terms: bytes, lengths: bytes, postings: bytes, n_terms: int, sizes: int):
         n, docs = sizes >> 24, sizes & ((1 << 24) - 1)
-        self.keys, self.counts = _unpack(keys, docs, np.int64), _unpack(counts, docs, np.int64)
+        self.keys, self.key2, self.void = _unpack(keys, 3 * docs, np.int64).reshape(3, docs)
+        self.counts = _unpack(counts, docs, np.int64)
         self.terms = np.cumsum(_unpack(terms, n_terms, np.uint64), dtype=np.uint64)
         self.starts = np.r_[0, np.cumsum(_unpack(lengths, n_terms, np.uint32), dtype=np.int64)]
         sums = np.cumsum(_unpack(postings, n, np.uint32), dtype=np.int64)  # of gaps: each list starts anew
@@ -99,31 +100,35 @@ class Shard:
 
 @dataclass
 class QueryBlock:
-    """Windows of benchmark items: term numbers padded with -1, lengths, and the item of each."""
+    """Windows of benchmark items: their words as term numbers end to end, and each window's first word, length and item."""
 
     terms: np.ndarray
-    windows: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
     length: np.ndarray
     item: np.ndarray
     names: list[str]
+    window: int
 
 
 def query_block(items: list[tuple[object, str | None]], window: int = WINDOW) -> QueryBlock:
     """Windows of ``window`` consecutive words; an item of fewer words, but not none, is one window."""
-    rows, length, item, names = [], [], [], []
+    words, start, length, item, names, at = [], [], [], [], [], 0
     number: dict[bytes, int] = {}
     for name, text in items:
-        ids = [number.setdefault(w, len(number)) for w in (text or "").encode().translate(_SPLIT).split()]
-        if not ids:
+        ids = np.array([number.setdefault(w, len(number)) for w in (text or "").encode().translate(_SPLIT).split()], dtype=np.int32)
+        if not len(ids):
             continue
         n = min(window, len(ids))
-        for i in range(len(ids) - n + 1):
-            rows.append(ids[i : i + n] + [-1] * (window - n))
-            length.append(n)
-            item.append(len(names))
+        words.append(ids)
+        start.append(at + np.arange(len(ids) - n + 1, dtype=np.int32))
+        length.append(np.full(len(start[-1]), n, dtype=np.int32))
+        item.append(np.full(len(start[-1]), len(names), dtype=np.int32))
         names.append(str(name))
+        at += len(ids)
     terms = hash_tokens(list(number)) if number else np.zeros(0, dtype=np.uint64)
-    return QueryBlock(terms, np.array(rows, dtype=np.int64).reshape(-1, window), np.array(length, dtype=np.int64), np.array(item, dtype=np.int64), names)
+    joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+    return QueryBlock(terms, joined(words), joined(start), joined(length), joined(item), names, window)
 
 
 def _expand(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,14 +143,22 @@ def search(shard: Shard, q: QueryBlock, slop: int = 0, most: int = 1 << 21) -> I
     ``slop`` 0: exact phrases. Otherwise proximity: every term of the window within ``slop`` tokens of its
     place, counted from the rarest term.
     """
-    if not len(q.windows) or not len(shard.postings):
+    if not len(q.start) or not len(shard.postings):
         return
-    place = np.r_[shard.find(q.terms), -2]  # -2 stands for padding
-    where = place[q.windows]
-    alive = np.flatnonzero((where != -1).all(axis=1))
-    if not len(alive):
-        return
-    where, width = where[alive], q.windows.shape[1]
+    place = shard.find(q.terms)[q.words]
+    missing = np.r_[0, np.cumsum(place < 0)]
+    living = np.flatnonzero(missing[q.start + q.length] == missing[q.start])
+    for a in range(0, len(living), _WINDOWS):
+        yield from _search(shard, q, place, living[a : a + _WINDOWS], slop, most)
+
+
+_WINDOWS = 1 << 17  # looked for at once
+
+
+def _search(shard: Shard, q: QueryBlock, place: np.ndarray, alive: np.ndarray, slop: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    width = int(q.length[alive].max())
+    within = np.arange(width) < q.length[alive][:, None]
+    where = np.where(within, place[np.minimum(q.start[alive][:, None] + np.arange(width), len(place) - 1)], -2)  # -2 stands for padding
     frequency = np.r_[np.diff(shard.starts), 0, 0]
     df = np.where(where >= 0, frequency[where], np.iinfo(np.int64).max)
     order = np.argsort(df, axis=1, kind="stable")
@@ -166,7 +179,7 @@ def search(shard: Shard, q: QueryBlock, slop: int = 0, most: int = 1 << 21) -> I
         index, w = _expand(shard.starts[rarest[a:b]], sizes[a:b])
         w += a
         begin = shard.postings[index] - order[w, 0]
-        length = q.length[alive[w]]
+        length = q.length[alive[w]].astype(np.int64)
         doc = np.searchsorted(shard.first, np.maximum(begin, 0), side="right") - 1
         ok = (begin >= shard.first[doc]) & (begin + length <= shard.first[doc + 1]) if not slop else np.ones(len(w), dtype=bool)
         begin, w, doc = begin[ok], w[ok], doc[ok]
@@ -193,10 +206,10 @@ def search(shard: Shard, q: QueryBlock, slop: int = 0, most: int = 1 << 21) -> I
                 begin = np.maximum(begin, shard.first[centre])
                 yield alive[w], begin, end - begin
             else:
-                yield alive[w], begin, q.length[alive[w]]
+                yield alive[w], begin, q.length[alive[w]].astype(np.int64)
 
 
-MATCH_SCHEMA = "key bigint, n_words bigint, spans array<bigint>, items array<string>"
+MATCH_SCHEMA = "key bigint, key2 bigint, n_words bigint, spans array<bigint>, items array<string>"
 
 
 def _match(shard: Shard, q: QueryBlock, slop: int) -> tuple[list[np.ndarray], list[list[str]]]:
@@ -236,7 +249,7 @@ def match_index(index: DataFrame, block: QueryBlock, slop: int = 0) -> DataFrame
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = Shard(*row)
                 spans, items = _match(shard, sent.value, slop)
-                yield pa.RecordBatch.from_arrays([pa.array(shard.keys), pa.array(shard.counts), pa.array([s.tolist() for s in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["key", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.keys, mask=shard.void > 0), pa.array(shard.key2), pa.array(shard.counts), pa.array([s.tolist() for s in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["key", "key2", "n_words", "spans", "items"])
 
     return index.mapInArrow(run, MATCH_SCHEMA)
 
@@ -254,15 +267,33 @@ def _query_blocks(benchmark: DataFrame, item_id: str, text: str, window: int) ->
     yield query_block(part, window)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: Column | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """One row for each row of ``docs``: key, n_words, n_hit (words inside any match), n_items, items, spans, contaminated.
+def _united(rows: DataFrame) -> DataFrame:
+    """MATCH_SCHEMA of rows (key, key2, n_words, all: arrays of spans, items): spans that meet become one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column(3).to_pylist():
+                spans = np.array([x for p in parts for x in p], dtype=np.int64).reshape(-1, 2)
+                spans = spans[np.argsort(spans[:, 0], kind="stable")]
+                high = np.maximum.accumulate(spans[:, 1]) if len(spans) else spans[:, 1]
+                head = np.flatnonzero(np.r_[True, spans[1:, 0] > high[:-1]]) if len(spans) else np.zeros(0, dtype=np.int64)
+                ends = high[np.r_[head[1:] - 1, len(spans) - 1]] if len(spans) else high
+                out.append(np.stack([spans[head, 0], ends], axis=1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64())), batch.column(4)], ["key", "key2", "n_words", "spans", "items"])
+
+    return rows.mapInArrow(run, MATCH_SCHEMA)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: Column | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0, key2: Column | None = None) -> DataFrame:
+    """One row for each row of ``docs``: key, key2 (0 unless given), n_words, n_hit (words inside any match), n_items, items, spans, contaminated.
 
     ``contaminated``: n_hit > 0 and 20 * n_hit >= n_words. A null or wordless text has no words and no hit;
     a null or wordless item matches nothing; items with equal names count once for a text; repeated rows
     come back as often as given; an empty benchmark or table gives no hit or no row. ``items`` are sorted
-    as strings. The key of a null is the least bigint.
+    as strings. The key of a null is null.
     """
-    index = cut(build_index(docs, text, key))
+    index = cut(build_index(docs, text, key, key2))
     found = [match_index(index, q, slop) for q in _query_blocks(benchmark, item_id, item_text, window)]
     if len(found) == 1:
         merged = found[0]
@@ -271,29 +302,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         every = numbered[0]
         for f in numbered[1:]:
             every = every.unionByName(f)
-        every = every.groupBy("row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-
-        @F.udf("array<bigint>")
-        def union(parts):
-            out: list[int] = []
-            for lo, hi in sorted((p[i], p[i + 1]) for p in parts for i in range(0, len(p), 2)):
-                if out and lo <= out[-1]:
-                    out[-1] = max(out[-1], hi)
-                else:
-                    out += [lo, hi]
-            return out
-
-        merged = every.select("key", "n_words", union("all").alias("spans"), "items")
+        every = every.groupBy("row").agg(F.first("key").alias("key"), F.first("key2").alias("key2"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        merged = _united(every.drop("row"))
     n_hit = F.expr("aggregate(spans, struct(0L as s, -1L as sign), (a, x) -> struct(a.s + a.sign * x as s, -a.sign as sign)).s")
-    out = merged.select("key", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
-    return out.select("key", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = merged.select("key", "key2", "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "spans")
+    return out.select("key", "key2", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept.
 
-    Rows are told apart by a 64-bit hash of doc_id and text, so repeated rows share their (equal) verdict.
+    Rows are told apart by two 64-bit hashes of doc_id and text, so repeated rows share their (equal) verdict.
     """
-    key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    bad = find_contamination(docs, benchmark, key=key, window=window).filter("contaminated").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", key).join(bad, "__key", "left_anti").select(docs.columns)
+    row = row_key("doc_id", "text")
+    bad = find_contamination(docs, benchmark, key=row["a"], key2=row["b"], window=window).filter("contaminated").select(F.struct(F.col("key").alias("a"), F.col("key2").alias("b")).alias("__key"))
+    return docs.withColumn("__key", row).join(bad, "__key", "left_anti").select(docs.columns)

@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_sample
+from riskloom.llm.common import bounded_sample, cut
 from riskloom.llm.words import LOWER, blocks
 
 WINDOW = 256  # positions of each filter in a window
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 SPAN = WINDOW + max(WIDTHS) - 1
-TRAIN_DOCUMENTS = 3000
+TRAIN_DOCUMENTS = 3000  # labelled texts, about
+TRAIN_WINDOWS = 40_000  # and their windows
+TRAIN_STEPS = 110_000  # windows seen in all epochs, about
+LANGUAGES = 500
 _LETTER = np.zeros(256, dtype=np.bool_)
 _LETTER[97:123] = True
 
@@ -98,8 +101,8 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, batc
             at = order[a : a + batch]
             xb, yb, rows = x[at].copy(), y[at], np.arange(len(at))
             short = rng.random(len(at)) < 0.33
-            cut = rng.integers(12, 80, len(at))
-            xb[short[:, None] & (np.arange(SPAN)[None, :] >= cut[:, None])] = 0
+            ends = rng.integers(12, 80, len(at))
+            xb[short[:, None] & (np.arange(SPAN)[None, :] >= ends[:, None])] = 0
             best, at_best = [], []
             for w in WIDTHS:
                 conv = sum(p[f"t{w}"][k][xb[:, k : k + WINDOW]] for k in range(w))
@@ -132,20 +135,38 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, batc
     return Network([p[f"t{w}"].astype(np.float32) for w in WIDTHS], p["b"], p["o"], p["c"], langs)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limit: int = TRAIN_DOCUMENTS) -> Network | None:
-    """Train on at most ``limit`` labelled texts, three stretches of each; None if there are none.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limit: int = TRAIN_DOCUMENTS, most_windows: int = TRAIN_WINDOWS, most_languages: int = LANGUAGES) -> Network | None:
+    """Train on all windows of about ``limit`` labelled texts; None if there are none.
 
-    Rows with a null text or language are left out.
+    The ``most_languages`` most frequent languages get equal shares of the sample, so a rare language has all its
+    texts in it. If the sampled texts have more than ``most_windows`` windows, a hash of text and place picks
+    that many of them. Rows with a null text or language are left out. Rows alike in id and text stand or
+    fall together.
     """
-    rows = bounded_sample(labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null and t <> ''"), F.col("k"), limit)
-    places = [F.substring(F.col("t"), F.greatest(F.lit(1), (F.length("t") * s / 6 - 120).cast("int")), F.lit(SPAN)) for s in (1, 3, 5)]
-    got = rows.select("l", F.explode(F.array_distinct(F.array(*places))).alias("w")).orderBy("l", "w").collect()  # 3 * limit stretches at most
-    langs = sorted({r.l for r in got})
-    if not langs:
+    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null and t <> ''")
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
+    if not sizes:
         return None
-    raw = [r.w.encode()[:SPAN] for r in got]
-    x = LOWER[np.frombuffer(b"".join(r.ljust(SPAN, b"\0") for r in raw), dtype=np.uint8).reshape(-1, SPAN)]
-    return train(x, np.array([langs.index(r.l) for r in got]), langs)
+    share = F.lit(0.0)
+    for r in sizes:
+        share = F.when(F.col("l") == r.l, min(1.0, limit / len(sizes) / r.n)).otherwise(share)
+    unit = F.pmod(F.xxhash64("k", "t", F.lit(7919)), F.lit(1 << 40)) / float(1 << 40)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, off in blocks(batch.column(1)):
+                x, row, _ = windows(LOWER[data], off)
+                flat = pa.py_buffer(np.ascontiguousarray(x))
+                w = pa.Array.from_buffers(pa.binary(SPAN), len(x), [None, flat]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), w], ["l", "w"])
+
+    found = cut(rows.filter(unit < share).select("l", "t").mapInArrow(run, "l string, w binary"))
+    got = bounded_sample(found, F.struct("l", "w"), most_windows).orderBy("l", "w").toArrow()
+    langs, y = np.unique(np.array(got.column("l").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    if not len(langs):
+        return None
+    x = np.frombuffer(b"".join(got.column("w").to_pylist()), dtype=np.uint8).reshape(-1, SPAN)
+    return train(x, y, langs.tolist(), epochs=max(3, min(12, TRAIN_STEPS // len(x))))
 
 
 def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import bounded_sample
+
 ID_LANES = 4
 LANES = 128
 RUN = 3
@@ -127,42 +129,45 @@ def fingerprint_groups(rows: DataFrame, keys: list[str], texts: dict[str, Column
     return sums.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, F.col("lanes"))).alias(name) for k, name in enumerate(texts)])
 
 
-MOST_CELLS = 1 << 16
+MOST_BUCKETS = 1 << 16
+_LEAST = -(2**63)
 
 
-def _literal(values: list[int], kind: str) -> Column:
+def _literal(values: list[int]) -> Column:
     """An array constant; text keeps the plan small however long it is."""
-    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
+
+
+def _order_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """What rows are ordered by: the id (null as the least bigint), then a hash of the text."""
+    return F.coalesce(doc_id, F.lit(_LEAST).cast("bigint")), F.xxhash64(text)
 
 
-def deal_by_id(docs: DataFrame, doc_id: str, rows_per_bucket: int) -> DataFrame:
+def deal_by_id(docs: DataFrame, doc_id: str, text: str, rows_per_bucket: int) -> DataFrame:
     """Rows with ``bucket``, ascending in doc_id, and ``halo``: copies of each bucket's first rows in the bucket before.
 
-    A row's bucket comes from its cell among at most MOST_CELLS of equal width between the least and the largest
-    id; neighbouring cells are merged until they hold about ``rows_per_bucket`` rows. Only counts by cell
-    pass through one task. The last bucket holds copies of the first one's first rows.
+    Borders are keys (id, hash of text) of rows of a sample of some 16 rows a bucket (at most 16 * MOST_BUCKETS, by
+    a hash of the key), so that buckets hold about ``rows_per_bucket`` rows however the ids lie, even if all are
+    equal; a table of more rows than MOST_BUCKETS times that has larger buckets. Rows alike in id and text can't
+    be told apart and share a bucket. The last bucket holds copies of the first one's first rows.
     """
-    low, high, total = docs.agg(F.min(doc_id), F.max(doc_id), F.count("*")).first()
-    if not total:
-        return docs.withColumn("bucket", F.lit(0)).withColumn("halo", F.lit(False))
-    low, high = (0, 0) if low is None else (low, high)
-    key = F.coalesce(F.col(doc_id), F.lit(low).cast("bigint"))  # null ids stand before the least
-    shift = 0 if high - low < 1 << 62 else 16  # the difference of two ids must fit a bigint
-    cells = min(MOST_CELLS, max(64, 8 * (total // rows_per_bucket)))
-    step = ((high >> shift) - (low >> shift)) // cells + 1
-    id_text = f"shiftright(coalesce(`{doc_id}`, cast('{low}' as bigint)), {shift})"
-    cell = F.expr(f"cast(({id_text} - cast('{low >> shift}' as bigint)) div {step}L as int)")
-    counts = docs.select(cell.alias("cell"), key.alias("k")).groupBy("cell").agg(F.count("*").alias("n"), F.min("k").alias("first")).orderBy("cell").collect()  # at most MOST_CELLS rows
-    of_cell, firsts, held = [0] * (counts[-1]["cell"] + 1), [], 0
-    for c in counts:
-        if not firsts or held + c.n > rows_per_bucket:
-            firsts.append(c["first"])
-            held = 0
-        held += c.n
-        of_cell[c.cell] = len(firsts) - 1
-    n = len(firsts)
-    own = docs.withColumn("bucket", F.get(_literal(of_cell, "int"), cell))
-    is_first = F.get(_literal(firsts, "bigint"), F.col("bucket")) == key
+    ident, h = _order_key(F.col(doc_id), F.col(text))
+    keys = docs.select(ident.alias("i"), h.alias("h"))
+    stats = keys.agg(F.count("*").alias("n"), F.min(F.struct("i", "h")).alias("least")).first()
+    if not stats.n:
+        return docs.withColumn("bucket", F.lit(0).cast("bigint")).withColumn("halo", F.lit(False))
+    wanted = max(1, min(MOST_BUCKETS, stats.n // rows_per_bucket))
+    sample = bounded_sample(keys, F.struct("i", "h"), 16 * wanted).distinct().orderBy("i", "h").toArrow()
+    ids, hashes = sample.column("i").to_pylist(), sample.column("h").to_pylist()
+    at = sorted({len(ids) * k // wanted for k in range(1, wanted)} - {0})
+    firsts = [(stats.least.i, stats.least.h), *((ids[i], hashes[i]) for i in at if (ids[i], hashes[i]) > tuple(stats.least))]
+    n, of_id, of_h = len(firsts), _literal([f[0] for f in firsts]), _literal([f[1] for f in firsts])
+    # the last border not over the row's key, by halving
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, (n - 1).bit_length()) - 1, -1, -1)])
+    below = lambda i: (F.get(of_id, i) < F.col("__i")) | ((F.get(of_id, i) == F.col("__i")) & (F.get(of_h, i) <= F.col("__h")))
+    bucket = F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at)).cast("bigint")
+    own = docs.withColumn("__i", ident).withColumn("__h", h).withColumn("bucket", bucket)
+    is_first = (F.get(of_id, F.col("bucket").cast("int")) == F.col("__i")) & (F.get(of_h, F.col("bucket").cast("int")) == F.col("__h"))
     places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("halo")))
     before = F.array(F.struct(F.pmod(F.col("bucket") - 1, F.lit(n)).alias("bucket"), F.lit(True).alias("halo")))
     return own.withColumn("place", F.explode(F.when(is_first, F.concat(places, before)).otherwise(places))).select(*docs.columns, "place.bucket", "place.halo")
@@ -178,16 +183,16 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     """One row for each row of ``docs``: its fingerprint, that of its edited text, and their likeness.
 
     Returns doc_id, n_chars, edited (text), lanes, edited_lanes, near_edited, near_next. The next document
-    is the one after in ascending doc_id; equal ids follow in the order of their texts, a null id
-    comes first, and after the last comes the first. A null text is empty. A single row is its own next.
+    is the one after in ascending doc_id; equal ids follow in the order of a hash of their texts, a null id
+    counts as the least bigint, and after the last comes the first. A null text is empty. A single row is its own next.
     An empty table gives no rows; other columns of ``docs`` are not read.
 
     The texts are shuffled once, by bucket of doc_id: the window, the sums of lanes and the look at the next
     fingerprint all use that one partitioning.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = deal_by_id(rows, "doc_id", rows_per_bucket)
-    order = [F.col("halo"), F.col("doc_id").asc_nulls_first(), F.col("text")]
+    dealt = deal_by_id(rows, "doc_id", "text", rows_per_bucket)
+    order = [F.col("halo"), *_order_key(F.col("doc_id"), F.col("text")), F.col("text"), F.col("doc_id")]
     ordered = dealt.withColumn("nr", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).withColumn("next_text", F.lead("text").over(Window.partitionBy("bucket").orderBy(*order)))
     pairs = ordered.withColumn("edited", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     keys = ["bucket", "nr", "halo", "doc_id", "n_chars", "edited_sha256"]

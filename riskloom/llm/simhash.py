@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut
+from riskloom.llm.common import cut, row_key
 from riskloom.llm.components import connected_components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, width)
 RADIUS = 3
+FINGERPRINTS_A_TASK = 1 << 18  # some 22 million probes
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -129,7 +130,11 @@ def golay_links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
 
         return run
 
+    # few bytes that grow 85-fold: a number is given, or Spark would merge them into one or two tasks
+    tasks = max(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * fingerprints.sparkSession.sparkContext.defaultParallelism)
     distinct = fingerprints.select(F.col(fp).alias("fp")).filter("fp is not null").distinct()
+    tasks = max(tasks, -(-distinct.count() // FINGERPRINTS_A_TASK))
+    distinct = cut(distinct.repartition(tasks, "fp"))
     stored = distinct.mapInArrow(keyed(False), "key int, fp bigint").alias("s")
     probes = distinct.mapInArrow(keyed(True), "key int, fp bigint").alias("p")
     near = (F.col("p.key") == F.col("s.key")) & (F.col("p.fp") < F.col("s.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("s.fp"))) <= RADIUS)
@@ -166,9 +171,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row of each group of near duplicates, all columns kept: the one with the smallest doc_id.
 
     Among equal ids the least hash of id and text decides; a null id comes last. Of rows with the same id
-    and text one stays.
+    and text one stays. Rows are told apart by two 64-bit hashes.
     """
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    row = row_key("doc_id", "text")
     marked = cut(with_fingerprint(docs.select("doc_id", "text", row.alias("key")), "text", "fp", width).select("doc_id", "fp", "key"))
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), F.col("key"))
     by_fp = marked.groupBy("fp").agg(F.min(place).alias("first"))  # before the join: a hot fingerprint is one row

@@ -127,14 +127,14 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, n_features:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", limit: int = SAMPLE, features: int = FEATURES, identity: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY) -> Toxicity:
-    """Fit on at most ``limit`` rows of each class of ``labelled``; rows with a null label are left out.
+    """Fit on about ``limit`` rows of each class of ``labelled``; rows with a null label are left out.
 
     The driver sees at most ``features`` features, and of each sampled text only those. With one class or
     none, the classifier is its intercept: 1 if all labels are 1, 0 if all are 0 or there are none.
     """
     rows = labelled.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
-    both = bounded_sample(rows.filter("y = 1"), F.col("k"), limit).unionByName(bounded_sample(rows.filter("y = 0"), F.col("k"), limit))
-    sample = cut(both.repartition(2 * both.sparkSession.sparkContext.defaultParallelism))  # a limit leaves one partition
+    both = bounded_sample(rows.filter("y = 1"), F.struct("k", "text"), limit).unionByName(bounded_sample(rows.filter("y = 0"), F.struct("k", "text"), limit))
+    sample = cut(both.repartition(2 * both.sparkSession.sparkContext.defaultParallelism))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
