@@ -11,8 +11,9 @@ texts:
   the class that most raises the likelihood, until none moves;
 * contexts of every other word seen, however rare: how often each class of the symbols stands before and
   after it. In passes over all these words, each goes to the class under which its contexts are likeliest,
-  and the classes' contexts are summed anew, until no move raises the likelihood. The contexts' own classes
-  stay those of the symbols, so each pass can only raise it. Words with the same contexts are one row there;
+  and the classes' contexts are summed anew, until a pass raises the log-likelihood by less than ``TOLERANCE``
+  of it. The contexts' own classes stay those of the symbols, so each pass can only raise it. Words with the
+  same contexts are one row there;
 * bigrams of the final classes, over all texts. Only an unseen word takes the class of its group.
 
 Smoothing: transitions are discounted and interpolated with class frequencies. In a class of N tokens and
@@ -43,7 +44,8 @@ SUFFIX_GROUPS = 512
 TABLE_WORDS = 1 << 18
 CLASS_WORDS = 1 << 18
 DISCOUNT = 0.75
-_HELD = 2_000_000  # distinct keys a task holds before it hands them on
+TOLERANCE = 1e-6  # of the log-likelihood: a pass that gains less is the last
+_HELD = 1 << 19  # distinct keys a task holds before it hands them on
 
 
 @dataclass
@@ -69,39 +71,45 @@ def _words(data: np.ndarray, off: np.ndarray, groups: int) -> tuple[Words, np.nd
     return w, w.hashes().view(np.int64), (w.hashes(suffix=3) % np.uint64(groups)).astype(np.int64)
 
 
-def _flush(held: list, names: list[str]) -> pa.RecordBatch:
-    keys, counts = merge_counts(held)
-    held[:] = []
-    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names)
+class _Counts:
+    """Counts by key, of bounded size: ``add`` returns True when they should be handed on."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> bool:
+        self.parts.append((keys, counts.astype(np.int64)))
+        self.n += len(keys)
+        if self.n > 2 * _HELD:
+            self.parts = [merge_counts(self.parts)]
+            self.n = len(self.parts[0][0])
+        return self.n > _HELD and len(self.parts) == 1
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        out = merge_counts(self.parts)
+        self.parts, self.n = [], 0
+        return out
 
 
 def count_words(texts: DataFrame, groups: int) -> DataFrame:
-    """(h, g, c): hash, suffix group and count of every distinct word of the column ``text``."""
+    """(h, c): hash and count of every distinct word of the column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        suffix: list = []
+        held = _Counts()
 
         def out() -> pa.RecordBatch:
-            h, c = merge_counts(held)
-            order = np.argsort(np.concatenate([s[0] for s in suffix]), kind="stable")
-            hs, gs = np.concatenate([s[0] for s in suffix])[order], np.concatenate([s[1] for s in suffix])[order]
-            g = gs[np.searchsorted(hs, h)]
-            held[:], suffix[:] = [], []
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(g.astype(np.int32)), pa.array(c)], ["h", "g", "c"])
+            code, c = held.take()
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], ["h", "c"])
 
         for batch in batches:
             for _, _, data, off in blocks(batch.column(0)):
-                _, h, g = _words(data, off, groups)
-                unique, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((unique, n.astype(np.int64)))
-                suffix.append((unique, g[first]))
-                if sum(len(x[0]) for x in held) > _HELD:
+                if held.add(*np.unique(_words(data, off, groups)[1], return_counts=True)):
                     yield out()
-        if held:
+        if held.n:
             yield out()
 
-    return texts.select("text").mapInArrow(run, "h bigint, g int, c bigint").groupBy("h").agg(F.max("g").alias("g"), F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def count_bigrams(texts: DataFrame, symbols: Symbols) -> np.ndarray:
@@ -109,19 +117,17 @@ def count_bigrams(texts: DataFrame, symbols: Symbols) -> np.ndarray:
     sent = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        sym = sent.value
+        held, sym = _Counts(), sent.value
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in held.take()], ["code", "n"])
         for batch in batches:
             for _, _, data, off in blocks(batch.column(0)):
                 w, h, g = _words(data, off, sym.groups)
                 line = np.zeros(len(w) + w.n_docs, dtype=np.int64)
                 line[np.arange(len(w)) + w.doc] = sym.of(h, g)
-                code, n = np.unique(np.r_[0, line[:-1]] * sym.n + line, return_counts=True)
-                held.append((code, n.astype(np.int64)))
-                if sum(len(x[0]) for x in held) > _HELD:
-                    yield _flush(held, ["code", "n"])
-        if held:
-            yield _flush(held, ["code", "n"])
+                if held.add(*np.unique(np.r_[0, line[:-1]] * sym.n + line, return_counts=True)):
+                    yield out()
+        if held.n:
+            yield out()
 
     got = texts.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(symbols.n * symbols.n, dtype=np.float64)
@@ -184,62 +190,92 @@ def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     return cls
 
 
+def _merged(h: np.ndarray, code: np.ndarray, n: np.ndarray, classes: int) -> pa.RecordBatch:
+    """(h, contexts) of contexts that may repeat."""
+    order = np.lexsort((code, h))
+    h, code, n = h[order], code[order], n[order]
+    head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
+    h, code, n = h[head], code[head], np.add.reduceat(n, head)
+    word = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    contexts = pa.ListArray.from_arrays(pa.array(np.r_[word, len(h)].astype(np.int32)), pa.array(n * (2 * classes) + code))
+    return pa.RecordBatch.from_arrays([pa.array(h[word]), contexts], ["h", "contexts"])
+
+
+CONTEXTS = "h bigint, contexts array<bigint>"
+
+
 def count_contexts(texts: DataFrame, symbols: Symbols, cls: np.ndarray, classes: int) -> DataFrame:
-    """(h, contexts) of every word that is not a symbol of its own: sorted n * 2 classes + code.
+    """(h, contexts) of every word that is not a symbol of its own: n * 2 classes + code, by rising code.
 
-    The code is the class before, or ``classes`` + the class after; n how often it stands there.
+    The code is the class before, or ``classes`` + the class after; n how often it stands there. Each task hands
+    on a word's contexts as one row; rows of a word meet in one partition, sorted, and are merged as they
+    stream by.
     """
     sent = texts.sparkSession.sparkContext.broadcast((symbols, cls))
 
-    def merged(held: list) -> pa.RecordBatch:
-        h, code = (np.concatenate([x[i] for x in held]) for i in range(2))
-        order = np.lexsort((code, h))
-        h, code = h[order], code[order]
-        head = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (code[1:] != code[:-1])])
-        held[:] = []
-        return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(code[head]), pa.array(np.diff(np.r_[head, len(h)]))], ["h", "code", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         sym, of = sent.value
+
+        def out() -> pa.RecordBatch:
+            h, code = (np.concatenate([x[i] for x in held]) for i in range(2))
+            held[:] = []
+            return _merged(h, code, np.ones(len(h), dtype=np.int64), classes)
+
         for batch in batches:
             for _, _, data, off in blocks(batch.column(0)):
                 w, h, g = _words(data, off, sym.groups)
                 s, at = sym.of(h, g), np.arange(len(w)) + w.doc
-                line = np.zeros(len(w) + w.n_docs, dtype=np.int32)
+                line = np.zeros(len(w) + w.n_docs, dtype=np.int64)
                 line[at] = of[s]
                 other = s > len(sym.hashes)
                 before, after = np.r_[0, line[:-1]][at[other]], line[at[other] + 1]
                 if other.any():
-                    held.append((np.tile(h[other], 2), np.concatenate([before, classes + after]).astype(np.int32)))
-                if sum(len(x[0]) for x in held) > _HELD:
-                    yield merged(held)
+                    held.append((np.tile(h[other], 2), np.concatenate([before, classes + after])))
+                if sum(len(x[0]) for x in held) > 4 * _HELD:
+                    yield out()
         if held:
-            yield merged(held)
-
-    cells = texts.select("text").mapInArrow(run, "h bigint, code int, n bigint").groupBy("h", "code").agg(F.sum("n").alias("n"))
-    return cells.groupBy("h").agg(F.array_sort(F.collect_list(F.col("n") * (2 * classes) + F.col("code"))).alias("contexts"))
-
+            yield out()
 
-def _dense(column: pa.Array, classes: int) -> np.ndarray:
-    """Contexts as a row of 2 classes counts each."""
-    off, v = np.asarray(column.offsets), np.asarray(column.values)
-    out = np.zeros((len(column), 2 * classes))
-    out[np.repeat(np.arange(len(column)), np.diff(off)), v[off[0] : off[-1]] % (2 * classes)] = v[off[0] : off[-1]] // (2 * classes)
-    return out
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, dtype=np.int64)] * 3  # the last word of a batch may go on in the next
+        for batch in batches:
+            column = batch.column(1)
+            off, values = np.asarray(column.offsets).astype(np.int64), np.asarray(column.values)
+            values = values[off[0] : off[-1]]
+            h = np.repeat(batch.column(0).to_numpy(), np.diff(off))
+            h, code, n = (np.concatenate(x) for x in zip(rest, (h, values % (2 * classes), values // (2 * classes)), strict=True))
+            last = h == h[-1] if len(h) else np.zeros(0, dtype=bool)
+            rest = [h[last], code[last], n[last]]
+            if not last.all():
+                yield _merged(h[~last], code[~last], n[~last], classes)
+        if len(rest[0]):
+            yield _merged(*rest, classes)
 
+    return texts.select("text").mapInArrow(run, CONTEXTS).repartition("h").sortWithinPartitions("h").mapInArrow(merge, CONTEXTS)
 
-def _best(contexts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The likeliest class of each row of contexts under the classes' contexts ``table``, never class 0."""
-    size = table.sum(axis=1, keepdims=True) / 2
-    score = contexts @ (np.log(np.maximum(table, 1e-300)) - np.log(np.maximum(size, 1e-300))).T
-    return 1 + np.argmax(np.where(size[1:, 0] > 0, score[:, 1:], -np.inf), axis=1)
 
+def _best(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The likeliest class of each row of contexts under the classes' contexts ``table``, never class 0.
 
-def assign(contexts: DataFrame, own: np.ndarray, start: np.ndarray, classes: int) -> tuple[DataFrame, int]:
+    Also, of every context: its row, its code and its number.
+    """
+    classes = len(table)
+    size = table.sum(axis=1) / 2
+    score = np.log(np.maximum(table, 1e-300)) - np.log(np.maximum(size, 1e-300))[:, None]
+    off, values = np.asarray(column.offsets).astype(np.int64), np.asarray(column.values)
+    row, values = np.repeat(np.arange(len(column)), np.diff(off)), values[off[0] : off[-1]]
+    code, n = values % (2 * classes), values // (2 * classes)
+    dense = np.zeros((len(column), 2 * classes))
+    dense[row, code] = n
+    return 1 + np.where(size[1:] > 0, dense @ score[1:].T, -np.inf).argmax(axis=1), row, code, n
+
+
+def assign(contexts: DataFrame, own: np.ndarray, start: np.ndarray, classes: int, tolerance: float = TOLERANCE) -> tuple[DataFrame, int]:
     """(h, k): the class of every word of ``contexts``, and the number of passes.
 
-    ``own`` are the contexts of the symbols that keep their classes, ``start`` those of the classes at first.
+    ``own`` are the contexts of the symbols that keep their classes, ``start`` those of the classes at first. Of the
+    tables seen, the last but one is used if a pass gained less than ``tolerance``: the classes are those of its own.
     """
     contexts = cut(contexts)
     alike = cut(contexts.groupBy("contexts").agg(F.count("*").alias("w")))
@@ -252,9 +288,8 @@ def assign(contexts: DataFrame, own: np.ndarray, start: np.ndarray, classes: int
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros((classes, 2 * classes))
             for batch in batches:
-                x = _dense(batch.column(0), classes)
-                k = _best(x, sent.value)
-                out += (np.arange(classes)[:, None] == k).astype(np.float64) @ (x * batch.column(1).to_numpy()[:, None])
+                k, row, code, n = _best(batch.column(0), sent.value)
+                out += np.bincount(k[row] * 2 * classes + code, n * batch.column(1).to_numpy()[row], out.size).reshape(out.shape)
             i = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(out.ravel()[i].astype(np.int64))], ["i", "n"])
 
@@ -267,14 +302,14 @@ def assign(contexts: DataFrame, own: np.ndarray, start: np.ndarray, classes: int
     table, after, passes = start, summed(start), 1
     while True:
         later, passes = summed(after), passes + 1
-        if likelihood(later) <= likelihood(after) + 1e-12 * abs(likelihood(after)):
+        if likelihood(later) <= likelihood(after) + tolerance * abs(likelihood(after)):
             break
         table, after = after, later
     sent = sc.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = _best(_dense(batch.column(1), classes), sent.value)
+            k = _best(batch.column(1), sent.value)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k.astype(np.int32))], ["h", "k"])
 
     return contexts.select("h", "contexts").mapInArrow(run, "h bigint, k int"), passes
@@ -286,7 +321,7 @@ class Model:
 
     symbols: Symbols
     cls: np.ndarray
-    transition: np.ndarray  # log10, class before x class
+    transition: np.ndarray | None  # log10, class before x class
     class_tokens: np.ndarray
     class_words: np.ndarray
     discount: float
@@ -338,19 +373,21 @@ def _patched(line: bytes, found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.
     return k, c, new, old
 
 
-def _lines(texts: DataFrame, symbols: Symbols, cls: np.ndarray, known: np.ndarray, counts: DataFrame, model: Model | None = None) -> DataFrame:
-    """``texts`` (any columns, then the text) with, instead of the text, ``line`` and ``found``.
+def _lines(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``texts`` (any columns, then the text) with, instead of the text, what scores it but for the transitions.
 
-    ``line`` has the class of each word, or that of its group if ``symbols`` don't have it. ``found`` has (at, c, k):
-    place, count and class of each word in ``counts``, which has the words counted that are not in ``known``.
-    With a ``model``, known_n is the number of its words in ``known``, known_base and known_score are its sums with
-    the words that are not in ``known`` as if they were unseen.
+    ``line`` has the class of each word, or that of its group if the broadcast table doesn't have it; ``found`` has
+    (at, c, k): place, count and class of each word that has its counts in the joined table. known_n is the
+    number of words with counts in the broadcast table, known_base and known_score are the text's sums with the
+    words not in it as if they were unseen.
     """
     keep = texts.columns[:-1]
-    sent = texts.sparkSession.sparkContext.broadcast((symbols, cls.astype(np.int16), known, model))
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    least = int(model.counts.min()) if len(model.counts) else 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sym, of, have, lm = sent.value
+        lm = sent.value
+        sym, of, have = lm.symbols, lm.cls.astype(np.int16), lm.words
         for batch in batches:
             for lo, hi, data, off in blocks(batch.column(len(keep))):
                 w, h, g = _words(data, off, sym.groups)
@@ -362,21 +399,20 @@ def _lines(texts: DataFrame, symbols: Symbols, cls: np.ndarray, known: np.ndarra
                 columns = [batch.column(i).slice(lo, hi - lo) for i in range(len(keep))]
                 columns.append(pa.Array.from_buffers(pa.binary(), w.n_docs, [None, pa.py_buffer((2 * w.first).astype(np.int32)), pa.py_buffer(k)]))
                 columns += [pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (h[rare], places)]
-                if lm is not None:
-                    c = np.zeros(len(w), dtype=np.int64)
-                    c[seen] = lm.counts[where[seen]]
-                    columns.append(pa.array(np.bincount(w.doc[seen], minlength=w.n_docs).astype(np.int64)))
-                    columns.append(pa.array(np.bincount(w.doc, lm.base(c), w.n_docs).astype(np.float64)))
-                    columns.append(pa.array(np.bincount(w.doc, lm.emission(c, k.astype(np.int64)), w.n_docs).astype(np.float64)))
+                c = np.zeros(len(w), dtype=np.int64)
+                c[seen] = lm.counts[where[seen]]
+                columns.append(pa.array(np.bincount(w.doc[seen], minlength=w.n_docs).astype(np.int64)))
+                columns.append(pa.array(np.bincount(w.doc, lm.base(c), w.n_docs).astype(np.float64)))
+                columns.append(pa.array(np.bincount(w.doc, lm.emission(c, k.astype(np.int64)), w.n_docs).astype(np.float64)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     more = [("line", "binary"), ("rare_h", "array<bigint>"), ("rare_at", "array<int>")]
-    more += [("known_n", "bigint"), ("known_base", "double"), ("known_score", "double")] if model is not None else []
+    more += [("known_n", "bigint"), ("known_base", "double"), ("known_score", "double")]
     names = [*keep, *[n for n, _ in more]]
     schema = ", ".join(f"{n} {d}" for n, d in [*[(c, texts.schema[c].dataType.simpleString()) for c in keep], *more])
     local = cut(texts.mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
     rare = local.select("row", F.explode(F.arrays_zip("rare_h", "rare_at")).alias("r")).select("row", F.col("r.rare_h").alias("h"), F.col("r.rare_at").alias("at"))
-    found = rare.join(counts.select("h", "c", "k"), "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "k")).alias("found"))
+    found = rare.join(counts.filter(F.col("c") < least).select("h", "c", "k"), "h").groupBy("row").agg(F.collect_list(F.struct("at", "c", "k")).alias("found"))
     return local.drop("rare_h", "rare_at").join(found, "row", "left").drop("row")
 
 
@@ -398,8 +434,8 @@ def count_classes(lines: DataFrame, classes: int) -> np.ndarray:
     return table.reshape(classes, classes)
 
 
-def train(texts: DataFrame, classes: int = CLASSES, words: int = SYMBOL_WORDS, groups: int = SUFFIX_GROUPS, table_words: int = TABLE_WORDS, class_words: int = CLASS_WORDS) -> tuple[Model, DataFrame]:
-    """The model of all rows of ``texts`` (column ``text``) and (h, g, c, k) of all their words, k the class."""
+def prepare(texts: DataFrame, classes: int = CLASSES, words: int = SYMBOL_WORDS, groups: int = SUFFIX_GROUPS, table_words: int = TABLE_WORDS, class_words: int = CLASS_WORDS) -> tuple[Model, DataFrame]:
+    """The model but for its transitions, of all rows of ``texts`` (column ``text``), and (h, c, k) of all their words, k the class."""
     texts = texts.select("text")
     spark = texts.sparkSession
     counts = cut(count_words(texts, groups))
@@ -417,7 +453,7 @@ def train(texts: DataFrame, classes: int = CLASSES, words: int = SYMBOL_WORDS, g
     member[0] = 0  # the end has its class to itself
     others, passes = assign(count_contexts(texts, symbols, cls, classes), member[:own].T @ contexts[:own], member.T @ contexts, classes)
     tops = spark.createDataFrame(pa.table({"h": symbols.hashes.astype(np.int64), "k": cls[1:own].astype(np.int32)}))
-    counts = cut(counts.join(others.unionByName(tops), "h").select("h", "g", "c", "k"))
+    counts = cut(counts.join(others.unionByName(tops), "h").select("h", "c", "k"))
 
     stats = counts.groupBy("k").agg(F.count("*").alias("n"), F.sum("c").alias("tokens"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()  # one row a class
     once, twice = sum(r.once for r in stats), sum(r.twice for r in stats)
@@ -434,13 +470,24 @@ def train(texts: DataFrame, classes: int = CLASSES, words: int = SYMBOL_WORDS, g
     h, c, k = h[order], c[order], k[order]
     symbols = Symbols(h, groups)
     cls = np.concatenate([[0], k, fallback]).astype(np.int64)
-    table = count_classes(_lines(texts, symbols, cls, h, counts.filter(F.col("c") < with_class)), classes)
-    share = (n_tokens + 1.0) / (n_tokens + 1.0).sum()
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    model = Model(symbols, cls, None, n_tokens, kinds, discount, h[c >= least], c[c >= least], tokens, vocabulary, ends, passes)
+    return model, counts
+
+
+def transitions(lines: DataFrame, model: Model) -> np.ndarray:
+    """log10 P(class | class before) from the lines of the training texts."""
+    table = count_classes(lines, len(model.class_tokens))
+    share = (model.class_tokens + 1.0) / (model.class_tokens + 1.0).sum()
     context = table.sum(axis=1, keepdims=True)
     spare = np.where(context > 0, DISCOUNT * (table > 0).sum(axis=1, keepdims=True) / np.maximum(context, 1), 1.0)
-    transition = np.log10(np.maximum(table - DISCOUNT, 0) / np.maximum(context, 1) + spare * share)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    model = Model(symbols, cls, transition, n_tokens, kinds, discount, h[c >= least], c[c >= least], tokens, vocabulary, ends, passes)
+    return np.log10(np.maximum(table - DISCOUNT, 0) / np.maximum(context, 1) + spare * share)
+
+
+def train(texts: DataFrame, **options) -> tuple[Model, DataFrame]:
+    """``prepare`` and the transitions of the same texts."""
+    model, counts = prepare(texts, **options)
+    model.transition = transitions(_lines(texts.select("text"), model, counts), model)
     return model, counts
 
 
@@ -456,6 +503,10 @@ def _found(column: pa.Array) -> list:
     return [{"at": at[e - n : e], "c": c[e - n : e], "k": k[e - n : e]} for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
+def _rows(docs: DataFrame, held_out: Column, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
+
+
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -463,10 +514,20 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, held_out: Colu
     scored each; a null doc_id stays null; other columns are not read; an empty table gives no rows. A
     model of no training text gives every token probability 1 in the base and a uniform class.
     """
-    least = int(model.counts.min()) if len(model.counts) else 1 << 62
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    lines = _lines(rows, model.symbols, model.cls, model.words, counts.filter(F.col("c") < least), model)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return _score_lines(_lines(_rows(docs, held_out, doc_id, text), model, counts), model)
+
+
+def train_and_score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``score_texts`` of all rows by the model of those not held out (a null ``held_out`` is); the lines are made once for both."""
+    rows = _rows(docs, F.coalesce(held_out, F.lit(True)), doc_id, text)
+    model, counts = prepare(rows.filter(~F.col("held_out")), **options)
+    lines = cut(_lines(rows, model, counts))
+    model.transition = transitions(lines.filter(~F.col("held_out")), model)
+    return _score_lines(lines, model)
+
+
+def _score_lines(lines: DataFrame, model: Model) -> DataFrame:
+    sent = lines.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm = sent.value

@@ -12,12 +12,9 @@ from riskloom.llm.common import bounded_sample, id_remainder, table
 
 
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskloom.llm.classlm import score_texts, train
+    from riskloom.llm.classlm import train_and_score
 
-    docs = table(spark, sf_dir, "documents")
-    held_out = id_remainder(F.col("doc_id"), 7) == 2
-    model, counts = train(docs.filter(~held_out))
-    return score_texts(docs, model, counts, held_out)
+    return train_and_score(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
 
 
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

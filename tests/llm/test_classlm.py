@@ -42,14 +42,16 @@ def test_base_and_model(spark, table_words):
     model, counts = lm.train(df.filter(is_train), classes=6, words=10, groups=8, table_words=table_words)
     got = lm.score_texts(df, model, counts, ~is_train).collect()
     key = lambda r: (r[0], r[1], r[4])
+    again = lm.train_and_score(df, ~is_train, classes=6, words=10, groups=8, table_words=table_words).collect()
+    shown = lambda rs: sorted((r.doc_id, r.held_out, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rs)
+    assert shown(again) == shown(got)
     want = sorted(plain_base(rows, train_row), key=key)
     have = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), key=key)
     assert [w[:4] for w in want] == [h[:4] for h in have]
     assert np.allclose([w[4] for w in want], [h[4] for h in have])
     # the model is a distribution: transitions sum to one, and so do words and the unknown in each class
     assert np.allclose((10.0**model.transition).sum(axis=1), 1)
-    h, g, c = (np.array([r[i] for r in counts.collect()]) for i in range(3))
-    k = model.cls[model.symbols.of(h, g)]
+    h, c, k = (np.array([r[i] for r in counts.collect()]) for i in range(3))
     for x in range(1, 6):
         if (k == x).any():
             assert abs((10 ** model.emission(c[k == x], k[k == x])).sum() + 10 ** float(model.emission(np.array([0]), np.array([x]))[0]) - 1) < 1e-6
@@ -89,6 +91,32 @@ def test_empty(spark):
     assert (one.n_tokens, one.n_known, one.train_tokens, one.base_score) == (3, 0, 0, 0.0) and one.score <= 0
 
 
+def test_contexts_against_brute_force(spark):
+    rng = random.Random(9)
+    lines = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(12))) for _ in range(90)] + [None, "z" * 100000 + " w1"]
+    hashes = np.sort(hash_tokens([f"w{i}".encode() for i in range(5)]).view(np.int64))
+    symbols, classes = lm.Symbols(hashes, 8), 4
+    cls = np.r_[0, 1 + np.arange(symbols.n - 1) % 3]
+    of = {}
+    for t in lines:
+        for w in words(t):
+            data = np.frombuffer(w.encode(), dtype=np.uint8)
+            _, h, g = lm._words(data, np.array([0, len(data)]), 8)
+            of[w] = int(h[0]), int(symbols.of(h, g)[0])
+    want = {}
+    for t in lines:
+        ws = words(t)
+        k = [0, *(int(cls[of[w][1]]) for w in ws), 0]
+        for i, w in enumerate(ws):
+            if of[w][1] > 5:
+                c = want.setdefault(of[w][0], Counter())
+                c[k[i]] += 1
+                c[classes + k[i + 2]] += 1
+    df = spark.createDataFrame([(t,) for t in lines], "text string").repartition(5)
+    got = {r.h: r.contexts for r in lm.count_contexts(df, symbols, cls, classes).collect()}
+    assert got == {h: [n * 2 * classes + code for code, n in sorted(c.items())] for h, c in want.items()}
+
+
 def test_query(spark, sf_dir):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(op8_brown_lm(spark, sf_dir).collect())
