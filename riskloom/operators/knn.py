@@ -6,6 +6,9 @@ first, so a task holds one block of references and streams any number of queries
 integer distances from a matrix product. Each block gives at most k candidates a query; those few rows are
 then merged by query. A tag or cluster of any size is thus many blocks, never one task's group.
 
+Few queries (a micro-batch) are broadcast instead, up to a checked number, and the references are scanned where
+they lie: only the candidates of each task are shuffled, never the index (``scan_beside``).
+
 ``search_ivf`` probes the clusters whose boxes are nearest. Queries with mixed votes are then completed with
 every other cluster whose box is no farther than the fifth neighbour found, which makes their answer exact.
 """
@@ -29,6 +32,8 @@ MIXED = (1, 4)  # votes from .. to that are searched again
 BLOCK_ROWS = 1 << 15
 QUERY_ROWS = 1 << 17
 LEAST_QUERY_ROWS = 1 << 11
+FEW_QUERIES = 1 << 12  # broadcast for an exact search: 44 bytes each
+FEW_PROBES = 1 << 17  # broadcast for probing
 
 
 # ---- declarative forms -------------------------------------------------------------------------------------------
@@ -163,6 +168,64 @@ def block_topk(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
     return both.repartition(_tasks(queries), "block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, CANDIDATES)
 
 
+def scan_beside(queries: pa.Table, refs: DataFrame, keys: list[str], k: int = K) -> DataFrame:
+    """CANDIDATES of few ``queries`` (qid, ``keys``, v0..v13), at most k a query and key from each task of ``refs``."""
+    packed = np.stack([queries.column(n).to_numpy().astype(np.int64) for n in keys], axis=1)
+    distinct, owner = np.unique(packed, axis=0, return_inverse=True)
+    v = np.stack([queries.column(c).to_numpy() for c in VECTOR], axis=1).astype(np.float64)
+    order = np.argsort(owner.ravel(), kind="stable")
+    bounds = np.searchsorted(owner.ravel()[order], np.arange(len(distinct) + 1))
+    table = {tuple(d): (queries.column("qid").to_numpy()[order[a:b]], v[order[a:b]]) for d, a, b in zip(distinct.tolist(), bounds[:-1], bounds[1:], strict=True)}
+    sent = refs.sparkSession.sparkContext.broadcast(table)
+    n_keys = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, list[np.ndarray]] = {}  # by key: query, dist, vi, label of the k nearest so far
+
+        def take(parts: list[pa.RecordBatch]) -> None:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            codes = np.stack([whole.column(i).to_numpy().astype(np.int64) for i in range(n_keys)], axis=1)
+            vi, label = whole.column(n_keys).to_numpy(), whole.column(n_keys + 1).to_numpy()
+            rows = np.stack([whole.column(n_keys + 2 + i).to_numpy() for i in range(DIMS)], axis=1).astype(np.float64)
+            kinds, own = np.unique(codes, axis=0, return_inverse=True)
+            for i, code in enumerate(map(tuple, kinds.tolist())):
+                if code not in sent.value:
+                    continue
+                at = np.flatnonzero(own.ravel() == i)
+                at = at[np.argsort(vi[at], kind="stable")]
+                q, r, dist = _topk(sent.value[code][1], rows[at], k)
+                new = [q, np.rint(dist).astype(np.int64), vi[at][r], label[at][r]]
+                if code in best:
+                    new = [np.concatenate(x) for x in zip(best[code], new, strict=True)]
+                    rank = np.lexsort((new[2], new[1], new[0]))
+                    new = [x[rank] for x in new]
+                    first = np.searchsorted(new[0], new[0], side="left")
+                    new = [x[np.arange(len(rank)) - first < k] for x in new]
+                best[code] = new
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= BLOCK_ROWS:
+                take(held)
+                held = []
+        if held:
+            take(held)
+        for code, (q, dist, vi, label) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[code][0][q]), pa.array(vi), pa.array(dist), pa.array(label.astype(np.int32))], ["qid", "vi", "dist", "label"])
+
+    return refs.select(*keys, "vi", "label", *VECTOR).mapInArrow(run, CANDIDATES)
+
+
+def _candidates(queries: DataFrame, refs: DataFrame, keys: list[tuple[str, int]], few: int, k: int) -> DataFrame:
+    """CANDIDATES of queries (qid, keys, v0..v13): beside the references if there are at most ``few``, else by blocks."""
+    queries, names = cut(queries), [n for n, _ in keys]
+    refs = refs.withColumnRenamed("tag", "etag")
+    if queries.count() <= few:
+        return scan_beside(queries.select("qid", *names, *VECTOR).toArrow(), refs, names, k)
+    return block_topk(*_dealt(queries, refs, keys), k)
+
+
 def merge_topk(candidates: DataFrame, k: int = K) -> DataFrame:
     """qid and ``near``: its k candidates of smallest (dist, vi), as an ascending array of structs."""
     ordered = F.array_sort(F.collect_list(F.struct("dist", "vi", "label")))
@@ -210,8 +273,8 @@ def search_exact(queries: DataFrame, refs: DataFrame, clusters: DataFrame, k: in
     ``queries``: qid, tag, v0..v13. A query whose tag leads to no partition has no neighbours and no votes.
     """
     q = with_effective_tag(queries, clusters)
-    blocks = _dealt(q.filter("etag is not null"), refs.withColumnRenamed("tag", "etag"), [("etag", 4)])
-    return with_votes(q, merge_topk(block_topk(*blocks, k), k), "etag")
+    near = _candidates(q.filter("etag is not null").select("qid", "etag", *VECTOR), refs, [("etag", 4)], FEW_QUERIES, k)
+    return with_votes(q, merge_topk(near, k), "etag")
 
 
 # ---- probing -----------------------------------------------------------------------------------------------------
@@ -256,7 +319,7 @@ def _probe(queries: DataFrame, clusters: DataFrame, first: int, bound: bool) ->
 
 
 def _scan(probes: DataFrame, refs: DataFrame, k: int) -> DataFrame:
-    return block_topk(*_dealt(probes, refs.withColumnRenamed("tag", "etag"), [("etag", 4), ("cid", 12)]), k)
+    return _candidates(probes, refs, [("etag", 4), ("cid", 12)], FEW_PROBES, k)
 
 
 def probe_votes(queries: DataFrame, refs: DataFrame, clusters: DataFrame, probes: int = PROBES, k: int = K) -> DataFrame:

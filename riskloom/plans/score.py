@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.decide import decide
 from riskloom.operators.features import vectorize
-from riskloom.operators.index_build import BUILT_TAGS, build_index
-from riskloom.operators.knn import search_exact, search_ivf
+from riskloom.operators.index_build import BUILT_TAGS, build_index, read_index
+from riskloom.operators.knn import PROBES, search_exact, search_ivf
 from riskloom.session import cut
+from riskloom.sources.dispatch import Settings
 from riskloom.sources.events import transactions
 from riskloom.sources.requests import parse_requests
 
-SEARCHES = {"exact": search_exact, "ivf": search_ivf}
-
-
-def score_vectors(queries: DataFrame, index: tuple[DataFrame, DataFrame], method: str = "ivf") -> DataFrame:
+def score_vectors(queries: DataFrame, index: tuple[DataFrame, DataFrame], method: str = "ivf", probes: int = PROBES) -> DataFrame:
     """qid, votes, fraud_score, approved, response of vectors (qid, tag, v0..v13)."""
-    return decide(SEARCHES[method](queries, *index).select("qid", "votes"))
-
-
-def score_requests(bodies: DataFrame, index: tuple[DataFrame, DataFrame], method: str = "ivf", ident: str = "qid") -> DataFrame:
-    """ident, status, votes, fraud_score, approved, response of JSON bodies (``ident``, body); null answers with status 400."""
+    if method not in ("exact", "ivf"):
+        raise ValueError(f"unknown method {method!r}")
+    found = search_exact(queries, *index) if method == "exact" else search_ivf(queries, *index, probes=probes)
+    return decide(found.select("qid", "votes"))
+
+
+def score_requests(bodies: DataFrame, index: tuple[DataFrame, DataFrame] | None = None, method: str | None = None, ident: str = "qid") -> DataFrame:
+    """ident, status, votes, fraud_score, approved, response of JSON bodies (``ident``, body); null answers with status 400.
+
+    Without them, the index and the method are those of the session's settings.
+    """
+    settings = Settings.of(bodies.sparkSession)
+    if index is None:
+        if settings.index is None:
+            raise ValueError("give an index, or set riskloom.index to the folder of a stored one")
+        index = read_index(bodies.sparkSession, settings.index)
     parsed = cut(parse_requests(bodies.select(F.col(ident).cast("bigint").alias("qid"), "body")))
-    answers = score_vectors(vectorize(parsed.filter("valid"), "qid"), index, method)
+    answers = score_vectors(vectorize(parsed.filter("valid"), "qid"), index, method or settings.method, settings.probes)
     return parsed.select("qid", "status").join(answers, "qid", "left").withColumnRenamed("qid", ident)
 
 

@@ -96,12 +96,12 @@ queries AS (SELECT event_id AS qid, label, tag, {_V}, CASE WHEN tag IN (SELECT t
             FROM feat WHERE event_id % 10 = 0)"""
 
 EXACT_SQL = f"""{INDEX_SQL},
-near AS (SELECT q.qid, r.label, {_DIST} AS dist, row_number() OVER (PARTITION BY q.qid ORDER BY {_DIST}, r.vi) AS nr FROM queries q JOIN refs r ON q.etag = r.tag),
+near AS (SELECT q.qid, r.vi, r.label, {_DIST} AS dist, row_number() OVER (PARTITION BY q.qid ORDER BY {_DIST}, r.vi) AS nr FROM queries q JOIN refs r ON q.etag = r.tag),
 exact AS (SELECT q.qid, q.label, q.etag, CAST(coalesce(sum(n.label), 0) AS INTEGER) AS votes FROM queries q LEFT JOIN near n ON q.qid = n.qid AND n.nr <= 5 GROUP BY q.qid, q.label, q.etag)"""
 
 PROBE_SQL = f"""{EXACT_SQL},
 ranked AS (SELECT q.qid, q.etag, c.cid, CAST({_LB} AS BIGINT) AS lb, row_number() OVER (PARTITION BY q.qid ORDER BY {_LB}, c.cid) AS rank FROM queries q JOIN clusters c ON q.etag = c.tag),
-near12 AS (SELECT q.qid, r.label, row_number() OVER (PARTITION BY q.qid ORDER BY {_DIST}, r.vi) AS nr FROM ranked p JOIN queries q ON p.qid = q.qid JOIN refs r ON r.tag = p.etag AND r.cid = p.cid WHERE p.rank <= 12),
+near12 AS (SELECT q.qid, r.vi, r.label, row_number() OVER (PARTITION BY q.qid ORDER BY {_DIST}, r.vi) AS nr FROM ranked p JOIN queries q ON p.qid = q.qid JOIN refs r ON r.tag = p.etag AND r.cid = p.cid WHERE p.rank <= 12),
 first AS (SELECT q.qid, CAST(coalesce(sum(n.label), 0) AS INTEGER) AS votes FROM queries q LEFT JOIN near12 n ON q.qid = n.qid AND n.nr <= 5 GROUP BY q.qid),
 ivf AS (SELECT f.qid, CASE WHEN f.votes BETWEEN 1 AND 4 THEN e.votes ELSE f.votes END AS votes, f.votes BETWEEN 1 AND 4 AS repaired FROM first f JOIN exact e ON f.qid = e.qid)"""
 
@@ -241,14 +241,15 @@ def _scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-@query(f"WITH {INDEX_SQL} SELECT cid, vi, label, {_SHORT} FROM refs WHERE tag = 3")
+@query(f"WITH {INDEX_SQL} SELECT tag, cid, vi, label, {_SHORT} FROM refs")
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One tag of the index after it was stored and opened again; the filter prunes the other tags' files."""
+    """The index after it was stored and opened again, every tag that was written being checked for."""
     known = split_events(event_vectors(spark, sf_dir))[1]
     path = _scratch(spark, "index")
-    write_index(*build_index(known), path)
-    refs, _ = read_index(spark, path, ())
-    return refs.filter("tag = 3").select("cid", "vi", "label", *VECTOR)
+    refs, clusters = build_index(known)
+    tags = tuple(r.tag for r in clusters.select("tag").distinct().collect())  # at most 16
+    write_index(refs, clusters, path)
+    return read_index(spark, path, tags)[0].select("tag", "cid", "vi", "label", *VECTOR)
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,10 +301,17 @@ def tag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.with_effective_tag(queries, clusters).select("qid", "tag", "etag")
 
 
-@query()
+@query(
+    f"""WITH {PROBE_SQL}, sizes AS (SELECT qid, count(*) AS n FROM near WHERE nr <= 5 GROUP BY qid),
+    met AS (SELECT e.qid, count(*) AS n FROM near e JOIN near12 p ON e.qid = p.qid AND e.vi = p.vi WHERE e.nr <= 5 AND p.nr <= 5 GROUP BY e.qid)
+    SELECT count(*) AS queries, round(CAST(sum(CASE WHEN i.repaired THEN s.n ELSE coalesce(m.n, 0) END) AS DOUBLE) / sum(s.n), 9) AS recall, round(avg(CASE WHEN i.votes = x.votes THEN 1.0::DOUBLE ELSE 0 END), 9) AS same_votes
+    FROM ivf i JOIN exact x USING (qid) LEFT JOIN sizes s USING (qid) LEFT JOIN met m USING (qid)"""
+)
 def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = event_index(spark, sf_dir, "kmeans")
-    return knn.recall(knn.search_ivf(queries, *index), knn.search_exact(queries, *index))
+    """Probing against exact search on the grid index."""
+    queries, index = event_index(spark, sf_dir)
+    row = knn.recall(knn.search_ivf(queries, *index), knn.search_exact(queries, *index))
+    return row.select("queries", F.round("recall", 9).alias("recall"), F.round("same_votes", 9).alias("same_votes"))
 
 
 _EMBED = "(SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0) q JOIN (SELECT vec_id AS rid, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 <> 0) r ON true"
@@ -358,8 +366,8 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n, weighted_errors, failures, round(epsilon, 6) AS epsilon, round(failure_rate, 6) AS failure_rate, round(a, 4) AS p99_score, round(d, 4) AS detection_score, round(a + d, 4) AS final_score, failure_rate > 0.15 AS detection_cut, p99_ms > 2000 AS p99_cut FROM s"""
 )
 def detection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p99 = _table(spark, sf_dir, "events").agg(F.percentile("value", F.lit(0.99)).alias("p99"))
-    row = E.report(E.confusion(_decided(spark, sf_dir)).join(F.broadcast(p99)), F.col("p99"))  # one row each
+    p99 = E.exact_percentiles(_table(spark, sf_dir, "events"), "value", [0.99])[0]
+    row = E.report(E.confusion(_decided(spark, sf_dir)), F.lit(p99).cast("double"))
     rounded = lambda c, n: F.round(c, n).alias(c)
     return row.select("n", "weighted_errors", "failures", rounded("epsilon", 6), rounded("failure_rate", 6), rounded("p99_score", 4), rounded("detection_score", 4), rounded("final_score", 4), "detection_cut", "p99_cut")
 

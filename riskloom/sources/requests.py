@@ -27,16 +27,19 @@ def parse_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
 
     Fields are found by name, in any order. A row is valid if the body is a JSON object with all fields of
     the right type: counts within 0..255, times that exist, a numeric category code, and last_transaction
-    null or complete. Flags are true only for true. Fields of an invalid row may be null.
+    null or complete. Flags must be there, and are true only for true. Fields of an invalid row may be null.
     """
     r = F.from_json(F.col(body), REQUEST_SCHEMA)
-    rows = bodies.withColumn("__r", r).withColumn("__keys", F.json_object_keys(F.col(body)))
+    flags = F.json_object_keys(F.get_json_object(body, "$.terminal"))
+    # a generator between them keeps the optimizer from parsing the body anew for each field and filter
+    rows = bodies.withColumn("__p", F.explode(F.array(F.struct(r.alias("r"), F.json_object_keys(F.col(body)).alias("keys"), flags.alias("flags")))))
+    rows = rows.select(*bodies.columns, F.col("__p.r").alias("__r"), F.col("__p.keys").alias("__keys"), F.col("__p.flags").alias("__flags"))
     at, last = S.iso_timestamp(F.col("__r.transaction.requested_at")), S.iso_timestamp(F.col("__r.last_transaction.timestamp"))
     rows = rows.withColumn("__at", at).withColumn("__last", last)
     t, c, m, p, prev = (F.col(f"__r.{x}") for x in ("transaction", "customer", "merchant", "terminal", "last_transaction"))
     has_last = prev.isNotNull()
     needed = [F.col("__r.id"), t["amount"], F.col("__at"), c["avg_amount"], c["known_merchants"], m["id"], S.mcc_number(m["mcc"]), m["avg_amount"], p["km_from_home"]]
-    valid = _byte(t["installments"]) & _byte(c["tx_count_24h"]) & F.array_contains("__keys", "last_transaction")
+    valid = _byte(t["installments"]) & _byte(c["tx_count_24h"]) & F.array_contains("__keys", "last_transaction") & F.array_contains("__flags", "is_online") & F.array_contains("__flags", "card_present")
     for x in needed:
         valid = valid & x.isNotNull()
     valid = F.coalesce(valid & (~has_last | (F.col("__last").isNotNull() & prev["km_from_current"].isNotNull())), F.lit(False))

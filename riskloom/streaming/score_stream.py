@@ -18,8 +18,8 @@ def read_request_stream(spark: SparkSession, path: str, files_per_batch: int = 1
     return spark.readStream.schema("qid bigint, body string, label int").option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def score_stream(requests: DataFrame, index: tuple[DataFrame, DataFrame], out: str, checkpoint: str, method: str = "ivf", trigger: dict | None = None) -> StreamingQuery:
-    """Score every micro-batch against ``index`` and store the answers in ``out``."""
+def score_stream(requests: DataFrame, index: tuple[DataFrame, DataFrame], out: str, checkpoint: str, method: str | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Score every micro-batch against ``index`` and store the answers in ``out``; the method is the settings' unless given."""
 
     def batch(df: DataFrame, number: int) -> None:
         score_requests(df, index, method).write.mode("overwrite").parquet(f"{out}/batch={number}")

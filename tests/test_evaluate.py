@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +80,24 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     batch = score_requests(asks, index).orderBy("qid").collect()
     assert [tuple(r) for r in streamed] == [tuple(r) for r in batch]
     assert {r.status for r in batch} == {200, 400} and all((r.votes is None) == (r.status == 400) for r in batch)
+
+
+def test_exact_percentiles_in_many_ranges(spark):
+    rng = random.Random(3)
+    values = [rng.expovariate(1) ** 4 for _ in range(3000)] + [7.0] * 500 + [1e9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ranked = sorted(values)
+    ranks = [0, 1, 1700, 2900, 3499, 3500]
+    assert E.order_statistics(df, ranks, bins=5, small=9) == {r: ranked[r] for r in ranks}
+    assert E.exact_percentiles(df.limit(0), "v", [0.5]) == [None]
+    want = [float(np.quantile(values, p)) for p in (0.0, 0.5, 0.999, 1.0)]
+    assert E.exact_percentiles(df, "v", [0.0, 0.5, 0.999, 1.0]) == pytest.approx(want)
+
+
+def test_rounding_looks_at_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(1)
+    values = [1.005, 2.675, 1.115, 0.125, 8.345, -1.005, 0.0, 123456.785] + [round(rng.uniform(0, 100), 3) for _ in range(500)]
+    for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", T.fixed(F.col("x"), 2).alias("t")).collect():
+        assert r.t == str(Decimal(r.x).quantize(Decimal("0.01"), ROUND_HALF_UP))

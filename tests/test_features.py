@@ -66,6 +66,8 @@ def test_golden_vectors(spark):
         changed(merchant__mcc="54x1"),
         changed(merchant__mcc="4294967296"),
         changed(terminal__km_from_home=None),
+        changed(terminal__is_online=...),
+        changed(terminal__card_present=...),
         changed(last_transaction=...),
         changed(last_transaction={"timestamp": "2026-03-11T14:58:35Z"}),
         changed(last_transaction={"timestamp": "then", "km_from_current": 1.0}),

@@ -29,9 +29,11 @@ def brute(queries, refs, k=5):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [1 << 15, 40])
-def test_exact_and_ivf(spark, monkeypatch, block_rows):
+@pytest.mark.parametrize("block_rows, few", [(1 << 15, 0), (40, 0), (1 << 15, 1 << 17), (40, 1 << 17)])
+def test_exact_and_ivf(spark, monkeypatch, block_rows, few):
     monkeypatch.setattr(knn, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(knn, "FEW_QUERIES", few)
+    monkeypatch.setattr(knn, "FEW_PROBES", few)
     rng = np.random.default_rng(5)
     known, _ = vectors(spark, rng, 900, [0, 3, 5])
     queries, rows = vectors(spark, rng, 60, [0, 3, 5, 13, 9], "qid", label=False)
@@ -50,6 +52,16 @@ def test_exact_and_ivf(spark, monkeypatch, block_rows):
     assert r.recall == 1.0 and r.same_votes == 1.0
 
 
+def test_few_queries_shuffle_no_references(spark):
+    rng = np.random.default_rng(6)
+    known, _ = vectors(spark, rng, 500, [0, 3])
+    queries, _ = vectors(spark, rng, 5, [0, 3], "qid", label=False)
+    refs, clusters = build_index(known)
+    q = knn.with_effective_tag(queries, clusters).select("qid", "etag", *VECTOR)
+    plan = knn.scan_beside(q.toArrow(), refs.withColumnRenamed("tag", "etag"), ["etag"])._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
 def test_fifth_neighbour_is_kept(spark):
     """Distances 1, 2, 3, 4, 5, 100 keep the five smallest."""
     rows = [(i, 0, *([0] * 13), int(d), i % 2) for i, d in enumerate([1, 2, 3, 4, 5, 100])]
