@@ -359,47 +359,45 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 def embedding_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, block_rows: int = 1 << 14) -> DataFrame:
     """(qid, rid, label) of the k nearest references by Euclidean distance of float arrays, ties to the smaller id.
 
-    ``queries``: id, embedding; ``refs``: id, embedding, label. Distances are rounded to 1e-6, so that ties
-    do not hang on the order of additions. References go through the tasks in blocks of at most about
-    ``block_rows``, each with all queries streamed past it.
+    ``queries``: id, embedding; ``refs``: id, embedding, label. A reference with the query's own id is not its
+    neighbour. Distances are rounded to 1e-6, so that ties do not hang on the order of additions. Only arrays of
+    one length are compared; a null array, an empty one or one with a null or NaN in it neither asks nor is found.
+    References go through the tasks in blocks of at most about ``block_rows``, each with the queries streamed past it.
     """
     blocks = max(1, -(-refs.count() * 2 // block_rows))
-    r = refs.select(F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "id", F.col("label").cast("int").alias("label"), "embedding")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", F.lit(0).alias("label"), "embedding")
+    whole = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    vector = [F.size("embedding").alias("width"), F.col("embedding").cast("array<double>").alias("embedding")]
+    r = refs.filter(whole).select(F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label"), *vector)
+    q = queries.filter(whole).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), F.lit(None).cast("int").alias("label"), *vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, labels, rows = None, [], [], []
+        current, held, ready = None, [], None
         for batch in batches:
-            data = batch.to_pydict()
-            out: list[tuple] = []
-            pending: list[int] = []
-
-            def flush() -> None:
-                if pending and rows:
-                    base = np.array(rows, dtype=np.float64)
-                    x = np.array([data["embedding"][i] for i in pending], dtype=np.float64)
-                    d = np.sqrt(np.maximum(((x[:, None, :] - base[None, :, :]) ** 2).sum(axis=2), 0)) if len(x) * len(base) * base.shape[1] < 1 << 24 else np.stack([np.sqrt(((base - y) ** 2).sum(axis=1)) for y in x])
-                    d = np.round(d, 6)
-                    rid = np.array(ids)
-                    for j, i in enumerate(pending):
-                        best = np.lexsort((rid, d[j]))[:k]
-                        out.extend((data["id"][i], float(d[j, b]), int(rid[b]), labels[b]) for b in best)
-                pending.clear()
-
-            for i, (block, kind) in enumerate(zip(data["block"], data["kind"], strict=True)):
-                if block != current:
-                    flush()
-                    current, ids, labels, rows = block, [], [], []
-                if kind == 0:
-                    ids.append(data["id"][i])
-                    labels.append(data["label"][i])
-                    rows.append(data["embedding"][i])
-                else:
-                    pending.append(i)
-            flush()
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["qid", "dist", "rid", "label"])
-
-    found = r.unionByName(q).repartition(_tasks(refs), "block").sortWithinPartitions("block", "kind", "id").mapInArrow(run, "qid bigint, dist double, rid bigint, label int")
+            block, kind, ids, width = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            edges = np.flatnonzero(np.r_[True, (np.diff(block) != 0) | (np.diff(width) != 0) | (np.diff(kind) != 0)]) if len(block) else []
+            for a, b in zip(edges, [*edges[1:], len(block)], strict=True):
+                if (block[a], width[a]) != current:
+                    current, held, ready = (block[a], width[a]), [], None
+                rows = batch.column(5).slice(a, b - a).flatten().to_numpy().reshape(b - a, width[a])
+                if kind[a] == 0:
+                    held.append((ids[a:b], batch.column(3).slice(a, b - a), rows))
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    ready = np.concatenate([h[0] for h in held]), pa.chunked_array([h[1] for h in held]).combine_chunks(), np.concatenate([h[2] for h in held])
+                rid, label, base = ready
+                out = []  # by query: its row, reference rows and distances
+                for i in range(b - a):
+                    d = np.round(np.sqrt(((base - rows[i]) ** 2).sum(axis=1)), 6)
+                    d[(rid == ids[a + i]) | np.isnan(d)] = np.inf
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                    near = near[np.lexsort((rid[near], d[near]))][:k]
+                    near = near[np.isfinite(d[near])]
+                    out.append((np.full(len(near), a + i), near, d[near]))
+                at, near, dist = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(dist), pa.array(rid[near]), label.take(pa.array(near))], ["qid", "dist", "rid", "label"])
+
+    found = r.unionByName(q).repartition(_tasks(refs), "block").sortWithinPartitions("block", "width", "kind", "id").mapInArrow(run, "qid bigint, dist double, rid bigint, label int")
     best = F.slice(F.array_sort(F.collect_list(F.struct("dist", "rid", "label"))), 1, k)
     return found.groupBy("qid").agg(best.alias("near")).select("qid", F.explode("near").alias("n")).select("qid", "n.rid", "n.label")

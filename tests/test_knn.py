@@ -1,5 +1,7 @@
 """Search against brute force, index building and storage."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +132,24 @@ def test_empty_queries(spark, sf_dir):
     queries, index = event_index(spark, sf_dir)
     assert knn.search_exact(queries.limit(0), *index).count() == 0
     assert knn.search_ivf(queries.limit(0), *index).count() == 0
+
+
+def test_embedding_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(0, 3, 4).astype(float).tolist(), int(i % 3)) for i in range(300)]  # small numbers: many ties
+    rows += [(1000 + i, rng.integers(0, 3, 7).astype(float).tolist(), 1) for i in range(4)]  # fewer than k of a length
+    rows += [(2000, None, 1), (2001, [], 1), (2002, [1.0, None, 2.0, 0.0], 1), (2003, [float("nan"), 0.0, 0.0, 0.0], 1)]
+    table = spark.createDataFrame(rows, "id bigint, embedding array<float>, label int")
+    asks = [i for i, *_ in rows if i % 50 == 0 or i >= 1000]
+    got = {}
+    for r in knn.embedding_neighbours(table.filter(F.col("id").isin(asks)), table, block_rows=64).collect():
+        got.setdefault(r.qid, set()).add((r.rid, r.label))
+    good = [(i, np.array(e), lab) for i, e, lab in rows if e and None not in e and not any(map(math.isnan, e))]
+    want = {}
+    for i, e, _ in good:
+        if i in asks:
+            near = sorted((round(float(np.sqrt(((e - f) ** 2).sum())), 6), j, lab) for j, f, lab in good if j != i and len(f) == len(e))[:5]
+            want[i] = {(j, lab) for _, j, lab in near}
+    assert got == want
+    assert not knn.embedding_neighbours(table.limit(0), table).count()
+    assert not knn.embedding_neighbours(table, table.limit(0)).count()
