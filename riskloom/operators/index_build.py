@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.features import DIMS, VECTOR
-from riskloom.session import cut
+from riskloom.operators.order import positions
 
 MAX_CLUSTERS = 4096
 BUILT_TAGS = tuple(range(12))  # the tags an index must have: not card present and online at once
@@ -32,13 +32,14 @@ def grid_cluster() -> Column:
 def storage_order(refs: DataFrame, ident: str) -> DataFrame:
     """Add ``vi``: 0, 1, ... within the tag in the order of cid and ``ident``.
 
-    Ranks within a cluster are added to the counts of the clusters before, so no task sorts a whole tag.
+    A tag or cluster of any size is spread by ranges: no task sorts a whole one.
     """
-    sizes = refs.groupBy("tag", "cid").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("tag").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("tag", "cid", before.alias("__before"))  # at most MAX_CLUSTERS a tag
-    nr = F.row_number().over(Window.partitionBy("tag", "cid").orderBy(ident)) - 1
-    return refs.withColumn("__nr", nr).join(offsets, ["tag", "cid"]).withColumn("vi", (F.col("__nr") + F.col("__before")).cast("bigint")).drop("__nr", "__before")
+    placed = positions(refs, "tag", "cid", ident, name="__position")
+    first = placed.groupBy("tag").agg(F.min("__position").alias("first")).collect()  # at most 16 rows
+    start = F.lit(0)
+    for r in first:
+        start = F.when(F.col("tag") == r.tag, r["first"]).otherwise(start)
+    return placed.withColumn("vi", (F.col("__position") - start).cast("bigint")).drop("__position")
 
 
 def cluster_table(refs: DataFrame) -> DataFrame:
@@ -109,7 +110,7 @@ def build_index(vectors: DataFrame, ident: str = "vec_id", assigner: str = "grid
         assigned = assign_centroids(vectors, train_centroids(vectors, min(clusters, MAX_CLUSTERS)))
     else:
         raise ValueError(f"unknown assigner {assigner!r}")
-    refs = cut(storage_order(assigned, ident).select("tag", "cid", "vi", *VECTOR, "label"))
+    refs = storage_order(assigned, ident).select("tag", "cid", "vi", *VECTOR, "label")
     return refs, cluster_table(refs)
 
 
@@ -127,8 +128,8 @@ def check_index(clusters: DataFrame, tags: tuple[int, ...] = BUILT_TAGS) -> None
 
 
 def write_index(refs: DataFrame, clusters: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store both tables as Parquet, partitioned by tag and sorted by cluster."""
-    refs.repartition("tag", "cid").sortWithinPartitions("tag", "cid", "vi").write.mode(mode).partitionBy("tag").parquet(f"{path}/refs")
+    """Store both tables as Parquet, partitioned by tag and sorted by position, which is by cluster; a large cluster is many files."""
+    refs.repartitionByRange("tag", "vi").sortWithinPartitions("tag", "vi").write.mode(mode).partitionBy("tag").parquet(f"{path}/refs")
     clusters.write.mode(mode).partitionBy("tag").parquet(f"{path}/clusters")
 
 

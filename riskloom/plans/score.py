@@ -42,6 +42,15 @@ def ready(spark: SparkSession, index: tuple[DataFrame, DataFrame]) -> bool:
     return spark.range(1).count() == 1 and not index[1].isEmpty()
 
 
+def readiness(index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """tag, clusters, vectors, ready: what the index holds of each tag it must have; a tag is ready if it has vectors."""
+    clusters = index[1]
+    tags = clusters.sparkSession.range(len(BUILT_TAGS)).select(F.col("id").cast("int").alias("tag"))
+    held = clusters.groupBy("tag").agg(F.count("*").alias("clusters"), F.sum("n").alias("vectors"))
+    n = F.coalesce("vectors", F.lit(0))
+    return tags.join(held, "tag", "left").select("tag", F.coalesce("clusters", F.lit(0)).cast("bigint").alias("clusters"), n.cast("bigint").alias("vectors"), (n > 0).alias("ready"))
+
+
 def event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, label, tag, v0..v13 of the transactions derived from the events."""
     return vectorize(transactions(spark.read.parquet(f"{sf_dir}/events.parquet")), "event_id", "label")

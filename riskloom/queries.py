@@ -15,11 +15,11 @@ from riskloom.operators import knn
 from riskloom.operators.decide import decide
 from riskloom.operators.features import VECTOR, vectorize
 from riskloom.operators.index_build import MAXS, MINS, build_index, cluster_table, grid_cluster, read_index, storage_order, write_index
-from riskloom.plans.score import event_index, event_vectors, ready, score_vectors, split_events
-from riskloom.session import shared_dir
+from riskloom.plans.score import event_index, event_vectors, readiness, score_requests, score_vectors, split_events
+from riskloom.session import cut, shared_dir
 from riskloom.sources.dispatch import dispatch
 from riskloom.sources.events import as_requests, transactions
-from riskloom.sources.requests import parse_requests, write_json
+from riskloom.sources.requests import parse_requests, read_golden_set, write_golden_set, write_json
 from riskloom.streaming.score_stream import read_request_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,27 +194,22 @@ def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id bigint, fraud_score double, approved boolean, response string").json(path)
 
 
-@query("SELECT 8 AS workers, count(*) AS n, true AS even FROM events")
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY event_id) - 1) % 8 AS INTEGER) AS worker FROM events")
 def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests dealt in turn to eight workers, none of which gets a tenth more or less than its share (or 64 rows)."""
-    sizes = dispatch(_table(spark, sf_dir, "events").select("event_id"), 8).groupBy("worker").agg(F.count("*").alias("n"))
-    fair = F.max(F.abs(F.col("n") - F.col("share")))
-    whole = sizes.agg((F.sum("n") / 8).alias("share"))
-    return sizes.join(F.broadcast(whole)).agg(F.count("*").cast("int").alias("workers"), F.sum("n").alias("n"), (fair <= F.greatest(F.lit(64.0), F.max("share") / 10)).alias("even"))  # eight rows and one
+    """Requests dealt in turn to eight workers."""
+    return dispatch(_table(spark, sf_dir, "events").select("event_id"), 8, "event_id")
 
 
-@query("SELECT true AS ready")
+@query(f"WITH {INDEX_SQL} SELECT CAST(t.tag AS INTEGER) AS tag, count(n) AS clusters, CAST(coalesce(sum(n), 0) AS BIGINT) AS vectors, coalesce(sum(n), 0) > 0 AS ready FROM range(12) t(tag) LEFT JOIN clusters c ON c.tag = t.tag GROUP BY t.tag")
 def ready_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, index = event_index(spark, sf_dir)
-    return spark.range(1).select(F.lit(ready(spark, index)).alias("ready"))
+    return readiness((None, cluster_table(_assigned(spark, sf_dir))))
 
 
 # ---- index ------------------------------------------------------------------------------------------------------
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = split_events(event_vectors(spark, sf_dir))[1]
-    return storage_order(known.withColumn("cid", grid_cluster()), "vec_id")
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_events(event_vectors(spark, sf_dir))[1].withColumn("cid", grid_cluster())
 
 
 def _wide(cols: list[str]) -> list[Column]:
@@ -223,17 +218,17 @@ def _wide(cols: list[str]) -> list[Column]:
 
 @query(f"WITH {INDEX_SQL} SELECT tag, cid, n, {', '.join(MINS + MAXS)} FROM clusters")
 def cluster_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_table(_refs(spark, sf_dir)).select("tag", "cid", "n", *_wide(MINS + MAXS))
+    return cluster_table(_assigned(spark, sf_dir)).select("tag", "cid", "n", *_wide(MINS + MAXS))
 
 
 @query(f"WITH {INDEX_SQL} SELECT tag, cid, CAST(coalesce(sum(n) OVER (PARTITION BY tag ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, n FROM clusters")
 def cluster_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_table(_refs(spark, sf_dir)).select("tag", "cid", "first", "n")
+    return cluster_table(_assigned(spark, sf_dir)).select("tag", "cid", "first", "n")
 
 
 @query(f"WITH {INDEX_SQL} SELECT tag, cid, vi, label, {_SHORT} FROM refs")
 def index_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _refs(spark, sf_dir).select("tag", "cid", "vi", "label", *VECTOR)
+    return storage_order(_assigned(spark, sf_dir), "vec_id").select("tag", "cid", "vi", "label", *VECTOR)
 
 
 def _scratch(spark: SparkSession, what: str) -> str:
@@ -360,6 +355,18 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.confusion(_decided(spark, sf_dir))
 
 
+@query(f"WITH {EXACT_SQL} SELECT count(*) FILTER (votes >= 3 AND label = 1) AS tp, count(*) FILTER (votes < 3 AND label = 0) AS tn, count(*) FILTER (votes >= 3 AND label = 0) AS fp, count(*) FILTER (votes < 3 AND label = 1) AS fn, 0::BIGINT AS errors FROM exact")
+def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query events as documents of labelled entries, read back, scored and compared."""
+    _, index = event_index(spark, sf_dir)
+    path = _scratch(spark, "golden")
+    asks = as_requests(_txns(spark, sf_dir)).filter("event_id % 10 = 0")
+    write_golden_set(asks.select("event_id", "body", (F.col("label") == 0).alias("expected_approved")), path, "event_id")
+    entries = cut(read_golden_set(spark, path, lines=True).withColumn("qid", F.monotonically_increasing_id()))
+    answers = score_requests(entries, index, "exact").select("qid", "status", "approved")
+    return E.confusion(entries.select("qid", "expected_approved").join(answers, "qid"))
+
+
 @query(
     f"""WITH {_CONFUSION_SQL}, p AS (SELECT quantile_cont(value, 0.99) AS p99_ms FROM events),
     s AS (SELECT *, CASE WHEN p99_ms <= 0 THEN 0 WHEN p99_ms > 2000 THEN -3000 ELSE 1000 * log10(1000 / greatest(p99_ms, 1)) END AS a,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from riskloom.functions import scalar as S
+from riskloom.operators.order import positions
 
 REQUEST_SCHEMA = (
     "id string, transaction struct<amount: float, installments: int, requested_at: string>, "
@@ -79,13 +81,26 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return parse_requests(spark.read.text(path).withColumnRenamed("value", "body"))
 
 
-def read_golden_set(spark: SparkSession, path: str) -> DataFrame:
-    """A labelled load set: one JSON document with ``entries`` of request and expected_approved, one row each."""
-    schema = f"entries array<struct<request: struct<{REQUEST_SCHEMA.replace('id string', 'id: string').replace(', transaction struct', ', transaction: struct').replace(', customer struct', ', customer: struct').replace(', merchant struct', ', merchant: struct').replace(', terminal struct', ', terminal: struct').replace(', last_transaction struct', ', last_transaction: struct')}>, expected_approved: boolean>>"
-    entries = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("entries").alias("idx", "e"))
+def read_golden_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """idx, body, expected_approved of labelled load sets: JSON documents with ``entries`` of request and expected_approved.
+
+    A file is one document or, with ``lines``, has one a line; idx counts within a document.
+    """
+    entry = StructType().add("request", StructType.fromDDL(REQUEST_SCHEMA)).add("expected_approved", "boolean")
+    schema = StructType().add("entries", ArrayType(entry))
+    entries = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.posexplode("entries").alias("idx", "e"))
     return entries.select("idx", F.to_json("e.request", {"ignoreNullFields": "false"}).alias("body"), F.col("e.expected_approved").alias("expected_approved"))
 
 
+def write_golden_set(labelled: DataFrame, path: str, order: str, entries: int = 1000) -> None:
+    """(``order``, body, expected_approved) as documents of at most ``entries`` entries, one a line, in that order."""
+    placed = positions(labelled, order, name="at").withColumn("document", F.floor(F.col("at") / entries))
+    entry = F.concat(F.lit('{"request":'), "body", F.lit(',"expected_approved":'), F.col("expected_approved").cast("string"), F.lit("}"))
+    listed = F.array_sort(F.collect_list(F.struct("at", entry.alias("entry"))))
+    document = F.concat(F.lit('{"entries":['), F.array_join(listed["entry"], ","), F.lit("]}"))
+    placed.groupBy("document").agg(document.alias("value")).select("value").write.text(path)
+
+
 def read_golden_stats(spark: SparkSession, path: str) -> DataFrame:
     """The ``stats`` object of a labelled load set, as one row."""
     schema = "stats struct<total: bigint, fraud_count: bigint, fraud_rate: double, legit_count: bigint, legit_rate: double, edge_case_count: bigint, edge_case_rate: double>"
