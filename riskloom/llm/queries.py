@@ -133,6 +133,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.filteraudit import COUNTS, audit, failed_sets
+
+    found = audit(failed_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return found.select("part", "filter_order", "step", *[F.col(c).cast("bigint").alias(c) for c in (*COUNTS, "shapley")])
+
+
+#: Every order applied step by step to every document's own failures.
+FILTER_AUDIT_SQL = """
+WITH RECURSIVE letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT '' AS o UNION ALL SELECT o || f FROM orders JOIN letters ON NOT contains(o, f)),
+steps AS (SELECT o AS filter_order, s AS step, substr(o, CAST(s AS BIGINT), 1) AS f, substr(o, 1, CAST(s AS BIGINT) - 1) AS before FROM orders, range(1, 6) r(s) WHERE length(o) = 5),
+texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+marked AS (SELECT part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 2 * length(body) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN again THEN 'E' ELSE '' END) AS fails,
+  coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM texts),
+sets AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM marked GROUP BY part, fails),
+seen AS (SELECT part, filter_order, step, f, fails, n, good, toxic, contains(fails, f) AS own, fails <> '' AND length(translate(fails, before, '')) < length(fails) AS gone FROM sets, steps),
+counted AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (own AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails, coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic_lost FROM seen GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_cnn": op1_byte_cnn,
     "op2_tool_calls": op2_tool_calls,
@@ -144,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_brown_lm": op8_brown_lm,
     "op9_simhash_golay": op9_simhash_golay,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 #: Earliest deadline first, slot by slot, over the block counts.
@@ -185,4 +212,5 @@ ORACLES: dict[str, str] = {
     "op2_tool_calls": TOOL_CALLS_SQL,
     "op3_pfair_mix": PFAIR_SQL,
     "op7_decontaminate": CONTAMINATION_SQL,
+    "op11_filter_audit": FILTER_AUDIT_SQL,
 }
