@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def row_key(*columns: str) -> Column:
     return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(0x5EED), *columns).alias("b"))
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` for columns of an operator's own, with as many underscores in front as keep them off ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def bounded_sample(df: DataFrame, key: Column, limit: int) -> DataFrame:
     """About ``limit`` rows, chosen by a hash of ``key``: the same rows on every run.
 

@@ -159,6 +159,32 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 """
 
 
+#: (verdict, host, path). Fixed values.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no rule fits, a page is blocked if some page gives its canonical URL with a feed's mark (utm_source)."""
+    from riskloom.llm.urlfilter import canonical, judge
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    marked = pages.filter(F.col("url").rlike("[?&]utm_source=")).select(canonical(F.col("url")).alias("url"))
+    return judge(pages, URL_RULES, marked).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+URL_FILTER_SQL = """
+WITH parts AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+  list_sort(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS query FROM pages),
+spelt AS (SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '(/|[.]html)$', '') || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical FROM parts),
+seen AS (SELECT DISTINCT canonical FROM spelt WHERE regexp_matches(url, '[?&]utm_source=') AND canonical IS NOT NULL),
+rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(v, h, p)),
+fit AS (SELECT page_id, url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM (SELECT DISTINCT page_id, url, host, path FROM spelt) s JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, url)
+SELECT s.page_id, host, path, f.rule, coalesce(f.v, CASE WHEN n.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, n.canonical IS NOT NULL AS listed
+FROM spelt s LEFT JOIN fit f ON s.page_id IS NOT DISTINCT FROM f.page_id AND s.url IS NOT DISTINCT FROM f.url LEFT JOIN seen n ON s.canonical = n.canonical
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_cnn": op1_byte_cnn,
     "op2_tool_calls": op2_tool_calls,
@@ -171,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_golay": op9_simhash_golay,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op13_url_filter": op13_url_filter,
 }
 
 #: Earliest deadline first, slot by slot, over the block counts.
@@ -213,4 +240,5 @@ ORACLES: dict[str, str] = {
     "op3_pfair_mix": PFAIR_SQL,
     "op7_decontaminate": CONTAMINATION_SQL,
     "op11_filter_audit": FILTER_AUDIT_SQL,
+    "op13_url_filter": URL_FILTER_SQL,
 }
