@@ -159,6 +159,33 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.phrases import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
+#: Every phrase of every piece, counted as text.
+COLLOCATIONS_SQL = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+split AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT id, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM split),
+five AS (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4, lead(w1, 4) OVER p AS w5 FROM words WINDOW p AS (PARTITION BY id ORDER BY i)),
+grams AS (SELECT lang, 1 AS m, w1 AS phrase FROM five UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM five WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM five WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM five WHERE w4 IS NOT NULL UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM five WHERE w5 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, phrase, m, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY lang, phrase, m HAVING count(*) >= 100),
+sizes AS (SELECT lang, CAST(count(*) AS HUGEINT) AS n FROM words GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, phrase, m, f, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT lang, phrase, m, f AS a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (SELECT u.lang, u.phrase, u.m, a, l.f AS l, r.f AS r, n, k, 1000 * a * n // (l.f * r.f) AS score FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = lp JOIN f r ON r.lang = u.lang AND r.phrase = rp JOIN sizes s ON s.lang = u.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, f, array_to_string(w[b:b + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - n + 2)) AS b FROM (SELECT *, unnest(range(2, m)) AS n FROM cand))),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 100 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+
 #: (verdict, host, path). Fixed values.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -197,6 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_golay": op9_simhash_golay,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
     "op13_url_filter": op13_url_filter,
 }
 
@@ -240,5 +268,6 @@ ORACLES: dict[str, str] = {
     "op3_pfair_mix": PFAIR_SQL,
     "op7_decontaminate": CONTAMINATION_SQL,
     "op11_filter_audit": FILTER_AUDIT_SQL,
+    "op12_collocations": COLLOCATIONS_SQL,
     "op13_url_filter": URL_FILTER_SQL,
 }
