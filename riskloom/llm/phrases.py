@@ -69,10 +69,10 @@ def _ranked(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct strings in byte order, and the rank, from 1, of each string."""
     coded = strings.dictionary_encode()
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(1, len(order) + 1)
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(1, len(order) + 1, dtype=np.int32)
     codes = coded.indices.to_numpy()
-    return coded.dictionary.take(pa.array(order)), rank[codes] if len(codes) else np.zeros(0, np.int64)
+    return coded.dictionary.take(pa.array(order)), rank[codes] if len(codes) else np.zeros(0, np.int32)
 
 
 def _packed(columns: list[np.ndarray], most: int) -> list[np.ndarray]:
@@ -108,20 +108,18 @@ class Places:
         self.langs: dict[bytes, int] = {}
         self.n = 0
 
-    def add(self, texts: pa.Array, langs: list[str]) -> None:
-        for i, j, data, off in blocks(texts):
-            w = Words(data, off, WORD)
-            if not len(w):
-                continue
-            breaks = np.cumsum(BREAK[w.data])
-            on = np.zeros(len(w), dtype=np.bool_)
-            on[:-1] = (w.doc[1:] == w.doc[:-1]) & (breaks[w.start[1:]] == breaks[w.end[:-1] - 1])
-            inside = WORD[w.data]
-            self.words.append((w.data[inside], w.end - w.start))
-            self.goes_on.append(on)
-            codes = np.array([self.langs.setdefault(x.encode(), len(self.langs)) for x in langs[i:j]], dtype=np.int64)
-            self.lang.append(codes[w.doc])
-            self.n += len(w)
+    def add(self, data: np.ndarray, off: np.ndarray, langs: list[str]) -> None:
+        """The words of a block of whole texts, given with the languages of its rows."""
+        w = Words(data, off, WORD)
+        if not len(w):
+            return
+        breaks = np.cumsum(BREAK[w.data], dtype=np.int32)
+        on = np.zeros(len(w), dtype=np.bool_)
+        on[:-1] = (w.doc[1:] == w.doc[:-1]) & (breaks[w.start[1:]] == breaks[w.end[:-1] - 1])
+        self.words.append((w.data[WORD[w.data]], w.end - w.start))
+        self.goes_on.append(on)
+        self.lang.append(np.array([self.langs.setdefault(x.encode(), len(self.langs)) for x in langs], dtype=np.int32)[w.doc])
+        self.n += len(w)
 
     def tries(self, borders: list[list[bytes]], most: int = TRIE_WORDS) -> Iterator[tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]]:
         """(strings, columns, count, range) of the sorted distinct paths of up to ``most`` places at a time.
@@ -147,18 +145,18 @@ class Places:
                 at = np.flatnonzero(alive)
                 alive[at[~goes_on[a + at + k - 1]]] = False
                 at = np.flatnonzero(alive)
-                column = np.zeros(b - a, dtype=np.int64)
+                column = np.zeros(b - a, dtype=np.int32)
                 column[at] = word[at + k]
                 columns.append(column)
             # the borders are sorted in among the paths, each before an equal path
-            first = np.zeros((len(borders), LONGEST + 1), dtype=np.int64)
+            first = np.zeros((len(borders), LONGEST + 1), dtype=np.int32)
             lengths = np.array([len(x) for x in borders], dtype=np.int64)
             first[np.arange(LONGEST + 1)[None, :] < lengths[:, None]] = edge
             columns = [np.concatenate([first[:, k], column]) for k, column in enumerate(columns)]
             path = np.arange(len(borders) + b - a) >= len(borders)
             order = np.lexsort((path, *_packed(columns, len(strings))[::-1]))
             path = path[order]
-            part = np.cumsum(~path)[path]
+            part = np.cumsum(~path, dtype=np.int32)[path]
             columns = [column[order][path] for column in columns]
             heads = np.flatnonzero(_changes(columns))
             yield strings, [column[heads] for column in columns], np.diff(np.r_[heads, len(part)]), part[heads]
@@ -183,7 +181,7 @@ def _unpack(blob: bytes, size: int) -> tuple[tuple[np.ndarray, np.ndarray], list
     strings = body[at : at + lengths.sum()]
     at += int(lengths.sum())
     numbers = body[at:].tobytes()
-    columns = [np.frombuffer(numbers, np.int32, rows, 4 * rows * k).astype(np.int64) for k in range(LONGEST + 1)]
+    columns = [np.frombuffer(numbers, np.int32, rows, 4 * rows * k) for k in range(LONGEST + 1)]
     return (strings, lengths), columns, np.frombuffer(numbers[4 * rows * (LONGEST + 1) :], np.int64)
 
 
@@ -195,7 +193,7 @@ def _merge(runs: list[tuple[bytes, int]], least: int, borders: list[list[bytes]]
     edges, rank = rank[len(rank) - len(flat[1]) :], rank[: len(rank) - len(flat[1])]
     begin, columns = 0, []
     for (_, lengths), own, _ in read:
-        lookup = np.r_[0, rank[begin : begin + len(lengths)]]
+        lookup = np.r_[np.zeros(1, np.int32), rank[begin : begin + len(lengths)]]
         columns.append([lookup[c] for c in own])
         begin += len(lengths)
     columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
@@ -227,10 +225,12 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Places]:
     places = Places()
     for batch in batches:
-        places.add(batch.column(0), batch.column(1).to_pylist())
-        if places.n >= most:
-            yield places
-            places = Places()
+        langs = batch.column(1).to_pylist()
+        for i, j, data, off in blocks(batch.column(0)):
+            places.add(data, off, langs[i:j])
+            if places.n >= most:
+                yield places
+                places = Places()
     yield places
 
 
