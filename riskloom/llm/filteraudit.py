@@ -69,7 +69,8 @@ def failed_sets(docs: DataFrame, labels: DataFrame | None = None, filters=text_f
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), body.alias("body"))
     # stored: small rows, read for the first of each text and again to be marked
     facts = cut(rows.select("doc_id", "part", F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("digest"), sum(bits[1:], bits[0]).alias("failed")))
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # stored too: then the join deals both sides anew, and a hot text's rows can be split
+    first = cut(facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     marked = facts.join(first, "digest", "left").select("doc_id", "part", F.when(copy, F.col("failed") + (1 << len(bits))).otherwise(F.col("failed")).alias("failed"))
     if labels is None:
