@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, row_key
+from riskloom.llm.common import cut, fresh, row_key
 from riskloom.llm.words import ALNUM, Words, blocks, hash_tokens
 
 WINDOW = 13
@@ -315,5 +315,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     Rows are told apart by two 64-bit hashes of doc_id and text, so repeated rows share their (equal) verdict.
     """
     row = row_key("doc_id", "text")
-    bad = find_contamination(docs, benchmark, key=row["a"], key2=row["b"], window=window).filter("contaminated").select(F.struct(F.col("key").alias("a"), F.col("key2").alias("b")).alias("__key"))
-    return docs.withColumn("__key", row).join(bad, "__key", "left_anti").select(docs.columns)
+    (own,) = fresh(docs.columns, "row")
+    bad = find_contamination(docs, benchmark, key=row["a"], key2=row["b"], window=window).filter("contaminated").select(F.struct(F.col("key").alias("a"), F.col("key2").alias("b")).alias(own))
+    return docs.withColumn(own, row).join(bad, own, "left_anti").select(docs.columns)

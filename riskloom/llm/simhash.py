@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import cut, row_key
+from riskloom.llm.common import cut, fresh, row_key
 from riskloom.llm.components import connected_components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -177,5 +177,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     marked = cut(with_fingerprint(docs.select("doc_id", "text", row.alias("key")), "text", "fp", width).select("doc_id", "fp", "key"))
     place = F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), F.col("key"))
     by_fp = marked.groupBy("fp").agg(F.min(place).alias("first"))  # before the join: a hot fingerprint is one row
-    keep = by_fp.join(_labels(marked), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__row")).distinct()
-    return docs.withColumn("__row", row).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    (own,) = fresh(docs.columns, "row")
+    keep = by_fp.join(_labels(marked), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(own)).distinct()
+    return docs.withColumn(own, row).join(keep, own, "left_semi").dropDuplicates([own]).select(docs.columns)

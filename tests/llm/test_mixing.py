@@ -82,7 +82,7 @@ def test_rows_against_brute_force(spark, bucket_rows):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), "t") for i in range(200)] + [(5, "a", "t"), (5, "a", "t"), (None, "d", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, mix_block string")
-    for clash in ("n", "s", "m", "used", "offset", "begin", "slots"):
+    for clash in ("n", "s", "m", "used", "offset", "begin", "slots", "row", "hash", "tie", "bucket", "__hash", "__row", "__source"):
         df = df.withColumn(clash, F.lit("x"))
     weights = {"a": 5.0, "b": 3.0, "c": 1.0, "": 2.0, "d": 0.5}
     got = mixing.mixed_in_order(df, weights=weights, block_rows=4, bucket_rows=bucket_rows).collect()
@@ -90,8 +90,8 @@ def test_rows_against_brute_force(spark, bucket_rows):
     assert sorted((r.doc_id or -1, r.source or "") for r in got) == sorted((i or -1, s or "") for i, s, _ in rows)
     assert [r.source or "" for r in got] == brute([s for _, s, _ in rows], mixing.whole_weights(weights), 4)
     assert mixing.mix(df.limit(0)).count() == 0
-    few = mixing.mixed_in_order(df, weights=weights, block_rows=4, most_blocks=20).collect()  # blocks of 11 rows
-    assert [r.source or "" for r in few] == brute([s for _, s, _ in rows], mixing.whole_weights(weights), -(-len(rows) // 20))
+    for bounds in ({"run_slots": 5}, {"run_slots": 30, "period_slots": 30}, {"period_slots": 0}):  # bounds of the driver's memory change nothing
+        assert mixing.mixed_in_order(df, weights=weights, block_rows=4, bucket_rows=bucket_rows, **bounds).collect() == got
     with pytest.raises(KeyError):
         mixing.mix(df, weights={"a": 1.0})
 
@@ -125,6 +125,25 @@ def test_targets_are_the_weights_as_given(spark):
             share = {s: float(done[s]) for s in sizes}
 
 
+def test_periods_change_nothing():
+    rng = random.Random(5)
+    for _ in range(40):
+        names = [f"s{i}" for i in range(rng.randrange(1, 7))]
+        weights, blocks = {s: rng.randrange(1, 7) for s in names}, {s: rng.randrange(0, 90) for s in names}
+        plain = mixing.schedule(blocks, weights, period=0)
+        assert mixing.schedule(blocks, weights) == plain and mixing.schedule(blocks, weights, most=11) == plain
+
+
+def test_ten_million_rows_in_blocks_of_eight():
+    sizes = {"hot": 3_400_000} | {f"s{i}": 330_000 + i for i in range(20)}
+    weights = {s: mix_target(s) for s in sizes}
+    blocks = {s: -(-n // 8) for s, n in sizes.items()}
+    slots = held = 0
+    for _, times, picks in mixing.runs(blocks, weights):
+        slots, held = slots + times * len(picks), held + len(picks)
+    assert slots == sum(blocks.values()) > 2**20 and held < 10_000
+
+
 def test_long_runs_stay_on_target():
     blocks = {"hot": 36459} | {f"s{i}": 3646 for i in range(20)}
     given = {s: (64 * n) ** 0.5 for s, n in blocks.items()}
