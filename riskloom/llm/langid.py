@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import bounded_sample, cut
+from riskloom.llm.common import cut
 from riskloom.llm.words import LOWER, blocks
 
 WINDOW = 256  # positions of each filter in a window
@@ -26,7 +26,6 @@ SPAN = WINDOW + max(WIDTHS) - 1
 TRAIN_DOCUMENTS = 3000  # labelled texts, about
 TRAIN_WINDOWS = 40_000  # and their windows
 TRAIN_STEPS = 110_000  # windows seen in all epochs, about
-LANGUAGES = 500
 _LETTER = np.zeros(256, dtype=np.bool_)
 _LETTER[97:123] = True
 
@@ -135,22 +134,25 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 12, batc
     return Network([p[f"t{w}"].astype(np.float32) for w in WIDTHS], p["b"], p["o"], p["c"], langs)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limit: int = TRAIN_DOCUMENTS, most_windows: int = TRAIN_WINDOWS, most_languages: int = LANGUAGES) -> Network | None:
+def _some_of_each(rows: DataFrame, kind: str, unit: Column, limit: int) -> DataFrame:
+    """About ``limit`` of ``rows`` in equal shares for each value of ``kind``, at least the row (and its equals) of least ``unit`` of each."""
+    sizes = cut(rows.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min(unit).alias("first")))  # a row a kind
+    kinds = max(1, sizes.count())
+    most = F.greatest(F.least(F.lit(1.0), F.lit(limit / kinds) / F.col("n")), "first")
+    # broadcast: a row a language, which is no more than the network's own output layer in each task
+    return rows.join(F.broadcast(sizes), F.col(kind) == F.col("kind")).filter(unit <= most).select(rows.columns)
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", limit: int = TRAIN_DOCUMENTS, most_windows: int = TRAIN_WINDOWS) -> Network | None:
     """Train on all windows of about ``limit`` labelled texts; None if there are none.
 
-    The ``most_languages`` most frequent languages get equal shares of the sample, so a rare language has all its
-    texts in it. If the sampled texts have more than ``most_windows`` windows, a hash of text and place picks
-    that many of them. Rows with a null text or language are left out. Rows alike in id and text stand or
-    fall together.
+    Every language present is learned: all get equal shares of the sample, a rare one has all its texts in it, and the
+    rarest share at least one text. If the sampled texts have more than ``most_windows`` windows, a hash of text and place
+    picks that many of them, again in equal shares and at least one each. So at most about ``limit`` texts and ``most_windows``
+    windows are learned from, or one a language if that is more. Rows with a null text or language are left out. Rows
+    alike in id and text stand or fall together.
     """
     rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null and t <> ''")
-    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("l") == r.l, min(1.0, limit / len(sizes) / r.n)).otherwise(share)
-    unit = F.pmod(F.xxhash64("k", "t", F.lit(7919)), F.lit(1 << 40)) / float(1 << 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +162,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 w = pa.Array.from_buffers(pa.binary(SPAN), len(x), [None, flat]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), w], ["l", "w"])
 
-    found = cut(rows.filter(unit < share).select("l", "t").mapInArrow(run, "l string, w binary"))
-    got = bounded_sample(found, F.struct("l", "w"), most_windows).orderBy("l", "w").toArrow()
+    unit = lambda *c: F.pmod(F.xxhash64(*c, F.lit(7919)), F.lit(1 << 40)) / float(1 << 40)
+    found = cut(_some_of_each(rows, "l", unit("k", "t"), limit).select("l", "t").mapInArrow(run, "l string, w binary"))
+    if found.count() > most_windows:
+        found = _some_of_each(found, "l", unit("l", "w"), most_windows)
+    got = found.orderBy("l", "w").toArrow()
     langs, y = np.unique(np.array(got.column("l").to_pylist(), dtype=object).astype(str), return_inverse=True)
     if not len(langs):
         return None

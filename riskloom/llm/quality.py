@@ -238,15 +238,36 @@ def kth_largest(values: DataFrame, k: int, bins: int = 2048, small: int = 20_000
         lo, hi, inside = c.lo, c.hi, c.n
 
 
+def _largest(keyed: DataFrame, value: str, k: int) -> Column:
+    """Whether a row of the stored ``keyed`` has one of the k largest of ``value``; of rows equal at the k-th place, those first stored."""
+    if k < 1:
+        return F.lit(False)
+    least = kth_largest(keyed.select(F.col(value).alias("v")), k)
+    if least is None:
+        return F.lit(True)
+    above = keyed.filter(F.col(value) > F.lit(least)).count()
+    tied = keyed.filter(F.col(value) == F.lit(least))
+    if tied.count() == k - above:
+        return F.col(value) >= F.lit(least)
+    # a draw for each of the equal rows: their places in the stored table, mixed
+    last = kth_largest(tied.select(F.col("place").alias("v")), k - above)
+    return (F.col(value) > F.lit(least)) | ((F.col(value) == F.lit(least)) & (F.col("place") >= F.lit(last)))
+
+
 def resample(weighed: DataFrame, k: int, key: Column | None = None, strength: float = STRENGTH, seed: int = 20) -> DataFrame:
-    """Add ``gumbel_key`` and ``sampled``: the k rows of all with the largest keys, ties at the last all in.
+    """Add ``gumbel_key``, ``sampled``, ``plain_key`` and ``sampled_plain``: min(k, rows) rows with the largest keys, twice.
 
+    ``gumbel_key`` is mean_weight * ``strength`` and noise: a draw in proportion to the weight of ``strength`` words of the
+    text. ``plain_key`` is log_weight and the same noise: a draw in proportion to the whole text's importance weight.
     ``key`` tells rows apart for the noise (doc_id unless given): rows with an equal key, null counting as
-    one, have the same noise. With fewer than k rows all of them are sampled; an empty table gives no rows.
+    one, have the same noise; where the k-th place falls among equal rows, a second draw for each of them decides, so k is
+    kept. With fewer than k rows all of them are sampled; an empty table gives no rows.
     """
+    added = ("gumbel_key", "sampled", "plain_key", "sampled_plain")
     key = F.col("doc_id") if key is None else key
     noise = gumbel(F.coalesce(key, F.lit(-(2**63))), seed)
-    keyed = cut(weighed.withColumn("gumbel_key", F.col("mean_weight") * strength + noise))
-    least = kth_largest(keyed.select(F.col("gumbel_key").alias("v")), k)
-    chosen = F.col("gumbel_key") >= F.lit(float("-inf") if least is None else least)
-    return keyed.withColumn("sampled", chosen if k > 0 else F.lit(False))
+    rows = weighed.drop(*added).select(F.struct("*").alias("row"), noise.alias("noise"), (F.col("mean_weight") * strength).alias("part"), F.col("log_weight").alias("whole"))
+    keyed = cut(rows.select("row", (F.col("part") + F.col("noise")).alias("gumbel_key"), (F.col("whole") + F.col("noise")).alias("plain_key"), F.monotonically_increasing_id().alias("place")))
+    marked = keyed.withColumn("sampled", _largest(keyed, "gumbel_key", k)).withColumn("sampled_plain", _largest(keyed, "plain_key", k))
+    names = [c for c in weighed.columns if c not in added]
+    return marked.select(*[F.col("row").getField(c).alias(c) for c in names], *added)

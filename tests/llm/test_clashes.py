@@ -7,7 +7,7 @@ import corpus_pipeline as cp
 from riskloom.llm import classlm, langid, multiset, quality, simhash, tokencounts, toxicity
 from riskloom.llm.common import id_remainder, table
 
-NAMES = ["key", "fp", "row", "h", "c", "n", "k", "t", "l", "y", "label", "root", "node", "src", "dst", "bucket", "nr", "halo", "edited", "lanes", "start", "end", "section", "n_words", "held_out", "base", "item_id", "items", "spans", "u", "v", "w", "kind", "quality", "toxic", "first", "least"]
+NAMES = ["key", "fp", "row", "h", "c", "n", "k", "t", "l", "y", "label", "root", "node", "src", "dst", "bucket", "nr", "halo", "edited", "lanes", "start", "end", "section", "n_words", "held_out", "base", "item_id", "items", "spans", "u", "v", "w", "kind", "quality", "toxic", "first", "least", "s", "hash", "tie", "blocks", "rank", "noise", "place", "gumbel_key_", "__hash", "__row", "__key", "_row", "_key"]
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from riskloom.llm import langid
 from riskloom.llm.queries import op1_byte_cnn
@@ -41,6 +42,33 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """501 languages, one of them with nearly all rows: more languages than texts or windows to learn from."""
+    rows = [(i, f"l{i} " * 20, f"l{i:03d}") for i in range(501)] + [(1000 + i, "common " * 9, "l000") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("kind", F.lit(1))
+    assert len(langid.fit(df, limit=100, most_windows=200).langs) == 501
+
+
+def test_predict_against_plain_code(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    net = langid.fit(docs)
+    rows = docs.select("text").collect() + [(None,), ("",), ("12",), ("Ab",)]
+    got = langid.identify(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, text string"), net).orderBy("i").collect()
+    for r in got:
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in (r.text or "").encode())
+        if not any(c.isalpha() for c in (r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = 0
+        for a in range(0, len(low), langid.WINDOW):
+            window = np.frombuffer(low[a : a + langid.SPAN].ljust(langid.SPAN, b"\0"), np.uint8)
+            act = np.maximum(plain_pooled(window, net) + net.bias, 0)
+            total = total + (act @ net.out + net.out_bias) * min(langid.WINDOW, len(low) - a)
+        p = np.exp(total / len(low) - (total / len(low)).max())
+        p /= p.sum()
+        assert abs(r.score - p.max()) < 1e-3 and p[net.langs.index(r.lang_pred)] > p.max() - 1e-3
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = op1_byte_cnn(spark, sf_dir).collect()

@@ -133,15 +133,27 @@ def test_edge_cases(spark):
     model = q.fit(d, spark.createDataFrame(labels + [(None, 1), (7, None)], "doc_id bigint, quality int"))
     got = q.resample(q.weigh(d, model), 10)
     rows = got.collect()
-    assert len(rows) == len(odd) and got.columns == ["doc_id", "text", "n_words", "log_weight", "mean_weight", "accepted", "gumbel_key", "sampled"]
+    assert len(rows) == len(odd) and got.columns == ["doc_id", "text", "n_words", "log_weight", "mean_weight", "accepted", "gumbel_key", "sampled", "plain_key", "sampled_plain"]
     assert not any(r.accepted for r in rows if r.doc_id in (100, 101, 102, 103))
-    assert 10 <= sum(r.sampled for r in rows) <= 11
+    assert sum(r.sampled for r in rows) == sum(r.sampled_plain for r in rows) == 10
     assert all(r.sampled for r in q.resample(q.weigh(d, model), 1000).collect()) and not any(r.sampled for r in q.resample(q.weigh(d, model), 0).collect())
     assert q.resample(q.weigh(d.limit(0), model), 3).count() == 0
     none = q.fit(d, spark.createDataFrame([], "doc_id bigint, quality int"))
     assert q.weigh(d, none).filter("n_words > 0 and not accepted").count() == 0
 
 
+def test_k_is_kept_among_equal_rows(spark):
+    rows = [(1, 2.0, 9.0)] * 50 + [(i, i / 9, float(i)) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, mean_weight double, log_weight double").withColumns({c: F.lit("x") for c in ("row", "noise", "place", "part", "whole")}).repartition(3)
+    for k in (1, 5, 10, 20, 30, 77, 78, 99):
+        got = q.resample(df, k).collect()
+        assert sum(r.sampled for r in got) == sum(r.sampled_plain for r in got) == min(k, 78)
+        for key, flag in (("gumbel_key", "sampled"), ("plain_key", "sampled_plain")):
+            least = min(r[key] for r in got if r[flag])
+            assert all(r[key] <= least for r in got if not r[flag])
+        assert all(r.row == r.place == "x" for r in got)
+
+
 def test_query(spark, sf_dir):
     got = op6_importance(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
