@@ -7,6 +7,7 @@ max0..13. A tag has at most MAX_CLUSTERS clusters, so the clusters of an index o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from riskloom.operators.features import DIMS, VECTOR
 from riskloom.operators.order import positions
 
 MAX_CLUSTERS = 4096
+ROUNDS = 4  # of k-means
 BUILT_TAGS = tuple(range(12))  # the tags an index must have: not card present and online at once
 MINS = [f"min{i}" for i in range(DIMS)]
 MAXS = [f"max{i}" for i in range(DIMS)]
@@ -50,31 +52,54 @@ def cluster_table(refs: DataFrame) -> DataFrame:
     return sizes.withColumn("first", before.cast("bigint")).select("tag", "cid", "n", "first", *MINS, *MAXS)
 
 
-def train_centroids(refs: DataFrame, clusters: int = 64, sample: int = 20_000, rounds: int = 12, seed: int = 7) -> dict[int, np.ndarray]:
-    """k-means centroids by tag, from at most ``sample`` vectors of each of the 16 tags."""
-    sizes = {r.tag: r.n for r in refs.groupBy("tag").agg(F.count("*").alias("n")).collect()}  # at most 16 rows
-    share = F.lit(1.0)
-    for t, n in sizes.items():
-        share = F.when(F.col("tag") == t, min(1.0, sample / n)).otherwise(share)
-    unit = F.pmod(F.xxhash64(*VECTOR, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    picked = refs.filter(unit < share).select("tag", *VECTOR).orderBy("tag", *VECTOR).toArrow()
-    tags = picked.column("tag").to_numpy()
-    data = np.stack([picked.column(v).to_numpy() for v in VECTOR], axis=1).astype(np.float64) if len(picked) else np.zeros((0, DIMS))
-    rng, out = np.random.default_rng(seed), {}
-    for t in sorted(sizes):
-        x = data[tags == t]
-        if not len(x):
-            out[t] = np.zeros((1, DIMS))
-            continue
-        distinct = np.unique(x, axis=0)
-        centers = distinct[rng.choice(len(distinct), min(clusters, len(distinct)), replace=False)]
-        for _ in range(rounds):
-            own = _nearest(x, centers)
-            for c in range(len(centers)):
-                if (own == c).any():
-                    centers[c] = x[own == c].mean(axis=0)
-        out[t] = centers
-    return out
+def cluster_count(rows: int) -> int:
+    """Clusters of a tag: the square root of its vectors, at most MAX_CLUSTERS."""
+    return min(MAX_CLUSTERS, max(1, math.isqrt(rows)))
+
+
+def train_centroids(refs: DataFrame, ident: str = "vec_id", rounds: int = ROUNDS) -> dict[int, np.ndarray]:
+    """k-means centroids by tag: ``cluster_count`` vectors first by the MD5 of their id, then ``rounds`` of Lloyd's steps.
+
+    Every step runs over all vectors where they lie: a task sums the vectors nearest to each centroid, and the sums, at most
+    MAX_CLUSTERS a tag, are added up. Means are whole numbers (rounded down), so the result doesn't hang on the order of
+    additions. A centroid that no vector is nearest to goes.
+    """
+    sizes = {r.tag: cluster_count(r.n) for r in refs.groupBy("tag").agg(F.count("*").alias("n")).collect()}  # at most 16 rows
+    nth = F.row_number().over(Window.partitionBy("tag").orderBy(F.md5(F.col(ident).cast("string").cast("binary"))))
+    seeds = refs.select("tag", *VECTOR, nth.alias("nth")).filter(F.col("nth") <= max(sizes.values(), default=1))
+    rows = seeds.orderBy("tag", "nth").toArrow()  # at most MAX_CLUSTERS a tag
+    tags, order = rows.column("tag").to_numpy(), rows.column("nth").to_numpy()
+    data = np.stack([rows.column(v).to_numpy() for v in VECTOR], axis=1).astype(np.float64) if len(rows) else np.zeros((0, DIMS))
+    centers = {t: data[(tags == t) & (order <= c)] for t, c in sizes.items()}
+    for _ in range(rounds):
+        total = _nearest_sums(refs, centers).groupBy("tag", "cid").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(DIMS)])
+        rows = total.orderBy("tag", "cid").toArrow()
+        tags, n = rows.column("tag").to_numpy(), rows.column("n").to_numpy()
+        mean = np.stack([rows.column(f"s{i}").to_numpy() // n for i in range(DIMS)], axis=1).astype(np.float64)
+        centers = {t: mean[tags == t] for t in sizes}
+    return centers
+
+
+def _nearest_sums(refs: DataFrame, centers: dict[int, np.ndarray]) -> DataFrame:
+    """(tag, cid, n, s0..s13) of each batch: counts and sums of the vectors nearest to each centroid."""
+    sent = refs.sparkSession.sparkContext.broadcast(centers)  # 16 tags x MAX_CLUSTERS x 14 numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {t: (np.zeros(len(c), np.int64), np.zeros((len(c), DIMS), np.int64)) for t, c in sent.value.items()}
+        for batch in batches:
+            tags = batch.column(0).to_numpy()
+            x = np.stack([batch.column(1 + i).to_numpy() for i in range(DIMS)], axis=1)
+            for t in np.unique(tags).tolist():
+                mine = np.flatnonzero(tags == t)
+                for part in np.array_split(mine, max(1, len(mine) // 4096)):
+                    own = _nearest(x[part].astype(np.float64), sent.value[t])
+                    held[t][0][:] += np.bincount(own, minlength=len(held[t][0]))
+                    np.add.at(held[t][1], own, x[part].astype(np.int64))
+        for t, (n, sums) in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at]), *(pa.array(sums[at, i]) for i in range(DIMS))], ["tag", "cid", "n", *[f"s{i}" for i in range(DIMS)]])
+
+    return refs.select("tag", *VECTOR).mapInArrow(run, "tag int, cid int, n bigint, " + ", ".join(f"s{i} bigint" for i in range(DIMS)))
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -102,12 +127,15 @@ def assign_centroids(refs: DataFrame, centroids: dict[int, np.ndarray]) -> DataF
     return refs.select(kept).mapInArrow(run, schema)
 
 
-def build_index(vectors: DataFrame, ident: str = "vec_id", assigner: str = "grid", clusters: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(refs, clusters) of labelled vectors (``ident``, tag, v0..v13, label), by the grid or by k-means."""
+def build_index(vectors: DataFrame, ident: str = "vec_id", assigner: str = "kmeans") -> tuple[DataFrame, DataFrame]:
+    """(refs, clusters) of labelled vectors (``ident``, tag, v0..v13, label), by k-means or by the grid.
+
+    k-means clusters grow with the square root of a tag's vectors; the grid has 64 at any size.
+    """
     if assigner == "grid":
         assigned = vectors.withColumn("cid", grid_cluster())
     elif assigner == "kmeans":
-        assigned = assign_centroids(vectors, train_centroids(vectors, min(clusters, MAX_CLUSTERS)))
+        assigned = assign_centroids(vectors, train_centroids(vectors, ident))
     else:
         raise ValueError(f"unknown assigner {assigner!r}")
     refs = storage_order(assigned, ident).select("tag", "cid", "vi", *VECTOR, "label")

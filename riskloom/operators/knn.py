@@ -361,11 +361,12 @@ def embedding_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, block_
 
     ``queries``: id, embedding; ``refs``: id, embedding, label. A reference with the query's own id is not its
     neighbour. Distances are rounded to 1e-6, so that ties do not hang on the order of additions. Only arrays of
-    one length are compared; a null array, an empty one or one with a null or NaN in it neither asks nor is found.
+    one length are compared; a null array, an empty one or one with a null or NaN in it, or a row without an id, neither
+    asks nor is found.
     References go through the tasks in blocks of at most about ``block_rows``, each with the queries streamed past it.
     """
     blocks = max(1, -(-refs.count() * 2 // block_rows))
-    whole = (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    whole = F.col("id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
     vector = [F.size("embedding").alias("width"), F.col("embedding").cast("array<double>").alias("embedding")]
     r = refs.filter(whole).select(F.pmod(F.hash("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), F.col("id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label"), *vector)
     q = queries.filter(whole).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("id").cast("bigint").alias("id"), F.lit(None).cast("int").alias("label"), *vector)

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import scalar as S
-from riskloom.functions import text as T
 from riskloom.operators import evaluate as E
 from riskloom.operators import knn
+from riskloom.operators.best_first import search_best_first, store_shards
 from riskloom.operators.decide import decide
 from riskloom.operators.features import VECTOR, vectorize
-from riskloom.operators.index_build import MAXS, MINS, build_index, cluster_table, grid_cluster, read_index, storage_order, write_index
+from riskloom.operators.index_build import MAX_CLUSTERS, MAXS, MINS, ROUNDS, assign_centroids, build_index, cluster_table, grid_cluster, read_index, storage_order, train_centroids, write_index
 from riskloom.plans.score import event_index, event_vectors, readiness, score_requests, score_vectors, split_events
 from riskloom.session import cut, shared_dir
 from riskloom.sources.dispatch import dispatch
@@ -88,23 +88,54 @@ _SHORT = ", ".join(f"CAST({v} AS SMALLINT) AS {v}" for v in VECTOR)
 _DIST = " + ".join(f"(CAST(q.{v} AS BIGINT) - r.{v}) * (CAST(q.{v} AS BIGINT) - r.{v})" for v in VECTOR)
 _LB = " + ".join(f"greatest(c.min{i} - q.v{i}, q.v{i} - c.max{i}, 0::BIGINT) * greatest(c.min{i} - q.v{i}, q.v{i} - c.max{i}, 0::BIGINT)" for i in range(len(VECTOR)))
 
-INDEX_SQL = f"""{FEAT_SQL},
-refs AS (SELECT tag, cid, row_number() OVER (PARTITION BY tag ORDER BY cid, event_id) - 1 AS vi, label, {_V}
-         FROM (SELECT *, least(7, v2 // 300) * 8 + least(7, v3 // 1251) AS cid FROM feat WHERE event_id % 10 <> 0 AND tag < 12)),
+_KNOWN = "event_id % 10 <> 0 AND tag < 12"
+
+
+def _index(assigned: str) -> str:
+    """The index and the queries over ``assigned``: the known rows of ``feat`` with a cluster each."""
+    return f"""
+refs AS (SELECT tag, cid, row_number() OVER (PARTITION BY tag ORDER BY cid, event_id) - 1 AS vi, label, event_id, {_V} FROM ({assigned})),
 clusters AS (SELECT tag, cid, count(*) AS n, {', '.join(f'CAST(min(v{i}) AS BIGINT) AS min{i}, CAST(max(v{i}) AS BIGINT) AS max{i}' for i in range(len(VECTOR)))} FROM refs GROUP BY tag, cid),
 queries AS (SELECT event_id AS qid, label, tag, {_V}, CASE WHEN tag IN (SELECT tag FROM refs) THEN tag WHEN tag & 7 IN (SELECT tag FROM refs) THEN tag & 7 WHEN tag & 3 IN (SELECT tag FROM refs) THEN tag & 3 END AS etag
             FROM feat WHERE event_id % 10 = 0)"""
 
-EXACT_SQL = f"""{INDEX_SQL},
+
+INDEX_SQL = f"{FEAT_SQL},{_index(f'SELECT *, least(7, v2 // 300) * 8 + least(7, v3 // 1251) AS cid FROM feat WHERE {_KNOWN}')}"
+
+
+def _lloyd() -> str:
+    """Seeds c0, then by turns the nearest centroid a<r> of each row, ties to the first, and the means c<r+1>; the last step only assigns."""
+    dist = " + ".join(f"(CAST(k.{v} AS BIGINT) - c.{v}) * (CAST(k.{v} AS BIGINT) - c.{v})" for v in VECTOR)
+    out = [f"known AS MATERIALIZED (SELECT * FROM feat WHERE {_KNOWN})"]
+    out.append(f"""c0 AS MATERIALIZED (SELECT tag, cid, {_V} FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY md5(CAST(event_id AS VARCHAR))) - 1 AS cid, count(*) OVER (PARTITION BY tag) AS n FROM known)
+  WHERE cid < least({MAX_CLUSTERS}, CAST(floor(sqrt(n)) AS BIGINT)))""")
+    for r in range(ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT k.event_id, arg_min(c.cid, ({dist}) * {MAX_CLUSTERS} + c.cid) AS cid FROM known k JOIN c{r} c ON k.tag = c.tag GROUP BY k.event_id)")
+        if r < ROUNDS:
+            means = ", ".join(f"CAST(sum({v}) // count(*) AS BIGINT) AS {v}" for v in VECTOR)
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY cid) - 1 AS cid, {_V} FROM (SELECT tag, cid, {means} FROM known JOIN a{r} USING (event_id) GROUP BY tag, cid))")
+    return ",\n".join(out)
+
+
+KMEANS_SQL = f"{FEAT_SQL},\n{_lloyd()},{_index(f'SELECT known.*, cid FROM known JOIN a{ROUNDS} USING (event_id)')}"
+
+
+def _exact(index: str) -> str:
+    return f"""{index},
 near AS (SELECT q.qid, r.vi, r.label, {_DIST} AS dist, row_number() OVER (PARTITION BY q.qid ORDER BY {_DIST}, r.vi) AS nr FROM queries q JOIN refs r ON q.etag = r.tag),
 exact AS (SELECT q.qid, q.label, q.etag, CAST(coalesce(sum(n.label), 0) AS INTEGER) AS votes FROM queries q LEFT JOIN near n ON q.qid = n.qid AND n.nr <= 5 GROUP BY q.qid, q.label, q.etag)"""
 
-PROBE_SQL = f"""{EXACT_SQL},
+
+def _probe(index: str) -> str:
+    return f"""{_exact(index)},
 ranked AS (SELECT q.qid, q.etag, c.cid, CAST({_LB} AS BIGINT) AS lb, row_number() OVER (PARTITION BY q.qid ORDER BY {_LB}, c.cid) AS rank FROM queries q JOIN clusters c ON q.etag = c.tag),
 near12 AS (SELECT q.qid, r.vi, r.label, row_number() OVER (PARTITION BY q.qid ORDER BY {_DIST}, r.vi) AS nr FROM ranked p JOIN queries q ON p.qid = q.qid JOIN refs r ON r.tag = p.etag AND r.cid = p.cid WHERE p.rank <= 12),
 first AS (SELECT q.qid, CAST(coalesce(sum(n.label), 0) AS INTEGER) AS votes FROM queries q LEFT JOIN near12 n ON q.qid = n.qid AND n.nr <= 5 GROUP BY q.qid),
 ivf AS (SELECT f.qid, CASE WHEN f.votes BETWEEN 1 AND 4 THEN e.votes ELSE f.votes END AS votes, f.votes BETWEEN 1 AND 4 AS repaired FROM first f JOIN exact e ON f.qid = e.qid)"""
 
+
+EXACT_SQL, PROBE_SQL, KMEANS_PROBE_SQL = _exact(INDEX_SQL), _probe(INDEX_SQL), _probe(KMEANS_SQL)
+
 _ANSWER = "CAST(least(votes, 5) / 5.0 AS DOUBLE) AS fraud_score, votes < 3 AS approved, '{\"approved\":' || CASE WHEN votes < 3 THEN 'true' ELSE 'false' END || ',\"fraud_score\":' || printf('%.1f', least(votes, 5) / 5.0) || '}' AS response"
 
 
@@ -241,7 +272,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after it was stored and opened again, every tag that was written being checked for."""
     known = split_events(event_vectors(spark, sf_dir))[1]
     path = _scratch(spark, "index")
-    refs, clusters = build_index(known)
+    refs, clusters = build_index(known, assigner="grid")
     tags = tuple(r.tag for r in clusters.select("tag").distinct().collect())  # at most 16
     write_index(refs, clusters, path)
     return read_index(spark, path, tags)[0].select("tag", "cid", "vi", "label", *VECTOR)
@@ -272,21 +303,21 @@ def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", (F.col("p") + 1).cast("bigint").alias("nr"), "n.dist", "n.label")
 
 
-@query(f"WITH {PROBE_SQL} SELECT qid, votes FROM first")
+@query(f"WITH {KMEANS_PROBE_SQL} SELECT qid, votes FROM first")
 def knn_probe12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = event_index(spark, sf_dir)
+    queries, index = event_index(spark, sf_dir, "kmeans")
     return knn.probe_votes(queries, *index).select("qid", "votes")
 
 
-@query(f"WITH {PROBE_SQL} SELECT qid, votes, {_ANSWER} FROM ivf")
+@query(f"WITH {KMEANS_PROBE_SQL} SELECT qid, votes, {_ANSWER} FROM ivf")
 def ivf_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = event_index(spark, sf_dir)
+    queries, index = event_index(spark, sf_dir, "kmeans")
     return score_vectors(queries, index, "ivf")
 
 
-@query(f"WITH {PROBE_SQL} SELECT qid, votes FROM ivf WHERE repaired")
+@query(f"WITH {KMEANS_PROBE_SQL} SELECT qid, votes FROM ivf WHERE repaired")
 def ivf_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, index = event_index(spark, sf_dir)
+    queries, index = event_index(spark, sf_dir, "kmeans")
     return knn.search_ivf(queries, *index).filter("repaired").select("qid", "votes")
 
 
@@ -296,19 +327,54 @@ def tag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.with_effective_tag(queries, clusters).select("qid", "tag", "etag")
 
 
-@query(
-    f"""WITH {PROBE_SQL}, sizes AS (SELECT qid, count(*) AS n FROM near WHERE nr <= 5 GROUP BY qid),
+def _recall_sql(probe: str) -> str:
+    return f"""WITH {probe}, sizes AS (SELECT qid, count(*) AS n FROM near WHERE nr <= 5 GROUP BY qid),
     met AS (SELECT e.qid, count(*) AS n FROM near e JOIN near12 p ON e.qid = p.qid AND e.vi = p.vi WHERE e.nr <= 5 AND p.nr <= 5 GROUP BY e.qid)
     SELECT count(*) AS queries, round(CAST(sum(CASE WHEN i.repaired THEN s.n ELSE coalesce(m.n, 0) END) AS DOUBLE) / sum(s.n), 9) AS recall, round(avg(CASE WHEN i.votes = x.votes THEN 1.0::DOUBLE ELSE 0 END), 9) AS same_votes
     FROM ivf i JOIN exact x USING (qid) LEFT JOIN sizes s USING (qid) LEFT JOIN met m USING (qid)"""
-)
-def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probing against exact search on the grid index."""
-    queries, index = event_index(spark, sf_dir)
+
+
+def _recall(spark: SparkSession, sf_dir: str, assigner: str) -> DataFrame:
+    queries, index = event_index(spark, sf_dir, assigner)
     row = knn.recall(knn.search_ivf(queries, *index), knn.search_exact(queries, *index))
     return row.select("queries", F.round("recall", 9).alias("recall"), F.round("same_votes", 9).alias("same_votes"))
 
 
+@query(_recall_sql(KMEANS_PROBE_SQL))
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probing against exact search on the k-means index."""
+    return _recall(spark, sf_dir, "kmeans")
+
+
+@query(_recall_sql(PROBE_SQL))
+def ann_recall_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probing against exact search on the grid index."""
+    return _recall(spark, sf_dir, "grid")
+
+
+@query(f"WITH {KMEANS_SQL} SELECT tag, cid, vi, event_id AS vec_id FROM refs")
+def kmeans_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster and the place of every reference in the k-means index."""
+    known = cut(split_events(event_vectors(spark, sf_dir))[1])
+    placed = storage_order(assign_centroids(known, train_centroids(known)), "vec_id")
+    return placed.select("tag", F.col("cid").cast("bigint").alias("cid"), "vi", "vec_id")
+
+
+@query(f"WITH {KMEANS_SQL} SELECT tag, cid, n, {', '.join(MINS + MAXS)} FROM clusters")
+def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of the k-means index."""
+    _, (_, clusters) = event_index(spark, sf_dir, "kmeans")
+    return clusters.select("tag", F.col("cid").cast("bigint").alias("cid"), "n", *_wide(MINS + MAXS))
+
+
+@query(f"WITH {_exact(KMEANS_SQL)} SELECT q.qid, n.nr AS nr, CAST(n.dist AS BIGINT) AS dist, n.label FROM queries q JOIN near n ON q.qid = n.qid AND n.nr <= 5")
+def knn_best_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours by branch and bound over the stored shards of the k-means index."""
+    queries, index = event_index(spark, sf_dir, "kmeans")
+    rows = search_best_first(queries, *store_shards(*index)).select("qid", F.posexplode("near").alias("p", "n"))
+    return rows.select("qid", (F.col("p") + 1).cast("bigint").alias("nr"), "n.dist", "n.label")
+
+
 _EMBED = "(SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q JOIN (SELECT vec_id AS rid, label, embedding::DOUBLE[] AS e FROM embeddings) r ON q.qid <> r.rid"
 
 
@@ -408,49 +474,13 @@ def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.thresholds(E.checks(_decided(spark, sf_dir)))
 
 
-@query(
-    f"""WITH {EXACT_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (qid % 70 <> 0) AS ok FROM exact)
-    SELECT '<?xml version="1.0"?>' || chr(10) || '<testsuites tests="4" failures="1">' || chr(10) || '<testsuite name="k6 thresholds" tests="4" failures="1">'
-      || '<testcase name="approved is boolean - rate==1.0" />' || chr(10) || '<testcase name="body is json - rate==1.0" />' || chr(10) || '<testcase name="fraud_score is number - rate==1.0" />' || chr(10)
-      || '<testcase name="status is 200 - rate==1.0"><failure message="failed" /></testcase>' || chr(10) || '</testsuite >' || chr(10) || '</testsuites >' AS xml FROM c WHERE ok < n"""
-)
-def junit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = E.thresholds(E.checks(_decided(spark, sf_dir)))
-    return E.junit(checked.select(F.col("name").alias("metric"), F.lit("rate==1.0").alias("threshold"), "ok"))
-
-
-@query(
-    """WITH c AS (SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, max(value) AS top FROM events)
-    SELECT 'requests' AS name, '     requests...........: ' || n AS line FROM c
-    UNION ALL SELECT 'failed{kind:error}', '     ' || CASE WHEN bad = 0 THEN '✓' ELSE '✗' END || ' { kind:error }...: ' || printf('%.2f', floor(CAST(bad AS DOUBLE) / n * 10000) / 100) || '% ✓ ' || (n - bad) || ' ✗ ' || bad FROM c"""
-)
-def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("bad"))
-    metric = lambda name, kind, value, extras, ok: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit("default").alias("contains"), value.cast("double").alias("value"), extras.alias("extras"), ok.alias("ok"))
-    none, n, bad = F.array().cast("array<string>"), F.col("n"), F.col("bad")
-    rows = F.array(
-        metric("requests", "counter", n, none, F.lit(None).cast("boolean")),
-        metric("failed{kind:error}", "rate", bad / n, F.array(F.concat(F.lit("✓ "), (n - bad).cast("string")), F.concat(F.lit("✗ "), bad.cast("string"))), bad == 0),
-    )
-    return E.summary_lines(c.select(F.explode(rows).alias("m")).select("m.*"))
-
-
-@query(
-    """WITH b AS (SELECT event_id, value * 12345 AS n, value AS ms FROM events), e AS (SELECT *, CAST(floor(ln(greatest(n, 1)) / ln(1000)) AS INTEGER) AS p FROM b), v AS (SELECT *, floor(n / pow(1000, p) * 10 + 0.5) / 10 AS x FROM e WHERE n >= 10)
-    SELECT event_id, CASE WHEN x < 10 THEN printf('%.1f', x) ELSE CAST(CAST(floor(x + 0.5) AS BIGINT) AS VARCHAR) END || ' ' || ['B','kB','MB','GB','TB','PB','EB','ZB','YB'][p + 1] AS bytes, printf('%.2f', ms) || 'ms' AS duration FROM v"""
-)
-def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").withColumn("n", F.col("value") * 12345).filter("n >= 10")
-    return rows.select("event_id", T.human_bytes(F.col("n")).alias("bytes"), T.human_duration(F.col("value"), "ms").alias("duration"))
-
-
 # ---- streaming --------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {PROBE_SQL} SELECT qid, 200 AS status, votes, {_ANSWER} FROM ivf")
+@query(f"WITH {KMEANS_PROBE_SQL} SELECT qid, 200 AS status, votes, {_ANSWER} FROM ivf")
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query events as a stream of JSON requests, scored in micro-batches from a folder."""
-    _, index = event_index(spark, sf_dir)
+    _, index = event_index(spark, sf_dir, "kmeans")
     root = _scratch(spark, "stream")
     asks = as_requests(_txns(spark, sf_dir)).filter("event_id % 10 = 0").withColumnRenamed("event_id", "qid")
     asks.repartition(4).write.json(f"{root}/in")

@@ -1,15 +1,19 @@
 """Search against brute force, index building and storage."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import knn
+from riskloom.operators import best_first, knn
+from riskloom.operators.best_first import open_shards, search_best_first, store_shards
 from riskloom.operators.features import DIMS, VECTOR
 from riskloom.operators.index_build import MAXS, MINS, assign_centroids, build_index, check_index, cluster_table, read_index, storage_order, train_centroids, write_index
 from riskloom.plans.score import event_index
+from riskloom.queries import ann_recall
+from riskloom.session import shared_dir
 from riskloom.sources.index_binary import decode, encode, read_binary_index
 
 SHORTS = ", ".join(f"{v} smallint" for v in VECTOR)
@@ -118,14 +122,62 @@ def test_binary_files(spark, tmp_path):
 
 
 def test_kmeans(spark):
+    """Against the same steps in plain numpy: seeds by MD5, whole means, centroids without vectors gone."""
     rng = np.random.default_rng(3)
-    known, _ = vectors(spark, rng, 200, [0, 2])
-    centroids = train_centroids(known, 8)
+    known, rows = vectors(spark, rng, 400, [0, 2])
+    centroids = train_centroids(known.repartition(5), rounds=3)
+    for t in (0, 2):
+        mine = sorted((hashlib.md5(str(r[0]).encode()).hexdigest(), r[2 : 2 + DIMS]) for r in rows if r[1] == t)
+        x = np.array([v for _, v in mine], dtype=np.int64)
+        c = x[: math.isqrt(len(x))]
+        for _ in range(3):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([x[own == k].sum(axis=0) // (own == k).sum() for k in range(len(c)) if (own == k).any()])
+        assert (centroids[t] == c).all()
     got = assign_centroids(known, centroids)
     for r in got.limit(40).collect():
         d = ((centroids[r.tag] - np.array([r[v] for v in VECTOR])) ** 2).sum(axis=1)
-        assert d[r.cid] <= d.min() + 1e-6
-    assert cluster_table(storage_order(got, "vec_id")).agg(F.sum("n")).first()[0] == 200
+        assert d[r.cid] == d.min() and d.argmin() == r.cid
+    assert cluster_table(storage_order(got, "vec_id")).agg(F.sum("n")).first()[0] == 400
+    assert train_centroids(known.limit(0)) == {}
+
+
+@pytest.mark.parametrize("shard_rows, wave_rows", [(1 << 18, 1 << 18), (60, 7), (9, 1 << 18)])
+def test_best_first(spark, shard_rows, wave_rows):
+    """Many shards, clusters over several shards, waves, ties, tags without an index: always the exact five."""
+    rng = np.random.default_rng(8)
+    known, _ = vectors(spark, rng, 900, [0, 3, 5])
+    few, _ = vectors(spark, rng, 3, [1])
+    known = known.unionByName(few.withColumn("vec_id", F.col("vec_id") + 5000)).unionByName(known.limit(200).withColumn("vec_id", F.col("vec_id") + 9000))
+    queries, rows = vectors(spark, rng, 80, [0, 1, 3, 5, 13, 14], "qid", label=False)
+    refs, clusters = build_index(known)
+    table, placed = store_shards(refs, clusters, shard_rows, buckets=3)
+    got = {r.qid: r for r in search_best_first(queries, table, placed, wave_rows=wave_rows).collect()}
+    exact = {r.qid: r for r in knn.search_exact(queries, refs, clusters).collect()}
+    assert set(got) == set(exact) and any(r.etag is None for r in got.values())
+    for i, r in got.items():
+        assert (r.votes, r.near, r.etag) == (exact[i].votes, exact[i].near, exact[i].etag)
+        assert (r.scanned > 0) == (r.etag is not None)
+    assert search_best_first(queries.limit(0), table, placed).count() == 0
+
+
+def test_best_first_moves_no_references(spark, sf_dir):
+    """Over the stored shards no Exchange stands above the references, and only the tags asked are read."""
+    queries, index = event_index(spark, sf_dir, "kmeans")
+    table, placed = store_shards(*index)
+    asks = queries.filter("tag = 3").withColumn("etag", F.col("tag")).withColumn("worst", F.lit(-1).cast("bigint"))
+    plan = best_first._scan(table, [3], best_first._shards_to_ask(asks, placed, True), 5, 1)._jdf.queryExecution().executedPlan().toString()
+    side = plan[plan.index("FlatMapCoGroupsInArrow") : plan.index("SelectedBucketsCount")]
+    assert "Exchange" not in side and "Bucketed: true" in side and "PartitionFilters: [isnotnull(tag" in side
+    again = open_shards(spark, f"{shared_dir(spark)}/{table}", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first, second = (sorted(map(repr, search_best_first(queries, t, placed).collect())) for t in (table, again))
+    assert first == second and first
+
+
+def test_probing_is_near_exact(spark):
+    """Recall and equal votes of the k-means index at sf0.01."""
+    r = ann_recall(spark, "/root/testdata/sf0.01").first()
+    assert r.queries == 1000 and r.recall >= 0.99 and r.same_votes >= 0.99
 
 
 def test_empty_queries(spark, sf_dir):
@@ -138,13 +190,14 @@ def test_embedding_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.integers(0, 3, 4).astype(float).tolist(), int(i % 3)) for i in range(300)]  # small numbers: many ties
     rows += [(1000 + i, rng.integers(0, 3, 7).astype(float).tolist(), 1) for i in range(4)]  # fewer than k of a length
+    rows += [(None, rows[0][1], 1), (None, None, 2)]  # without an id: neither asks nor is found
     rows += [(2000, None, 1), (2001, [], 1), (2002, [1.0, None, 2.0, 0.0], 1), (2003, [float("nan"), 0.0, 0.0, 0.0], 1)]
     table = spark.createDataFrame(rows, "id bigint, embedding array<float>, label int")
-    asks = [i for i, *_ in rows if i % 50 == 0 or i >= 1000]
+    asks = [i for i, *_ in rows if i is not None and (i % 50 == 0 or i >= 1000)]
     got = {}
-    for r in knn.embedding_neighbours(table.filter(F.col("id").isin(asks)), table, block_rows=64).collect():
+    for r in knn.embedding_neighbours(table.filter(F.col("id").isin(asks) | F.col("id").isNull()), table, block_rows=64).collect():
         got.setdefault(r.qid, set()).add((r.rid, r.label))
-    good = [(i, np.array(e), lab) for i, e, lab in rows if e and None not in e and not any(map(math.isnan, e))]
+    good = [(i, np.array(e), lab) for i, e, lab in rows if i is not None and e and None not in e and not any(map(math.isnan, e))]
     want = {}
     for i, e, _ in good:
         if i in asks:
