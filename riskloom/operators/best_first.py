@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.features import DIMS, VECTOR
 from riskloom.operators.index_build import MAXS, MINS
-from riskloom.operators.knn import K, merge_topk, with_effective_tag, with_votes
+from riskloom.operators.knn import K, with_effective_tag
 from riskloom.session import cut, shared_dir
 
 SHARD_ROWS = 1 << 18
@@ -55,12 +55,19 @@ def shard_clusters(clusters: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFra
 
 
 def store_shards(refs: DataFrame, clusters: DataFrame, shard_rows: int = SHARD_ROWS, buckets: int | None = None) -> tuple[str, DataFrame]:
-    """(table, clusters with shards): the references as a table bucketed by shard and partitioned by tag, in the shared folder."""
+    """(table, clusters with shards): the references as a table bucketed by shard and partitioned by tag, in the shared folder.
+
+    An index of fewer shards than two for each core is stored in as many copies as make up for it, which share its queries.
+    """
     spark = refs.sparkSession
-    placed = cut(shard_clusters(clusters, shard_rows))
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = shard_clusters(clusters, shard_rows)
+    shards = placed.agg(F.max(F.col("shard") + F.col("parts"))).first()[0] or 1
+    copies = -(-2 * spark.sparkContext.defaultParallelism // shards)
+    placed = cut(placed.withColumn("copies", F.lit(copies)))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     known = F.broadcast(placed.select("tag", "cid", "shard", "parts"))
-    dealt = refs.join(known, ["tag", "cid"]).withColumn("shard", (F.col("shard") + F.pmod(F.hash("vi"), F.col("parts"))).cast("int"))
+    part = (F.col("shard") + F.pmod(F.hash("vi"), F.col("parts"))) * copies
+    dealt = refs.join(known, ["tag", "cid"]).withColumn("shard", F.explode(F.sequence(part.cast("int"), (part + copies - 1).cast("int"))))
     name = f"shards_{uuid.uuid4().hex}"
     rows = dealt.select("shard", "cid", "vi", "label", *VECTOR, "tag").repartition(buckets, "shard")
     rows.write.partitionBy("tag").bucketBy(buckets, "shard").sortBy("shard", "cid", "vi").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -122,8 +129,11 @@ def scan_clusters(q: np.ndarray, worst: np.ndarray, r: np.ndarray, cid: np.ndarr
     return dist, rows, scanned
 
 
+FOUND = "qid bigint, near array<struct<dist: bigint, vi: bigint, label: int>>, scanned bigint"
+
+
 def _scan(table: str, tags: list[int], asks: DataFrame, k: int, waves: int) -> DataFrame:
-    """(qid, vi, dist, label, scanned): the candidates of ``asks`` (shard, qid, worst, v0..v13) in their shards; one row without vi if none."""
+    """FOUND: at most k candidates of each of ``asks`` (shard, qid, worst, v0..v13) in its shard, nearest first."""
     spark = asks.sparkSession
     refs = spark.table(table).filter(F.col("tag").isin(tags)).select("shard", "cid", "vi", "label", *VECTOR)
 
@@ -132,31 +142,33 @@ def _scan(table: str, tags: list[int], asks: DataFrame, k: int, waves: int) -> D
             return out.empty_table()
         matrix = lambda t: np.stack([t.column(v).to_numpy() for v in VECTOR], axis=1).astype(np.float64) if len(t) else np.zeros((0, DIMS))
         qid, q, worst = asks.column("qid").to_numpy(), matrix(asks), asks.column("worst").to_numpy().astype(np.float64)
-        if not len(refs):
-            return pa.table([qid, pa.nulls(len(qid), pa.int64()), pa.nulls(len(qid), pa.int64()), pa.nulls(len(qid), pa.int32()), np.zeros(len(qid), np.int64)], schema=out)
         cid, vi = refs.column("cid").to_numpy(), refs.column("vi").to_numpy()
         order = np.lexsort((vi, cid))  # vi is the place by (cid, id) in the tag, so this is the order of vi too
-        dist, rows, scanned = scan_clusters(q, np.where(worst < 0, np.inf, worst), matrix(refs)[order], cid[order], k)
-        at, nth = np.nonzero(np.isfinite(dist) | (np.arange(k) == 0)[None, :])
-        none = ~np.isfinite(dist[at, nth])
-        picked = order[rows[at, nth]]
-        label = refs.column("label").to_numpy()[picked]
-        far = np.where(none, 0, np.nan_to_num(dist[at, nth], posinf=0)).astype(np.int64)
-        return pa.table([qid[at], pa.array(vi[picked], mask=none), pa.array(far, mask=none), pa.array(label.astype(np.int32), mask=none), np.where(nth == 0, scanned[at], 0)], schema=out)
-
-    out = pa.schema([("qid", pa.int64()), ("vi", pa.int64()), ("dist", pa.int64()), ("label", pa.int32()), ("scanned", pa.int64())])
+        if len(refs):
+            dist, rows, scanned = scan_clusters(q, np.where(worst < 0, np.inf, worst), matrix(refs)[order], cid[order], k)
+        else:
+            dist, rows, scanned = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64), np.zeros(len(q), np.int64)
+        there = np.isfinite(dist)
+        picked = order[rows[there]]
+        each = pa.StructArray.from_arrays([pa.array(dist[there].astype(np.int64)), pa.array(vi[picked]), pa.array(refs.column("label").to_numpy()[picked].astype(np.int32))], fields=list(near))
+        offsets = np.r_[0, np.cumsum(there.sum(axis=1))].astype(np.int32)
+        return pa.table([pa.array(qid), pa.ListArray.from_arrays(pa.array(offsets), each), pa.array(scanned)], schema=out)
+
+    near = pa.struct([("dist", pa.int64()), ("vi", pa.int64()), ("label", pa.int32())])
+    out = pa.schema([("qid", pa.int64()), ("near", pa.list_(near)), ("scanned", pa.int64())])
     found = None
     for wave in range(waves):
         some = asks if waves == 1 else asks.filter(F.pmod(F.hash("qid"), F.lit(waves)) == wave)
-        part = refs.groupBy("shard").cogroup(some.groupBy("shard")).applyInArrow(run, "qid bigint, vi bigint, dist bigint, label int, scanned bigint")
+        part = refs.groupBy("shard").cogroup(some.groupBy("shard")).applyInArrow(run, FOUND)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def _shards_to_ask(queries: DataFrame, placed: DataFrame, first: bool) -> DataFrame:
-    """(shard, qid, worst, v0..v13): the shard of the nearest box, or all others with a box no farther than ``worst`` (-1: any)."""
-    rows = placed.select("tag", "cid", "shard", "parts", *MINS, *MAXS).orderBy("tag", "cid").toArrow()  # at most MAX_CLUSTERS a tag
+    """(shard, etag, qid, worst, v0..v13): the shard of the nearest box, or all others with a box no farther than ``worst`` (-1: any)."""
+    rows = placed.select("tag", "cid", "shard", "parts", "copies", *MINS, *MAXS).orderBy("tag", "cid").toArrow()  # at most MAX_CLUSTERS a tag
     tags, shard, parts = (rows.column(c).to_numpy() for c in ("tag", "shard", "parts"))
+    copies = max(rows.column("copies").to_pylist(), default=1)
     low, high = (np.stack([rows.column(m).to_numpy() for m in ms], axis=1).astype(np.float64) for ms in (MINS, MAXS))
     sent = queries.sparkSession.sparkContext.broadcast((tags, shard, parts, low, high))
 
@@ -183,9 +195,10 @@ def _shards_to_ask(queries: DataFrame, placed: DataFrame, first: bool) -> DataFr
                         q, c_ = np.nonzero((bound <= limit[:, None]) & (number[None, :] != home[:, None]))
                         pair = np.unique(q * (int(number.max()) + 1) + number[c_]) if len(q) else np.zeros(0, np.int64)
                         q, s = pair // (int(number.max()) + 1), pair % (int(number.max()) + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), batch.column(0).take(pa.array(at[q])), pa.array(worst[at[q]].astype(np.int64)), *(pa.array(v[at[q], i]) for i in range(DIMS))], ["shard", "qid", "worst", *VECTOR])
+                    s = s * copies + np.random.default_rng(len(s)).integers(0, copies, len(s)) if copies > 1 else s
+                    yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(np.full(len(s), t, np.int32)), batch.column(0).take(pa.array(at[q])), pa.array(worst[at[q]].astype(np.int64)), *(pa.array(v[at[q], i]) for i in range(DIMS))], ["shard", "etag", "qid", "worst", *VECTOR])
 
-    schema = "shard int, qid bigint, worst bigint, " + ", ".join(f"{c} smallint" for c in VECTOR)
+    schema = "shard int, etag int, qid bigint, worst bigint, " + ", ".join(f"{c} smallint" for c in VECTOR)
     return queries.select("qid", "etag", "worst", *VECTOR).mapInArrow(run, schema)
 
 
@@ -195,21 +208,22 @@ def search_best_first(queries: DataFrame, table: str, placed: DataFrame, k: int
     ``queries``: qid, tag, v0..v13; ``table`` and ``placed`` from ``store_shards``. A query whose tag leads to no partition has no
     neighbours, no votes and nothing scanned.
     """
-    q = cut(with_effective_tag(queries, placed))
+    q = with_effective_tag(queries, placed)
     asked = q.filter("etag is not null").withColumn("worst", F.lit(-1).cast("bigint"))
-    tags = [r.etag for r in asked.select("etag").distinct().collect()]  # at most 16: only these partitions are read
 
     def scan(asks: DataFrame) -> DataFrame:
         asks = cut(asks)
-        most = asks.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-        return cut(_scan(table, tags, asks, k, max(1, -(-most // wave_rows))))
+        sizes = asks.groupBy("shard", "etag").count().groupBy("etag").agg(F.max("count").alias("n")).collect()  # at most 16 rows
+        # only the partitions of the tags asked are read
+        return _scan(table, [r.etag for r in sizes], asks.drop("etag"), k, max(1, -(-max((r.n for r in sizes), default=1) // wave_rows)))
 
-    found = scan(_shards_to_ask(asked, placed, first=True))
-    if placed.groupBy("tag").agg((F.countDistinct("shard") + F.max("parts")).alias("n")).filter("n > 2").count():
-        near = merge_topk(found.filter("vi is not null"), k)
+    best = scan(_shards_to_ask(asked, placed, first=True))
+    if placed.groupBy("tag").agg((F.countDistinct("shard") + F.max("parts")).alias("n")).filter("n > 2").count():  # tags of several shards
+        home = cut(best)
         last = F.when(F.size("near") >= k, F.element_at("near", k)["dist"]).otherwise(-1)
-        bounded = asked.drop("worst").join(near, "qid", "left").withColumn("worst", F.coalesce(last, F.lit(-1)))
-        found = found.unionByName(scan(_shards_to_ask(bounded, placed, first=False)))
-    scanned = found.groupBy("qid").agg(F.sum("scanned").alias("scanned"))
-    voted = with_votes(q, merge_topk(found.filter("vi is not null"), k), "etag")
-    return voted.join(scanned, "qid", "left").withColumn("scanned", F.coalesce("scanned", F.lit(0)))
+        bounded = asked.drop("worst").join(home, "qid", "left").withColumn("worst", F.coalesce(last, F.lit(-1)))
+        more = scan(_shards_to_ask(bounded, placed, first=False))
+        merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+        best = home.unionByName(more).groupBy("qid").agg(merged.alias("near"), F.sum("scanned").alias("scanned"))
+    votes = F.coalesce(F.aggregate("near", F.lit(0), lambda s, x: s + x["label"]), F.lit(0))
+    return q.select("qid", "etag").join(best, "qid", "left").select("qid", "etag", votes.alias("votes"), "near", F.coalesce("scanned", F.lit(0)).alias("scanned"))
