@@ -1,21 +1,23 @@
 """SimHash near-duplicates joined through Golay-code keys.
 
-A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits. Two fingerprints at most three
-bits apart have at most one bit of difference in at least two of the three segments (two segments with
-two or more would make four). Inside a segment, the perfect [23,12,7] binary Golay code turns "at most
-one bit apart" into equality: every 23-bit word lies within three bits of exactly one codeword. If a
+A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits. Inside a segment, the perfect [23,12,7] binary
+Golay code turns "at most one bit apart" into equality: every 23-bit word lies within three bits of exactly one codeword. If a
 word lies within two bits of its codeword, every word one bit away decodes to the same one. If it lies
 at three bits, a word one bit away may decode to one of the five codewords four bits from it. So the
 keys of x are its own codeword's index, or that and five more, and the index y decodes to is always
-among the keys of x. One side is stored under the decoded index alone, the other probes with all its
-keys: on average 28 probes for each pair of segments, with 2**24 values, then the distance is verified.
-No link is lost and no bucket is capped. Only distinct fingerprints enter, so copies cost nothing.
+among the keys of x.
+
+Three bits of difference over three segments leave two cases. Either no segment has more than one: then the three codewords
+agree, a key of 36 bits. Or one segment has two or three: then of the others one has none and the other at most one, and a
+key is the first one's bits and the second one's codeword, 33 or 34 bits, for each ordered pair of segments. One side is
+stored under the keys of decoded indices alone, 7 of them; the other probes with all, 182 on average; then the distance is
+verified. No link is lost and no bucket is capped. Of random pairs 3 in 10**8 meet (measured). Only distinct fingerprints enter, so copies cost nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from riskloom.llm.components import connected_components
 GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, width)
 RADIUS = 3
-FINGERPRINTS_A_TASK = 1 << 18  # some 22 million probes
+FINGERPRINTS_A_TASK = 1 << 17  # some 24 million probes
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -98,19 +100,18 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", width
     return docs.withColumn(out, simhash(F.col(text)))
 
 
-def _pairs(segments: list[tuple[np.ndarray, np.ndarray]], every: bool) -> tuple[np.ndarray, np.ndarray]:
-    rows, keys = [], []
-    for p, (i, j) in enumerate(combinations(range(3), 2)):
-        (a, na), (b, nb) = segments[i], segments[j]
-        if every:
-            at = np.arange(6)
-            valid = (at[None, :, None] < na[:, None, None]) & (at[None, None, :] < nb[:, None, None])
-            r, x, y = np.nonzero(valid)
-            rows.append(r)
-            keys.append((p << 24) | (a[r, x] << 12) | b[r, y])
-        else:
-            rows.append(np.arange(len(a)))
-            keys.append((p << 24) | (a[:, 0] << 12) | b[:, 0])
+def _keys(u: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of unsigned fingerprints: all keys to probe with, or only those to store."""
+    segments = [((u >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
+    codes = [golay_keys(s) for s in segments]
+    valid = [np.arange(6)[None, :] < (n[:, None] if every else 1) for _, n in codes]
+    (a, b, c), (va, vb, vc) = [x for x, _ in codes], [np.broadcast_to(v, (len(u), 6)) for v in valid]
+    row, x, y, z = np.nonzero(va[:, :, None, None] & vb[:, None, :, None] & vc[:, None, None, :])
+    rows, keys = [row], [(a[row, x] << 24) | (b[row, y] << 12) | c[row, z]]
+    for p, (i, j) in enumerate(permutations(range(3), 2), 1):
+        row, x = np.nonzero((va, vb, vc)[j])
+        rows.append(row)
+        keys.append((p << 36) | (segments[i][row] << 12) | codes[j][0][row, x])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -123,20 +124,18 @@ def golay_links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
                 values = batch.column(0).to_numpy(zero_copy_only=False)
                 for at in range(0, len(values), 4096):
                     part = values[at : at + 4096]
-                    u = part.view(np.uint64)
-                    segments = [golay_keys((u >> np.uint64(low)) & np.uint64((1 << width) - 1)) for low, width in SEGMENTS]
-                    rows, keys = _pairs(segments, every)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[rows])], ["key", "fp"])
+                    rows, keys = _keys(part.view(np.uint64), every)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
 
         return run
 
-    # few bytes that grow 85-fold: a number is given, or Spark would merge them into one or two tasks
+    # few bytes that grow 180-fold: a number is given, or Spark would merge them into one or two tasks
     tasks = max(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * fingerprints.sparkSession.sparkContext.defaultParallelism)
     distinct = fingerprints.select(F.col(fp).alias("fp")).filter("fp is not null").distinct()
     tasks = max(tasks, -(-distinct.count() // FINGERPRINTS_A_TASK))
     distinct = cut(distinct.repartition(tasks, "fp"))
-    stored = distinct.mapInArrow(keyed(False), "key int, fp bigint").alias("s")
-    probes = distinct.mapInArrow(keyed(True), "key int, fp bigint").alias("p")
+    stored = distinct.mapInArrow(keyed(False), "key bigint, fp bigint").alias("s")
+    probes = distinct.mapInArrow(keyed(True), "key bigint, fp bigint").alias("p")
     near = (F.col("p.key") == F.col("s.key")) & (F.col("p.fp") < F.col("s.fp")) & (F.bit_count(F.col("p.fp").bitwiseXOR(F.col("s.fp"))) <= RADIUS)
     return probes.join(stored, near).select(F.col("p.fp").alias("src"), F.col("s.fp").alias("dst")).distinct()
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from riskloom.llm import simhash
 from riskloom.llm.queries import op9_simhash_golay
 from riskloom.llm.simhash import SEGMENTS, drop_near_duplicates, fingerprint, golay_keys, golay_links, simhash_groups
 
@@ -83,3 +84,20 @@ def test_query_against_brute_force(spark, sf_dir):
     got = op9_simhash_golay(spark, sf_dir).collect()
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in got} == {(i, f"{f:016x}", want[i]) for i, f in fps.items()}
     assert fingerprint("a b c d") == plain_fingerprint("a b c d")
+
+
+def test_keys_lose_no_pair_and_meet_few_others():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, 20_000, dtype=np.int64).view(np.uint64)
+    y = x.copy()
+    for i, n in enumerate(rng.integers(1, 4, len(y))):
+        for b in rng.choice(64, n, replace=False):
+            y[i] ^= np.uint64(1) << np.uint64(b)
+    row, probe = simhash._keys(x, True)
+    own, stored = simhash._keys(y, False)
+    assert len(stored) == 7 * len(y) and 150 < len(probe) / len(x) < 200
+    pairs = set(zip(row.tolist(), probe.tolist(), strict=True))
+    assert {i for i, k in zip(own.tolist(), stored.tolist(), strict=True) if (i, k) in pairs} == set(range(len(x)))
+    # unlike fingerprints: few of 4 * 10**8 pairs meet
+    other = np.sort(simhash._keys(rng.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64).view(np.uint64), False)[1])
+    assert (np.searchsorted(other, probe, "right") - np.searchsorted(other, probe, "left")).sum() < 4e8 * 2e-7
