@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from riskloom.session import cut, shared_dir
 from riskloom.sources.dispatch import dispatch
 from riskloom.sources.events import as_requests, transactions
 from riskloom.sources.requests import parse_requests, read_golden_set, write_golden_set, write_json
+from riskloom.streaming import history_stream as H
+from riskloom.streaming import watch
 from riskloom.streaming.score_stream import read_request_stream, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -487,3 +490,71 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = score_stream(read_request_stream(spark, f"{root}/in", files_per_batch=2), index, f"{root}/out", f"{root}/state")
     stream.awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("batch")
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, root: str, parts: int = 4) -> DataFrame:
+    """``rows`` (event_id, ts) as a stream: each arrives up to half an hour late, in no order within its part of the time.
+
+    A last row, with event_id -1, comes three days after all others, so that the watermark passes them.
+    """
+    rows = cut(rows)
+    us = S.micros(F.col("ts"))
+    arrival = us + F.pmod(F.hash("event_id"), F.lit(1800)).cast("bigint") * 1000000
+    lo, hi, last = rows.agg(F.min(arrival), F.max(arrival), F.max("ts")).first()
+    if lo is not None:
+        part = F.least(F.lit(parts - 1), F.floor((arrival - F.lit(lo)) * parts / F.lit(max(1, hi - lo))))
+        for i in range(parts):
+            rows.filter(part == i).repartition(F.hash("event_id")).write.parquet(f"{root}/in/{i}")
+        end = [F.lit(-1).cast(rows.schema["event_id"].dataType).alias(c) if c == "event_id" else F.lit(last + timedelta(days=3)).cast(t).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]
+        spark.range(1).select(*end).write.parquet(f"{root}/in/{parts}")
+    else:
+        rows.write.parquet(f"{root}/in/0")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in/*")
+
+
+@query(f"WITH {TXN_SQL} SELECT event_id, epoch_us(last_ts) AS last_us, coalesce(array_to_string(known, ','), '') AS known, day_count FROM hist")
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of every event, kept by a stateful stream from late and shuffled rows."""
+    root = _scratch(spark, "history")
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.concat(F.lit("MERC-"), F.lpad((k % 20).cast("string"), 3, "0")).alias("merchant_id"))
+    stream = H.history_stream(_arriving(spark, rows, root).withColumn("us", S.micros(F.col("ts"))))
+    H.start(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out").select("event_id", S.micros(F.col("last_ts")).alias("last_us"), F.array_join("known_merchants", ",").alias("known"), "day_count")
+
+
+@query(
+    f"""WITH {_CONFUSION_SQL}, live AS (SELECT d.*, (epoch_us(e.ts) // 21600000000) * 21600 AS window_start, value FROM decided d JOIN events e ON e.event_id = d.qid)
+    SELECT window_start, count(*) AS n, count(*) FILTER (status = 200 AND NOT approved AND NOT expected_approved) AS tp, count(*) FILTER (status = 200 AND approved AND expected_approved) AS tn,
+      count(*) FILTER (status = 200 AND NOT approved AND expected_approved) AS fp, count(*) FILTER (status = 200 AND approved AND NOT expected_approved) AS fn, count(*) FILTER (status <> 200) AS errors,
+      max(value) AS max_ms, true AS p99_holds FROM live GROUP BY window_start"""
+)
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by six hours of the stream; p99_holds: the sketch's p99 has its rank within the stated error."""
+    root = _scratch(spark, "windows")
+    events = _table(spark, sf_dir, "events").select("event_id", "ts", F.col("value").alias("ms"))
+    live = cut(_decided(spark, sf_dir).withColumnRenamed("qid", "event_id").drop("response").join(events, "event_id"))
+    report = watch.window_report(_arriving(spark, live, root), width="6 hours", delay="1 hour")
+    stored = H.start(report, f"{root}/out", f"{root}/state")
+    stored.awaitTermination()
+    out = spark.read.schema(report.schema).parquet(f"{root}/out").withColumn("window_start", F.unix_seconds("window_start"))
+    held = live.select((F.floor(S.micros(F.col("ts")) / 21600000000) * 21600).cast("bigint").alias("window_start"), "ms").join(out.select("window_start", "p99_ms"), "window_start")
+    ranks = held.groupBy("window_start").agg(F.avg((F.col("ms") < F.col("p99_ms")).cast("int")).alias("below"), F.avg((F.col("ms") <= F.col("p99_ms")).cast("int")).alias("upto"))
+    e = watch.rank_error()
+    holds = ((F.col("below") <= 0.99 + e) & (F.col("upto") >= 0.99 - e)).alias("p99_holds")
+    return out.join(ranks, "window_start").select("window_start", "n", "tp", "tn", "fp", "fn", "errors", "max_ms", holds)
+
+
+@query(
+    """WITH gaps AS (SELECT user_id, event_id, epoch_us(ts) AS us, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 10800000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM gaps)
+    SELECT user_id, min(us) AS start_us, max(us) + 10800000000 AS end_us, count(*) AS n, max(value) AS highest FROM runs GROUP BY user_id, run"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user, three hours apart, from the stream of events."""
+    root = _scratch(spark, "sessions")
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    found = watch.sessions(_arriving(spark, rows, root), "user_id", "ts", "3 hours", "1 hour", F.max("value").alias("highest"))
+    H.start(found, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/out").select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n", "highest")
