@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +22,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all in it, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def cuts_in(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Within it, ``cut`` keeps its tables in ``folder``, which is emptied before and removed after: for work that repeats, such as a stream's batches."""
+    remove(spark, folder)  # what a run that was killed left
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        remove(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
+    folder = _FOLDER.get()
+    if folder is not None:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
