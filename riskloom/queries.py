@@ -20,6 +20,7 @@ from riskloom.plans.score import event_index, event_vectors, readiness, score_re
 from riskloom.session import cut, shared_dir
 from riskloom.sources.dispatch import dispatch
 from riskloom.sources.events import as_requests, transactions
+from riskloom.sources.index_source import read_index_files, write_index_files
 from riskloom.sources.requests import parse_requests, read_golden_set, write_golden_set, write_json
 from riskloom.streaming import history_stream as H
 from riskloom.streaming import watch
@@ -281,6 +282,23 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(spark, path, tags)[0].select("tag", "cid", "vi", "label", *VECTOR)
 
 
+def _binary_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The grid index after it was stored as binary files and read in ranges of clusters."""
+    path = _scratch(spark, "files")
+    write_index_files(build_index(split_events(event_vectors(spark, sf_dir))[1], assigner="grid")[0], path)
+    return read_index_files(spark, path)
+
+
+@query(f"WITH {INDEX_SQL} SELECT tag, cid, vi, label, {_SHORT} FROM refs")
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binary_index(spark, sf_dir)[0].select("tag", "cid", "vi", "label", *VECTOR)
+
+
+@query(f"WITH {INDEX_SQL}, o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY tag ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM clusters) SELECT tag, cid, n, first, {', '.join(MINS + MAXS)} FROM o")
+def index_file_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _binary_index(spark, sf_dir)[1].select("tag", "cid", "n", "first", *_wide(MINS + MAXS))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, (_, clusters) = event_index(spark, sf_dir)
     return knn.rank_clusters(knn.with_effective_tag(queries, clusters), clusters)
