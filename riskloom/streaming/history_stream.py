@@ -41,7 +41,7 @@ def _unpack(raw: bytes) -> pd.DataFrame:
 
 
 class _History(StatefulProcessor):
-    """State by user: ``waiting`` rows in chunks by slice, ``open`` slices with their chunks, ``past`` times by slice, ``counts`` of the slices of the last day, ``tail`` of five rows."""
+    """State by user: ``waiting`` rows in chunks by slice, ``past`` times by slice, and a ``book``, read and written once a call: open slices with their chunks, counts of the slices of the last day, the last five rows."""
 
     def __init__(self, ident: str, us: str, merchant: str, slice_us: int) -> None:
         self.ident, self.us, self.merchant, self.slice_us = ident, us, merchant, slice_us
@@ -50,23 +50,21 @@ class _History(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "slice bigint, chunk bigint", "rows binary")
-        self.open = handle.getValueState("open", "slices array<bigint>, chunks array<bigint>")
         self.past = handle.getMapState("past", "slice bigint", "us binary")
-        self.counts = handle.getValueState("counts", "slices array<bigint>, n array<bigint>")
-        self.tail = handle.getValueState("tail", "us array<bigint>, merchants array<string>")
+        self.book = handle.getValueState("book", "slices array<bigint>, chunks array<bigint>, counted array<bigint>, n array<bigint>, us array<bigint>, merchants array<string>")
 
-    def _dict(self, state) -> dict[int, int]:
-        found = state.get()
-        return dict(zip(found[0], found[1], strict=True)) if found is not None else {}
+    def _read(self) -> tuple[dict[int, int], dict[int, int], list[int], list[str | None]]:
+        found = self.book.get()
+        if found is None:
+            return {}, {}, [], []
+        slices, chunks, counted, n, us, merchants = found
+        return dict(zip(slices, chunks, strict=True)), dict(zip(counted, n, strict=True)), list(us), list(merchants)
 
-    def _keep(self, state, values: dict[int, int]) -> None:
-        if values:
-            state.update((list(values), list(values.values())))
-        else:
-            state.clear()
+    def _write(self, slices: dict[int, int], counts: dict[int, int], us: list[int], merchants: list[str | None]) -> None:
+        self.book.update((list(slices), list(slices.values()), list(counts), list(counts.values()), us, merchants))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        slices = self._dict(self.open)
+        slices, *rest = self._read()
         for part in rows:
             for at, some in part.groupby(part[self.us] // self.slice_us):
                 at = int(at)
@@ -75,7 +73,7 @@ class _History(StatefulProcessor):
                 chunk = slices.get(at, 0)
                 self.waiting.updateValue((at, chunk), (_pack(some),))
                 slices[at] = chunk + 1
-        self._keep(self.open, slices)
+        self._write(slices, *rest)
         return iter(())
 
     def _end(self, at: int) -> int:
@@ -84,34 +82,26 @@ class _History(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = expiredTimerInfo.getExpiryTimeInMs()
-        slices = self._dict(self.open)
-        due = sorted(x for x in slices if self._end(x) <= now)
-        for at in due:
-            yield self._settle(at, slices.pop(at))
-        if due:
-            self._keep(self.open, slices)
-        counts = self._dict(self.counts)
-        old = [x for x in counts if self._end(x + self.per_day) <= now]  # no row to come can count them
-        for x in old:
+        slices, counts, us, merchants = self._read()
+        for at in sorted(x for x in slices if self._end(x) <= now):
+            out, us, merchants = self._settle(at, slices.pop(at), counts, us, merchants)
+            yield out
+        for x in [x for x in counts if self._end(x + self.per_day) <= now]:  # no row to come can count them
             self.past.removeKey((x,))
             del counts[x]
-        if old:
-            self._keep(self.counts, counts)
+        self._write(slices, counts, us, merchants)
 
-    def _settle(self, at: int, chunks: int) -> pd.DataFrame:
-        """The rows of a slice that is over, with their history, which they then become part of."""
+    def _settle(self, at: int, chunks: int, counts: dict[int, int], old_us: list[int], old_merchants: list[str | None]) -> tuple[pd.DataFrame, list[int], list[str | None]]:
+        """The rows of a slice that is over, with their history, which they then become part of; and the last five rows now."""
         rows = pd.concat([_unpack(self.waiting.getValue((at, c))[0]) for c in range(chunks)], ignore_index=True)
         for c in range(chunks):
             self.waiting.removeKey((at, c))
         rows = rows.drop(columns=_AT, errors="ignore").sort_values([self.us, self.ident], kind="stable", na_position="first", ignore_index=True)
         us = rows[self.us].to_numpy(np.int64)
-        counts = self._dict(self.counts)
         between = sum(n for x, n in counts.items() if at - self.per_day < x < at)
         edge = at - self.per_day  # the slice that holds the time a day ago of every row here
         far = np.frombuffer(self.past.getValue((edge,))[0], np.int64) if edge in counts else np.empty(0, np.int64)
         day_count = np.searchsorted(us, us, "right") + between + len(far) - np.searchsorted(far, us - DAY, "left")
-        tail = self.tail.get()
-        old_us, old_merchants = (list(tail[0]), list(tail[1])) if tail is not None else ([], [])
         merchants = old_merchants + [m if isinstance(m, str) else None for m in rows[self.merchant]]
         times = old_us + us.tolist()
         first = len(old_us)
@@ -120,11 +110,10 @@ class _History(StatefulProcessor):
             ADDED[1]: [merchants[max(0, i - LAST) : i] for i in range(first, len(times))],
             ADDED[2]: day_count.astype(np.int64),
         })
-        self.tail.update((times[-LAST:], merchants[-LAST:]))
         self.past.updateValue((at,), (us.tobytes(),))
-        self._keep(self.counts, counts | {at: len(us)})
+        counts[at] = len(us)
         self.handle.registerTimer(self._end(at + self.per_day))
-        return out
+        return out, times[-LAST:], merchants[-LAST:]
 
     def close(self) -> None:
         pass
