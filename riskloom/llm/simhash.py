@@ -34,7 +34,7 @@ GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, width)
 RADIUS = 3
 FINGERPRINTS_A_TASK = 1 << 17  # some 24 million probes
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -73,7 +73,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     Words are runs without ASCII white space, A-Z lower-cased; shingles of ``width`` words keep their
     repeats; a shorter text is one shingle. A bit is set if more than half the shingles' XXH64 set it.
     """
-    words = text.encode().translate(_LOWER).split() if text else []
+    words = text.encode().translate(LOWER).split() if text else []
     if not words:
         return 0
     if len(words) <= width:
