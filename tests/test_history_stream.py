@@ -55,6 +55,18 @@ def test_late_and_shuffled_rows_give_the_rows_of_the_batch(spark, tmp_path, slic
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_users_who_share_a_task_with_a_null_user_keep_their_own_history(spark, tmp_path):
+    t = datetime(2026, 2, 1)
+    rows = [(i, [None, 1, 2, 3, 2**53 + 1][i % 5], t + timedelta(minutes=i), "ABCDEFG"[i % 7], None) for i in range(60)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got, _ = run(spark, tmp_path, history_stream(arrivals(spark, tmp_path, [rows, flush(rows)])))
+        want = with_history(spark.createDataFrame(rows, SCHEMA).withColumn("us", S.micros(F.col("ts"))))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_rows_behind_the_watermark_are_dropped_and_state_ends_with_the_day(spark, tmp_path):
     t = datetime(2026, 3, 1)
     rows = [(i, i % 4, t + timedelta(minutes=i), "A", None) for i in range(200)]
