@@ -1,6 +1,10 @@
 import random
 
-from riskloom.llm.nearcopies import bands, drop_near_copies, shingles
+import pytest
+import xxhash
+
+from riskloom.llm.common import row_key
+from riskloom.llm.nearcopies import bands, drop_near_copies, near_copy_roots, shingles
 from tests.llm.test_simhash import plain_fingerprint
 
 
@@ -84,6 +88,26 @@ def test_groups_against_brute_force(spark):
     assert drop_near_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("meeting", [None, 1500])
+def test_every_link_of_a_large_bucket(spark, meeting):
+    """Forty pairs of near copies, and a group of ten, that are unlike all others but lie in one bucket."""
+    rng = random.Random(4)
+    texts = []
+    for n in [2] * 40 + [10]:
+        base = [f"w{rng.randrange(4000)}" for _ in range(100)]
+        texts.append([" ".join([*base[: 97 + i % 4], f"end{i}"]) for i in range(n)])
+    rows, signed = [(i, t) for i, t in enumerate(t for group in texts for t in group)], lambda x: x - (1 << 64) if x >> 63 else x
+    marks = [(i, rng.getrandbits(63), signed(xxhash.xxh64_intdigest(shingles(t).tobytes())), len(shingles(t)), [7]) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marked = spark.createDataFrame(marks, "doc_id bigint, fp bigint, set_id bigint, size bigint, bands array<bigint>").join(docs.select("doc_id", row_key("doc_id", "text").alias("key")), "doc_id")
+    roots = dict(near_copy_roots(docs, marked, **({"meeting": meeting} if meeting else {})).collect())
+    fps, at = [m[1] for m in marks], 0
+    for group in texts:
+        own = fps[at : at + len(group)]
+        assert {roots[fp] for fp in own} == {min(own)}
+        at += len(group)
+
+
 def test_null_and_equal_ids(spark):
     odd = spark.createDataFrame([(None, "some words"), (None, "some words"), (None, "quite other things"), (4, "z y x w v"), (4, "p q r s t u"), (2, "z y x w v")], "doc_id bigint, text string")
     assert sorted((r.doc_id or -1, r.text) for r in drop_near_copies(odd).collect()) == [(-1, "quite other things"), (-1, "some words"), (2, "z y x w v"), (4, "p q r s t u")]
