@@ -142,6 +142,32 @@ def test_kmeans(spark):
     assert train_centroids(known.limit(0)) == {}
 
 
+def test_copies_are_not_searched_again(spark, monkeypatch):
+    """Of twenty copies of each reference five are scanned, of ten copies of a query one asks; each has the right answer."""
+    monkeypatch.setattr(knn, "FEW_QUERIES", 0)
+    monkeypatch.setattr(knn, "FEW_PROBES", 0)
+    seen, plain = [], knn.block_topk
+
+    def counted(queries, refs, k):
+        seen.append((queries.select("id").distinct().count(), refs.select("block", "id").count()))
+        return plain(queries, refs, k)
+
+    monkeypatch.setattr(knn, "block_topk", counted)
+    rng = np.random.default_rng(6)
+    known, _ = vectors(spark, rng, 50, [3])
+    asks, rows = vectors(spark, rng, 6, [3, 9], "qid", label=False)
+    copies = lambda df, n, ident: df.crossJoin(spark.range(n)).withColumn(ident, F.col(ident) + 1000 * F.col("id")).drop("id")
+    refs, clusters = build_index(copies(known, 20, "vec_id"))
+    queries = copies(asks, 10, "qid")
+    want = brute([(r[0] + 1000 * i, *r[1:]) for r in rows for i in range(10)], [(r.tag, r.vi, *[r[v] for v in VECTOR], r.label) for r in refs.collect()])
+    exact = knn.search_exact(queries, refs, clusters).collect()
+    assert len(exact) == 60 and {r.qid: [(n.dist, n.vi, n.label) for n in r.near or []] for r in exact} == want
+    found = knn.search_ivf(queries, refs, clusters, probes=1 << 12).collect()
+    assert len(found) == 60 and {r.qid: [(n.dist, n.vi, n.label) for n in r.near or []] for r in found} == want
+    asked = sum(r[1] == 3 for r in rows)
+    assert 0 < asked < 6 and seen[0] == seen[1] == (asked, 250)
+
+
 @pytest.mark.parametrize("shard_rows, wave_rows", [(1 << 18, 1 << 18), (60, 7), (9, 1 << 18)])
 def test_best_first(spark, shard_rows, wave_rows):
     """Many shards, clusters over several shards, waves, ties, tags without an index: always the exact five."""
