@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.features import DIMS, VECTOR
 from riskloom.operators.index_build import MAXS, MINS
-from riskloom.operators.knn import K, with_effective_tag
+from riskloom.operators.knn import K, distinct_queries, for_equals, with_effective_tag
 from riskloom.session import cut, shared_dir
 
 SHARD_ROWS = 1 << 18
@@ -205,11 +205,13 @@ def _shards_to_ask(queries: DataFrame, placed: DataFrame, first: bool) -> DataFr
 def search_best_first(queries: DataFrame, table: str, placed: DataFrame, k: int = K, wave_rows: int = WAVE_ROWS) -> DataFrame:
     """qid, etag, votes, near, scanned: the exact k nearest references of each query's effective tag, and the clusters looked at.
 
+    Equal queries are searched as one, and each has the clusters looked at for it.
     ``queries``: qid, tag, v0..v13; ``table`` and ``placed`` from ``store_shards``. A query whose tag leads to no partition has no
     neighbours, no votes and nothing scanned.
     """
     q = with_effective_tag(queries, placed)
-    asked = q.filter("etag is not null").withColumn("worst", F.lit(-1).cast("bigint"))
+    distinct = distinct_queries(q)
+    asked = distinct.withColumn("worst", F.lit(-1).cast("bigint"))
 
     def scan(asks: DataFrame) -> DataFrame:
         asks = cut(asks)
@@ -226,4 +228,5 @@ def search_best_first(queries: DataFrame, table: str, placed: DataFrame, k: int
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
         best = home.unionByName(more).groupBy("qid").agg(merged.alias("near"), F.sum("scanned").alias("scanned"))
     votes = F.coalesce(F.aggregate("near", F.lit(0), lambda s, x: s + x["label"]), F.lit(0))
+    best = for_equals(q, distinct, best)
     return q.select("qid", "etag").join(best, "qid", "left").select("qid", "etag", votes.alias("votes"), "near", F.coalesce("scanned", F.lit(0)).alias("scanned"))

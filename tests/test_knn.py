@@ -187,6 +187,17 @@ def test_best_first(spark, shard_rows, wave_rows):
     assert search_best_first(queries.limit(0), table, placed).count() == 0
 
 
+def test_best_first_asks_once_for_equal_queries(spark, monkeypatch):
+    seen, plain = [], best_first._scan
+    monkeypatch.setattr(best_first, "_scan", lambda table, tags, asks, *more: (seen.append(asks.count()), plain(table, tags, asks, *more))[1])
+    rng = np.random.default_rng(7)
+    refs, clusters = build_index(vectors(spark, rng, 80, [3])[0])
+    queries, _ = vectors(spark, rng, 5, [3], "qid", label=False)
+    queries = queries.crossJoin(spark.range(9)).withColumn("qid", F.col("qid") + 100 * F.col("id")).drop("id")
+    got = {r.qid: r.near for r in search_best_first(queries, *store_shards(refs, clusters, buckets=2)).collect()}
+    assert len(got) == 45 and got == {r.qid: r.near for r in knn.search_exact(queries, refs, clusters).collect()} and seen == [5]
+
+
 def test_best_first_moves_no_references(spark, sf_dir):
     """Over the stored shards no Exchange stands above the references, and only the tags asked are read."""
     queries, index = event_index(spark, sf_dir, "kmeans")
