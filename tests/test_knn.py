@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import best_first, knn
+from riskloom.operators import best_first, index_build, knn
 from riskloom.operators.best_first import open_shards, search_best_first, store_shards
 from riskloom.operators.features import DIMS, VECTOR
 from riskloom.operators.index_build import MAXS, MINS, assign_centroids, build_index, check_index, cluster_table, read_index, storage_order, train_centroids, write_index
@@ -142,6 +142,20 @@ def test_kmeans(spark):
     assert train_centroids(known.limit(0)) == {}
 
 
+def test_kmeans_looks_at_each_vector_once(spark):
+    """Twenty copies of each vector count twenty times, but distances are taken for one; all rows get their cluster."""
+    known, rows = vectors(spark, np.random.default_rng(4), 60, [3])
+    copies = known.crossJoin(spark.range(20)).withColumn("vec_id", F.col("vec_id") + 1000 * F.col("id")).drop("id")
+    distinct = index_build.distinct_vectors(copies)
+    assert [(r.n, r.times) for r in distinct.groupBy("n").agg(F.count("*").alias("times")).collect()] == [(20, 60)]
+    assert index_build._nearest_sums(distinct, {3: np.zeros((1, DIMS))}).agg(F.sum("n"), F.sum("s0")).first() == (1200, 20 * sum(r[2] for r in rows))
+    centroids = train_centroids(copies, rounds=2)
+    got = assign_centroids(copies, centroids).collect()
+    assert len(got) == 1200 and all(r.cid == ((centroids[3] - np.array([r[v] for v in VECTOR])) ** 2).sum(axis=1).argmin() for r in got)
+    plan = assign_centroids(copies, centroids)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")  # clusters are found beside the rows, not for each of them
+
+
 def test_copies_are_not_searched_again(spark, monkeypatch):
     """Of twenty copies of each reference five are scanned, of ten copies of a query one asks; each has the right answer."""
     monkeypatch.setattr(knn, "FEW_QUERIES", 0)
