@@ -24,3 +24,15 @@ def test_a_stream_leaves_nothing_between_its_batches(spark, sf_dir, tmp_path):
     assert got.select("batch").distinct().count() == 3
     want = score_requests(asks.select("qid", "body"), index, "ivf")
     assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_transactions_are_derived_once(spark, sf_dir, monkeypatch):
+    """The stream's requests and the index it is scored against come from one pass over the events."""
+    from riskloom import queries
+    from riskloom.plans import score
+
+    made, plain = [], queries.transactions
+    for module in (queries, score):
+        monkeypatch.setattr(module, "transactions", lambda events: (made.append(1), plain(events))[1])
+    assert queries.stream_score(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 10 = 0").count()
+    assert len(made) == 1
